@@ -1,15 +1,61 @@
-"""A training-data pipeline: each stage reads what the one before it kept."""
+"""A training-data pipeline over documents: each stage reads what the one before it kept.
+
+quality (drop what the classifier rejects), near_duplicates (one document of each group stays), repeats (repeated
+passages are cut out), decontamination (documents that hold benchmark items go), packing (pieces of token sequences).
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomstone.llm.decontam import decontaminated
+from loomstone.llm.minhash import without_near_duplicates
+from loomstone.llm.packing import pack_documents
+from loomstone.llm.quality import train, with_score
+from loomstone.llm.suffix_dedup import remove_repeats
+from loomstone.session import importable, materialized, table
+
+LEAST_QUALITY = 0.5
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return with_score(docs, model, "quality_score").filter(F.col("quality_score") >= LEAST_QUALITY).drop("quality_score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return without_near_duplicates(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = remove_repeats(docs, carry=others, whole_characters=True).withColumn("text", F.col("kept").cast("string"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("decontamination", decontamination), ("packing", packing)]
 
-STAGES: list = []
+#: Trained trees, minhash, a suffix order and a tokenizer: SQL can't express them; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialized(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -152,7 +152,19 @@ def _spans_of(spans: pa.Array) -> list[list[tuple[int, int]]]:
     return [[(x["s"], x["e"]) for x in row] if row else [] for row in spans.to_pylist()]
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans without bytes of characters that reach beyond them."""
+    inner = []
+    for s, e in spans:
+        while s < e and text[s] & 0xC0 == 0x80:
+            s += 1
+        while e > s and e < len(text) and text[e] & 0xC0 == 0x80:
+            e -= 1
+        inner.append((s, e))
+    return [x for x in inner if x[0] < x[1]]
+
+
+def _removed(batches: Iterator[pa.RecordBatch], whole_characters: bool) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in slices(batches):
         data, offsets = text_buffers(batch.column("text"))
@@ -160,6 +172,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, found in enumerate(_spans_of(batch.column("spans"))):
             text = raw[offsets[i] : offsets[i + 1]]
             found = merged_spans(found, len(text))
+            found = _whole(text, found) if whole_characters else found
             at, parts = 0, []
             for s, e in found:
                 parts.append(text[at:s])
@@ -172,8 +185,11 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, most: int = 8192, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: doc_id, the carried columns, n_bytes, kept (the bytes left), spans (removed bytes, maximal and in order)."""
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, most: int = 8192, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+    """Per document: doc_id, the carried columns, n_bytes, kept (the bytes left), spans (removed bytes, maximal and in order).
+
+    With whole_characters, bytes of characters that a span cuts are kept, so that what is left is valid text.
+    """
     carried = F.struct(*(docs[c] for c in carry)) if carry else F.struct(F.lit(0).alias("none"))
     own = docs.select(
         docs["doc_id"], docs["text"], carried.alias("carried"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("rid"), F.hash(docs["text"]).alias("tag")
@@ -202,5 +218,5 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, most: int
     spans = whole.unionByName(refined).unionByName(split).groupBy("rid", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     kinds = docs.select(docs["doc_id"], carried.alias("carried")).schema
     kinds = StructType(kinds.fields + StructType.fromDDL("n_bytes long, kept binary, spans array<struct<start:long,end:long>>").fields)
-    out = own.join(spans, ["rid", "tag"], "left").select("doc_id", "carried", "text", "spans").mapInArrow(_removed, kinds)
+    out = own.join(spans, ["rid", "tag"], "left").select("doc_id", "carried", "text", "spans").mapInArrow(lambda batches: _removed(batches, whole_characters), kinds)
     return out.select("doc_id", *([F.col(f"carried.{c}").alias(c) for c in carry]), "n_bytes", "kept", "spans")
