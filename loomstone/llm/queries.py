@@ -79,6 +79,36 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.filter("vec_id % 100 = 0"), factor=VP_FACTOR)
 
 
+#: Host and path prefixes, and whether they block.
+URL_RULES = [("com/", False), ("example.com/en/", True), ("www.example.com/en/", False), ("net/es/", True), ("net/fr/", True)]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomstone.llm.url_filter import method_verdicts, rule_verdicts
+
+    importable(spark)
+    pages = rule_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    judged = pages.select("host", "path", F.col("blocked").cast("int").alias("bad"))
+    out = method_verdicts(pages, judged)
+    blocked = F.coalesce("blocked", "rejected", F.lit(False))
+    return out.select("page_id", "host", "path", "rule", F.when(blocked, "block").otherwise("allow").alias("verdict"), "template", "purity")
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomstone.llm.chat import format_conversations, read_back
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role")) for k, role in enumerate(("user", "assistant"))))).alias("t"))
+    extra = extra.select("conv_id", "t.turn", "t.role", F.lit(says).alias("text"))
+    back = read_back(format_conversations(turns.unionByName(extra)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("masked", "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.col("characters").alias("formatted_chars")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
