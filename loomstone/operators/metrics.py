@@ -34,7 +34,7 @@ def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
     share, scale = successes / some, 1 + Z * Z / some
     middle = (share + Z * Z / (2 * some)) / scale
     half = Z * F.sqrt(share * (1 - share) / some + Z * Z / (4 * some * some)) / scale
-    return F.greatest(F.lit(0.0), middle - half), F.least(F.lit(1.0), middle + half)
+    return F.when(n > 0, F.greatest(F.lit(0.0), middle - half)), F.when(n > 0, F.least(F.lit(1.0), middle + half))
 
 
 def cohen_kappa(rows: DataFrame, group: list[str], a: str, b: str) -> DataFrame:

@@ -264,7 +264,7 @@ SQL = {
         select doc_id, lang, n_chars, tier::integer tier, r::integer as rank from (select *, row_number() over (partition by lang order by tier, n_chars desc, doc_id) r from t) where r <= 15""",
     "postings_index": f"select lang, axis, string_agg(doc_id::varchar, '|' order by doc_id) ids, count(*) n from ({_SQL_BRIDGE}) group by lang, axis",
     "leave_one_out_counts": "select * from ("
-    + " union all ".join(f"select lang, '{n}' axis, count(*) filter ({' and '.join(_sql_axis(a) for a in ASKED if a != n)}) without, count(*) filter ({' and '.join(_sql_axis(a) for a in ASKED if a != n)} and not {_sql_axis(n)}) gain from documents group by lang" for n in ASKED)
+    + " union all ".join(f"select lang, '{n}' axis, count(*) filter ({' and '.join(_sql_axis(a) for a in ASKED if a != n)}) \"without\", count(*) filter ({' and '.join(_sql_axis(a) for a in ASKED if a != n)} and not {_sql_axis(n)}) gain from documents group by lang" for n in ASKED)
     + ") where gain > 0",
     "overlay_labels": "select d.doc_id, case when l.doc_id is not null then l.quality else (case when n_chars >= 500 then 1 else 0 end) end::integer quality, case when l.doc_id is not null then 'overlay' else 'base' end label_source from documents d left join labels l using (doc_id)",
     "rater_metrics": f"""select lang, round(tp,9) tp, round(fp,9) fp, round(fn,9) fn, round(tn,9) tn, round(r,9) recall, round(s,9) specificity, round(p,9) as precision, round(case when r=0 or p=0 then 0 else 2*r*p/(r+p) end,9) f1, round((tp+tn)/nullif(tp+fp+fn+tn,0),9) agreement, round((tp+fn)/nullif(tp+fp+fn+tn,0),9) prevalence
