@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.plans import documents, screening, tables
+from loomstone.plans import documents, review, screening, tables
 
-MODULES = (documents, tables, screening)
+MODULES = (documents, tables, screening, review)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
