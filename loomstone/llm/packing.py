@@ -12,8 +12,10 @@ no rows; other columns are ignored; null doc_id is kept as null.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,26 +27,82 @@ SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-class WordIds(dict):
-    """Token ids of words, as little-endian bytes, computed when first met.
+#: Printable ASCII and the letters of Latin-1: normalisation can only lower their case.
+_PLAIN = re.compile("[\x21-\x7e\xc0-\xff]+")
+#: How the tokenizer's file cuts such text once it is lowered (a fixed pattern of that file).
+_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+
+
+class WordIds:
+    """Token ids of texts, as little-endian bytes.
 
     The tokenizer never joins characters across white space, so a text's ids are those of its words, one
-    after the other. At most `most` words are kept.
+    after the other; words are computed when first met, from the pieces the tokenizer cuts them into, many in one call.
+    `most` bounds the number of words and of pieces that are kept.
     """
 
-    def __init__(self, tokenizer, most: int = 400_000):
-        super().__init__()
-        self.tokenizer, self.most = tokenizer, most
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = self[word] = np.asarray(ids, "<u4").tobytes()
-        return out
+    def __init__(self, path: str, most: int = 1_200_000):
+        from tokenizers import Tokenizer
 
-    def text(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        ids = self._encode(" ".join(pieces))
+        stops = np.flatnonzero(self.ends[ids]) + 1  # each piece ends with a token that ends a word
+        if len(stops) != len(pieces):
+            self.pieces |= {piece: self._encode(piece).tobytes() for piece in pieces}
+            return
+        data, begin = ids.tobytes(), 0
+        for piece, stop in zip(pieces, (stops * 4).tolist(), strict=True):
+            self.pieces[piece] = data[begin:stop]
+            begin = stop
+
+    def _learn(self, words: list[bytes]) -> None:
+        text = b" ".join(words).decode("utf-8", "replace")
+        split = text.split(" ")
+        if self.special.search(text) or not _PLAIN.fullmatch(text.replace(" ", "")):
+            odd = [not _PLAIN.fullmatch(w) or self.special.search(w) is not None for w in split]
+            self.words |= {w: self._encode(t).tobytes() for w, t, o in zip(words, split, odd, strict=True) if o}
+            words, split = ([x for x, o in zip(xs, odd, strict=True) if not o] for xs in (words, split))
+        cut = [(t,) if t.isalpha() else (t[:-1], t[-1]) if t[:-1].isalpha() else _CUT.findall(t) for t in map(str.lower, split)]
+        if new := list({p for pieces in cut for p in pieces} - self.pieces.keys()):
+            self._learn_pieces(new)
+        known = self.pieces
+        for word, pieces in zip(words, cut, strict=True):
+            self.words[word] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
+
+    def texts(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each UTF-8 text."""
+        words = [text.split() for text in texts]
+        here = set().union(*words)
+        new = here - self.words.keys()
+        if len(self.words) + len(new) > self.most:
+            self.words.clear()
+            new = here
+        if len(self.pieces) > self.most:
+            self.pieces.clear()
+        new = list(new)
+        for at in range(0, len(new), 4000):
+            self._learn(new[at : at + 4000])
+        known = {word: self.words[word] for word in here}.__getitem__  # small, so looked up fast
+        return [b"".join(map(known, text)) for text in words]
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, which thus learns a word once for all its tasks."""
+    return WordIds(path)
 
 
 class Packer:
@@ -106,12 +164,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     end = np.asarray([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.no_padding()
-        tokenizer.no_truncation()
-        words, packer = WordIds(tokenizer), Packer(capacity, open_bins)
+        words, packer = word_ids(tokenizer_path), Packer(capacity, open_bins)
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 40
         rows: list[tuple] = []
@@ -132,8 +185,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             for at in range(0, batch.num_rows, 256):
-                for doc, text in zip(ids.slice(at, 256).to_pylist(), pc.fill_null(texts.slice(at, 256), "").cast(pa.binary()).to_pylist(), strict=True):
-                    data = memoryview(words.text(text) + end)
+                some = words.texts(pc.fill_null(texts.slice(at, 256), "").cast(pa.binary()).to_pylist())
+                for doc, text in zip(ids.slice(at, 256).to_pylist(), some, strict=True):
+                    data = memoryview(text + end)
                     total = len(data) // 4
                     for k, start in enumerate(range(0, total, capacity)):
                         length = min(capacity, total - start)
