@@ -113,5 +113,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: Words of a text as the contracts define them, as a list.
+_WORDS = "list_filter(string_split_regex({0}, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
+
+_MARKED = "length({0}) + length(regexp_replace({0}, '[^\\\\\\[\\]<]', '', 'g'))"
+
+SQL = {
+    "op4_chat_formatting": f"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, k, case when k = 0 then 'user' else 'assistant' end, '</s>[INST] ok [/INST]' from range(2) r(k)),
+        a as (select *, len(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]')) + 4 tok, 3 + {_MARKED.format("role")} + {_MARKED.format("text")} + 4 size, row_number() over (partition by conv_id order by turn, role, text) place from t),
+        b as (select *, coalesce(sum(tok) over (partition by conv_id order by place rows between unbounded preceding and 1 preceding), 0)::bigint start, max(case when place = 1 and role = 'system' then tok end) over (partition by conv_id) systok, max(case when place = 1 and role = 'system' then size end) over (partition by conv_id) syssize from a),
+        c as (select *, greatest(16, floor((1024 - 128 - coalesce(systok, 0)) / 2.0)) cell from b),
+        e as (select *, floor(start / cell) k, tok > cell alone from c),
+        g as (select *, case when lag(k) over w = k and lag(alone) over w = alone and not alone then 0 else 1 end change from e window w as (partition by conv_id order by place)),
+        h as (select *, sum(change) over (partition by conv_id order by place) win from g),
+        m as (select conv_id, win, min(start) opens, min(place) head, max(syssize) syssize from h group by 1, 2),
+        extra as (select conv_id, sum(n)::bigint n from (select h.conv_id, h.size + 3 n from h join m on m.conv_id = h.conv_id and m.win > h.win and m.opens - h.start between 1 and 128 where h.tok <= 128 and not (h.place = 1 and h.role = 'system') union all select conv_id, syssize + 3 from m where syssize is not null and head > 1) group by 1),
+        o as (select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) turns_sha256, coalesce(string_agg(text, '' order by place) filter (role = 'assistant'), '') loss, sum(size)::bigint chars from h group by 1)
+        select conv_id, n_turns, turns_sha256, length(loss)::bigint loss_chars, sha256(loss) loss_sha256, (chars + coalesce(n, 0))::bigint formatted_chars from o left join extra using (conv_id)""",
+    "op3_substring_dedup": f"""with d as (select doc_id, {_WORDS.format("coalesce(text, '')")} w from documents),
+        win as (select doc_id, i, list_aggregate(w[i:i + 19], 'string_agg', ' ') s from (select doc_id, w, unnest(range(1, len(w) - 18)) i from d where len(w) >= 20)),
+        late as (select doc_id, i from (select doc_id, i, row_number() over (partition by s order by doc_id, i) r from win) where r > 1),
+        gone as (select distinct doc_id, unnest(range(i, i + 20)) p from late),
+        word as (select doc_id, unnest(range(1, len(w) + 1)) p, unnest(w) x from d),
+        kept as (select word.doc_id, string_agg(x, ' ' order by word.p) t, count(*) n from word left join gone using (doc_id, p) where gone.p is null group by word.doc_id)
+        select d.doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join kept using (doc_id)""",
+    "op10_minhash_near_dedup": f"""with recursive d as (select doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} w from documents),
+        s as (select distinct doc_id, h from (select doc_id, list_aggregate(w[i:i + 4], 'string_agg', ' ') h from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) i from d where len(w) > 0))),
+        n as (select doc_id, count(*) n from s group by 1),
+        c as (select a.doc_id x, b.doc_id y, count(*) k from s a join s b using (h) where a.doc_id <> b.doc_id group by 1, 2),
+        l as (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * k >= 85 * (a.n + b.n - k)),
+        r as (select doc_id, doc_id reach from d union select r.doc_id, l.y from r join l on l.x = r.reach)
+        select d.doc_id, coalesce(max(n), 0)::bigint n_shingles, min(reach) component_id, min(reach) = d.doc_id kept from d left join n using (doc_id) join r on r.doc_id = d.doc_id group by d.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from tests_llm_brute import components
 
 from loomstone.llm.decontam import contaminated, decontaminated
 from loomstone.llm.fingerprint_index import FingerprintIndex, remove_seen_words
@@ -103,32 +104,11 @@ def test_compaction_keeps_the_index(spark):
     assert len(index.runs) == 1 and {(r.key, r.context) for r in index.runs[0][1].collect()} == before
 
 
-def brute_components(rows, percent):
-    sets = {}
-    for i, t in rows:
-        w = (t or "").encode().lower().split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-    best = {i: i for i in sets}
-
-    def find(x):
-        while best[x] != x:
-            x = best[x]
-        return x
-
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                best[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in ids}
-
-
 @pytest.mark.parametrize(("percent", "seed"), [(85, 3), (80, 11)])
 def test_near_duplicates(spark, percent, seed):
     rows = corpus(seed, 160)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, rows), percent=percent).collect()}
-    assert got == brute_components(rows, percent)
+    assert got == components(rows, percent)
 
 
 def test_near_duplicates_edge_rows(spark):
