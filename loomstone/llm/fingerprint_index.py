@@ -2,13 +2,14 @@
 
 Words under a window of `window` words that starts earlier, in a smaller doc_id or further up in the same text, are removed. The index
 is a list of immutable runs: tables bucketed and sorted by fingerprint. A batch of documents is fingerprinted, merge-joined with
-each run on the fingerprint, matches are verified on the words re-read from the texts, and what is new becomes another
+each run on the fingerprint, matches are verified (see below), and what is new becomes another
 run; when there are more than `most_runs`, all are merged into one by a merge join that moves no data.
 
 A fingerprint is the hash of the smallest gram of a window (textual.anchors); a row stands for the neighbouring
-windows that one gram represents and holds a hash of all words under them. Rows that agree in both repeat as a whole, and
-only the first of each is looked at further, so a passage may have any number of copies. First rows that agree in
-the gram alone are verified window by window.
+windows that one gram represents and holds a hash of all words under them. Rows that agree in both (64 bits each) repeat as a whole
+without words being read again, and only the first of each is looked at further, so a passage may have any number of copies. First rows that agree in
+the gram alone are verified window by window. All 64 bits of the context are kept, since inside one gram they alone tell surroundings apart: n of them
+give about n * n / 2**65 false agreements.
 
 Defined results: a null or empty text has no words; texts shorter than a window keep all; rows with one doc_id and text count as the same place, so
 neither is earlier; those with one doc_id and other texts are ordered by a hash of the text; null doc_ids come first; an empty table gives no rows.
@@ -38,14 +39,14 @@ def _fingerprints(window: int, gram: int):
             row = words.row[lo]
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(context.astype(np.int32)), batch.column("rid").take(take), batch.column("tag").take(take), pa.array((lo - words.first[row]).astype(np.int32)), pa.array(count.astype(np.int16))],
+                [pa.array(key), pa.array(context), batch.column("rid").take(take), batch.column("tag").take(take), pa.array((lo - words.first[row]).astype(np.int32)), pa.array(count.astype(np.int16))],
                 names=["key", "context", "rid", "tag", "lo", "count"],
             )
 
     return work
 
 
-_KIND = "key long, context int, rid long, tag int, lo int, count short"
+_KIND = "key long, context long, rid long, tag int, lo int, count short"
 
 
 def _verified_windows(window: int):

@@ -93,6 +93,15 @@ def test_seen_words(spark, batches):
         assert (got[i].n_words, got[i].n_removed) == (len(w), sum(mask))
 
 
+def test_seen_words_tells_contexts_apart_by_more_than_32_bits(spark):
+    # One gram represents both texts; the hashes of their words agree in the low 32 bits and in no window.
+    gram = "w810353 w983164 w844778 w699328 "
+    one = gram + "v326659 v931151 v197838 v921751 v13380 v805529 v606889 v270946 v645203 v364580 v474507 v95606 v148570 v790996 v65133 v647957"
+    two = gram + "v748528 v502168 v549862 v488086 v376688 v241949 v948902 v715396 v252766 v485387 v508114 v73543 v666641 v396902 v38497 v954054"
+    got = {r.doc_id: r.n_removed for r in remove_seen_words(frame(spark, [(1, one), (2, two), (3, two)]), batches=1).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+
+
 def test_compaction_keeps_the_index(spark):
     rows = sorted(corpus(7))
     docs = frame(spark, rows)
