@@ -8,7 +8,8 @@ Copies are one set from the start. Groups of either collection that one set alon
 formed. Each set is
 compared with a center, the most typical set of its buckets (see _assigned). Two sets of one center that aren't in one component by that are linked only if they have in common
 enough of what they add to the center or lack of it (see _compared); they are brought together by these shingles and confirmed. So no links
-inside a group of near copies are enumerated, and of those that would join two components none is left out.
+inside a group of near copies are enumerated. Then the buckets are looked at whose sets still lie in different components: sets that have had no center in
+common get one and meet in the same way (see _rest). So of the links between sets of one bucket that would join two components none is left out.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; fewer words than a shingle are one shingle;
 rows with equal doc_id are kept as rows; a null doc_id never represents a group; an empty table gives no rows.
@@ -122,27 +123,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, groups:
     compared = materialized(_compared(stars, own, percent, width), "compared")
     links = compared.filter("linked").select("a", "b")
     found = materialized(connected_components(links), "components")
-    # A set that isn't linked to its center (y), against the others of that center (x).
-    apart = compared.filter("not linked").select(F.col("a").alias("center"), F.col("b").alias("y"), F.col("d").alias("d_y"), F.col("e").alias("e_y"), F.explode("tokens").alias("token"))
-    others = compared.join(apart.select(F.col("center").alias("a")).distinct(), "a")
-    others = others.select(F.col("a").alias("center"), "n", F.col("b").alias("x"), F.col("d").alias("d_x"), F.col("e").alias("e_x"), "linked", "least", F.explode("tokens").alias("token"))
-    # All but `least - 1` of x's tokens must meet those of y: added shingles first, and of these the ones that fewest others have.
-    held = apart.groupBy("center", "token").agg(F.count("*").alias("held"), F.sum(F.xxhash64("y").cast("decimal(20,0)")).alias("by"))
-    order = Window.partitionBy("center", "x").orderBy((F.col("token") < 0), "others", "token")
-    others = others.join(held, ["center", "token"], "left").withColumn("others", F.coalesce("held", F.lit(0)) - F.when(F.col("linked"), 0).otherwise(1))
-    others = others.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.col("d_x") + F.col("e_x") - F.col("least") + 1).filter("others > 0")
-    # Tokens that the same others have are one.
-    others = others.groupBy("center", "n", "x", "d_x", "e_x", "held", "by", (F.col("token") >= 0).alias("added")).agg(F.min("token").alias("token"))
-    could = F.least("d_x", "d_y") + F.when(F.col("token") >= 0, F.least("e_x", "e_y")).otherwise(0)
-    enough = (100 + percent) * could >= 100 * (F.col("d_x") + F.col("d_y")) + percent * (F.col("e_x") + F.col("e_y")) - (100 - percent) * F.col("n")
-    pairs = others.join(apart, ["center", "token"]).filter((F.col("x") != F.col("y")) & enough)
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    of = lambda side: found.select(F.col("v").alias(side), F.col("component").alias(f"component_{side}"))
-    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("coalesce(component_a, a) != coalesce(component_b, b)").select("a", "b")
-    pairs = materialized(_plausible(pairs, facts, percent), "pairs")
+    pairs = materialized(_met(compared, found, facts, percent), "pairs")
     more = materialized(_compared(pairs, own, percent, width).filter("linked").select("a", "b"), "more")
     if not more.isEmpty():
-        found = connected_components(links.unionByName(more))
+        links = materialized(links.unionByName(more), "links")
+        found = materialized(connected_components(links), "components")
+    # Sets of a bucket that lie in different components and have had no center in common.
+    rest = materialized(_rest(members.select("key", "rep"), stars, facts, found), "rest")
+    if not rest.isEmpty():
+        again = materialized(_compared(rest, own, percent, width), "compared_rest")
+        links = materialized(links.unionByName(again.filter("linked").select("a", "b")), "links")
+        found = materialized(connected_components(links), "components")
+        of_these = compared.unionByName(again).join(rest.select("a").distinct(), "a", "left_semi")
+        pairs = materialized(_met(of_these, found, facts, percent), "pairs_rest")
+        more = materialized(_compared(pairs, own, percent, width).filter("linked").select("a", "b"), "more_rest")
+        if not more.isEmpty():
+            found = connected_components(links.unionByName(more))
     by_set = sets.select("s1", "s2", "n", "rep").join(found.select(F.col("v").alias("rep"), "component"), "rep", "left")
     by_set = by_set.select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     return signed_docs.select("doc_id", "n", "s1", "s2").join(by_set, ["s1", "s2", "n"], "left").select(
@@ -199,6 +195,46 @@ def _assigned(members: DataFrame, facts: DataFrame, least: float = 0.4, close: f
     return ranked.filter((F.col("place") == 1) | (F.col("place") == 2) & (F.col("best") < close)).select("a", "b")
 
 
+def _met(compared: DataFrame, found: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets that have a center in common, lie in different components and could be linked (see _compared)."""
+    # A set that isn't linked to its center (y), against the others of that center (x).
+    apart = compared.filter("not linked").select(F.col("a").alias("center"), F.col("b").alias("y"), F.col("d").alias("d_y"), F.col("e").alias("e_y"), F.explode("tokens").alias("token"))
+    others = compared.join(apart.select(F.col("center").alias("a")).distinct(), "a")
+    others = others.select(F.col("a").alias("center"), "n", F.col("b").alias("x"), F.col("d").alias("d_x"), F.col("e").alias("e_x"), "linked", "least", F.explode("tokens").alias("token"))
+    # All but `least - 1` of x's tokens must meet those of y: added shingles first, and of these the ones that fewest others have.
+    held = apart.groupBy("center", "token").agg(F.count("*").alias("held"), F.sum(F.xxhash64("y").cast("decimal(20,0)")).alias("by"))
+    order = Window.partitionBy("center", "x").orderBy((F.col("token") < 0), "others", "token")
+    others = others.join(held, ["center", "token"], "left").withColumn("others", F.coalesce("held", F.lit(0)) - F.when(F.col("linked"), 0).otherwise(1))
+    others = others.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.col("d_x") + F.col("e_x") - F.col("least") + 1).filter("others > 0")
+    # Tokens that the same others have are one.
+    others = others.groupBy("center", "n", "x", "d_x", "e_x", "held", "by", (F.col("token") >= 0).alias("added")).agg(F.min("token").alias("token"))
+    could = F.least("d_x", "d_y") + F.when(F.col("token") >= 0, F.least("e_x", "e_y")).otherwise(0)
+    enough = (100 + percent) * could >= 100 * (F.col("d_x") + F.col("d_y")) + percent * (F.col("e_x") + F.col("e_y")) - (100 - percent) * F.col("n")
+    pairs = others.join(apart, ["center", "token"]).filter((F.col("x") != F.col("y")) & enough)
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    of = lambda side: found.select(F.col("v").alias(side), F.col("component").alias(f"component_{side}"))
+    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("coalesce(component_a, a) != coalesce(component_b, b)").select("a", "b")
+    return _plausible(pairs, facts, percent)
+
+
+def _rest(members: DataFrame, stars: DataFrame, facts: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of a center (a) and a set (b) still to be compared.
+
+    Sets of a bucket that lie in different components must have a center in common, or one must be the other's. Where no center is that of all sets of
+    such a bucket, the one that most of them have (a set is its own, too) becomes that of all, whatever their similarity; so none of the bucket's pairs is left out.
+    """
+    rows = members.join(found.select(F.col("v").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    split = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    rows = materialized(rows.select("key", "rep").join(split.select("key", "size"), "key"), "split")
+    weights = facts.select(F.col("rep").alias("center"), "weight")
+    centers = stars.select(F.col("b").alias("rep"), F.col("a").alias("center")).join(weights, "center").unionByName(weights.withColumn("rep", F.col("center")))
+    votes = rows.join(centers, "rep").groupBy("key", "center").agg(F.count("*").alias("votes"), F.first("weight").alias("weight"), F.first("size").alias("size"))
+    hubs = votes.groupBy("key").agg(F.max(F.struct("votes", "weight", (-F.col("center")).alias("minus"))).alias("top"), F.first("size").alias("size"))
+    hubs = hubs.filter(F.col("top.votes") < F.col("size")).select("key", (-F.col("top.minus")).alias("a"))
+    pairs = rows.join(hubs, "key").select("a", F.col("rep").alias("b")).filter("a != b").distinct()
+    return pairs.join(stars, ["a", "b"], "left_anti")
+
+
 def _plausible(pairs: DataFrame, facts: DataFrame, percent: float) -> DataFrame:
     for side in "ab":
         pairs = pairs.join(facts.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("low").alias(f"low_{side}")), side)

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from tests_llm_brute import components
 
+from loomstone.llm import minhash
 from loomstone.llm.decontam import contaminated, decontaminated
 from loomstone.llm.fingerprint_index import FingerprintIndex, remove_seen_words
 from loomstone.llm.minhash import near_duplicates, without_near_duplicates
@@ -120,6 +121,21 @@ def test_near_duplicates(spark, percent, seed):
     assert got == components(rows, percent)
 
 
+def test_near_duplicates_of_sets_with_different_centers(spark, monkeypatch):
+    # The first assignment of centers may keep sets apart that share buckets; here it gives none, or x and y different ones.
+    rows = corpus(3, 60)
+    monkeypatch.setattr(minhash, "_assigned", lambda members, facts: spark.createDataFrame([], "a long, b long"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, rows), percent=85).collect()}
+    assert got == components(rows, 85)
+    words = [f"w{i}" for i in range(400)]
+    x, y = words[:100], words[8:108]
+    h, m = words[:54] + words[200:246], words[22:108] + words[300:314]
+    rows = [(1, " ".join(h)), (2, " ".join(m)), (3, " ".join(x)), (4, " ".join(y))]
+    monkeypatch.setattr(minhash, "_assigned", lambda members, facts: spark.createDataFrame([(1, 3), (2, 4)], "a long, b long"))
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows), percent=85, width=1).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
 def test_near_duplicates_edge_rows(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (7, None), (8, "  ")]
     got = sorted(((r.doc_id, r.component_id) for r in near_duplicates(frame(spark, rows)).collect()), key=repr)
