@@ -157,3 +157,17 @@ def test_contamination(spark):
     assert {(r.doc_id, r.item_id) for r in contaminated(docs, items, most_windows=0).collect()} == set(got)
     assert sorted(r.doc_id for r in decontaminated(docs, items).collect()) == [3, 4, 5, 7]
     assert contaminated(docs.limit(0), items).count() == 0
+
+
+def test_contamination_in_part(spark):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(66)]
+    long, short = words[:50], words[50:]
+    asked = "they sold 3 pears and then bought 5 more plums before lunch so that 3 children got a plum"
+    items = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short)), (3, asked)], "item_id long, text string")
+    edited = short[:8] + ["other"] + short[9:]
+    rows = [
+        (1, "So " + " ".join(long[10:35]) + " it ends"), (2, " ".join(edited)), (3, asked.replace("3", "4").replace("5", "4")), (4, asked[::-1].replace("3", "7")[::-1].replace("got 3", "got 8")),
+        (5, " ".join(long[10:22])), (6, "they sold 3 pears and then bought 5 more plums before lunch so that 9 children got a plum"),
+    ]
+    got = {(r.doc_id, r.item_id) for r in contaminated(frame(spark, rows), items).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 3), (6, 3)}
