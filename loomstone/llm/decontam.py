@@ -7,6 +7,9 @@ one value of the document and the other way round; of values that contradict eac
 dropped. A document is contaminated by an item of whose windows, or of whose words under windows, it has at least `share`, or that it agrees with in `run_words`
 words in a row.
 
+A capitalised word that begins a text, line or sentence may be a name or not: windows are hashed in both readings. Windows with less than
+half literal words say too little as templates; they match where all their words are equal.
+
 Only windows that occur in the benchmark leave a document's task: the hashes of its windows, if at most `most_windows` of them,
 are sent to the tasks; of a larger benchmark none are, and the join sorts out the rest, with the same result.
 
@@ -111,8 +114,9 @@ def _windows(symbol, value, slot, maybe, first, width: int, whole: bool):
     row = np.repeat(np.arange(len(count)), have)
     begin = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(have) - have, have)
     inside = lambda x: (sums := np.append(0, np.cumsum(x)))[begin + width] - sums[begin]
-    heavy = 2 * inside(slot) > width
-    readings = [(symbol, slot, ~heavy, False)]
+    either, open_ = slot | maybe, inside(maybe) > 0
+    heavy, heavier = 2 * inside(slot) > width, 2 * inside(either) > width
+    readings = [(symbol, slot, ~heavy, False), (np.where(maybe, NAME, symbol), either, open_ & ~heavier, False), (value, np.zeros(len(slot), bool), heavier, True)]
     for symbols, slots, take, exact in readings:
         yield begin[take], row[take], run(prefix(symbols), begin[take], begin[take] + width), slots, exact
 

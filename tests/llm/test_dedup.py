@@ -171,3 +171,17 @@ def test_contamination_in_part(spark):
     ]
     got = {(r.doc_id, r.item_id) for r in contaminated(frame(spark, rows), items).collect()}
     assert got == {(1, 1), (2, 2), (3, 3), (4, 3), (6, 3)}
+
+
+def test_contamination_with_names_at_the_beginning(spark):
+    asked = "Tom has 3 apples. Tom buys 5 more. How many does Tom have?"
+    greek = "on the way home from the market Ωμέγα gave Иван some pears and plums for lunch"
+    items = spark.createDataFrame([(1, asked), (2, greek), (3, "Compute 48 + 27 - 13")], "item_id long, text string")
+    rows = [
+        (1, asked.replace("Tom", "Ann").replace("3", "4").replace("5", "8")), (2, greek.replace("Ωμέγα", "Σίγμα").replace("Иван", "Пётр")),
+        (3, "We say: Compute 48 + 27 - 13 now"), (4, "We say: Compute 49 + 27 - 13 now"), (5, "Tom has 3 apples. Nobody else has any fruit at all, neither here nor there."), (6, asked),
+    ]
+    docs = frame(spark, rows)
+    got = {(r.doc_id, r.item_id): r.reparameterised for r in contaminated(docs, items).collect()}
+    assert got == {(1, 1): True, (2, 2): True, (3, 3): False, (6, 1): False}
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, items, most_windows=0).collect()} == set(got)
