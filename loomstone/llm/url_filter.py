@@ -10,7 +10,7 @@ Parents are: the template's own prefix in the host's tree, then the same in the
 so templates without judged urls inherit from the nearest ancestor that has some.
 
 Nodes are rows; a level of the tree is one grouped aggregation and one join, for any number of hosts, and a hot host is
-aggregated before it is shuffled. Paths deeper than `depth` segments keep all text: the rest is one last segment.
+aggregated before it is shuffled. Paths deeper than `depth` segments keep all text: the rest is one last segment, in which > stands for /.
 
 Defined results: null urls and urls without :// have empty host and path and are judged by the method like others; an empty
 table gives no rows; repeated rows are judged each; a url no node covers is allowed unless most judged urls are bad.
@@ -59,8 +59,9 @@ def _segment(s: Column) -> Column:
 
 
 def segments(path: Column, depth: int) -> Column:
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/", depth)
-    return F.transform(F.filter(parts, lambda s: s != ""), _segment)
+    """Segments of a path without its empty ones; the last one holds the rest, with > for / so that / always parts segments."""
+    parts = F.split(F.regexp_replace(path, "^/+|/+$|/+(?=/)", ""), "/", depth)
+    return F.transform(F.filter(parts, lambda s: s != ""), lambda s: F.replace(_segment(s), F.lit("/"), F.lit(">")))
 
 
 def template_tree(judged: DataFrame, depth: int = 6, many: int = 16, support: int = 3, z: float = 1.96, weight: float = 4.0) -> DataFrame:

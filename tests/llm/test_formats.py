@@ -155,3 +155,13 @@ def test_nearest(spark):
             assert all(abs(d[i] - s) < 1e-12 for i, s in found.values())
         assert hits / total >= least
     assert nearest(table.limit(0), table).count() == 0
+
+
+def test_deep_paths_inherit(spark):
+    bad = [("a", f"/en/{x}", 1) for x in ("p", "q", "r", "s", "t", "u", "v", "w")] * 3 + [("a", f"/fr/{x}", 0) for x in ("p", "q", "r", "s")] * 3
+    deep = ["/en/a/b/c/d/e", "/en/a/b/c/d/e/f", "/en/a/b/c/d/e/", "/en/a/b/c/d/e/f/g/", "//en/a/b/c/d/e/f", "/fr/a/b/c/d/e/f"]
+    pages = spark.createDataFrame([("b", p) for p in deep], "host string, path string")
+    judged = spark.createDataFrame(bad + [("b", p, None) for p in deep], "host string, path string, bad int")
+    rows = method_verdicts(pages, judged).collect()
+    assert len(rows) == len(deep)
+    assert {r.path: r.rejected for r in rows} == {p: p != deep[-1] for p in deep}
