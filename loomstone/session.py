@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,15 +40,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _local_scratch() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-loomstone-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where that is unset, as in tests.
+    """A new folder below spark.checkpoint.dir, which a cluster must name; only local mode has one of its own where that is unset.
 
     The JVM deletes the folder when the application ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file:///tmp/loomstone-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _local_scratch()
     path = f"{base.rstrip('/')}/loomstone/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
