@@ -237,4 +237,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: f
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the rows that an item contaminates."""
     bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id"), F.col("tag").alias("bad_tag")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("bad_id")) & (F.hash(docs["text"]) == F.col("bad_tag")), "left_anti")
+    # The columns travel as one struct, so that none can clash.
+    rows = docs.select(docs["doc_id"].cast("long").alias("id"), F.hash(docs["text"]).alias("tag"), F.struct(*(docs[c].alias(c) for c in docs.columns)).alias("row"))
+    kept = rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("tag") == F.col("bad_tag")), "left_anti")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -149,10 +149,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, groups:
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs whose doc_id stands for its group; of rows with one doc_id, one; rows with a null doc_id all stay."""
     found = near_duplicates(docs, **options)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == F.col("kept_id"), "left_semi")
-    once = kept.withColumn("__place", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("__place = 1").drop("__place")
-    return once.unionByName(docs.filter(docs["doc_id"].isNull()))
+    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    # The columns travel as one struct, so that none can clash.
+    rows = docs.select(docs["doc_id"].cast("long").alias("id"), F.struct(*(docs[c].alias(c) for c in docs.columns)).alias("row"))
+    kept = rows.join(keep, "id", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("row.text")))
+    kept = kept.filter("place = 1").select("row").unionByName(rows.filter("id is null").select("row"))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def _alike(n_a: str, n_b: str, low_a: str, low_b: str, percent: float):

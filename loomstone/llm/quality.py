@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.textual import IS_SPACE, Words, mix, prefix, run, slices, text_buffers
@@ -176,18 +176,27 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_label
     return fit(x[order], y[order])
 
 
-def with_score(docs: DataFrame, model: Trees, column: str = "score") -> DataFrame:
-    """docs with the probability of label 1 as another column."""
+def _scored(docs: DataFrame, model: Trees) -> DataFrame:
+    """row (docs' columns as one struct, so that none can clash) and score."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             scores = model.score(statistics(*text_buffers(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores)], names=["row", "score"])
 
-    # The columns travel as one struct, so that none can clash; the text is its own column.
-    others = [c for c in docs.columns if c != "text"]
-    row = F.struct(docs["text"], *(docs[c] for c in others))
-    wide = docs.select(row.alias("row"), docs["text"].alias("text"))
-    kind = wide.select("row").schema.add("score", "double")
-    out = wide.mapInArrow(work, kind)
-    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), F.col("score").alias(column))
+    wide = docs.select(F.struct(*(docs[c].alias(c) for c in docs.columns)).alias("row"), docs["text"].alias("text"))
+    return wide.mapInArrow(work, wide.select("row").schema.add("score", "double"))
+
+
+def _own(docs: DataFrame) -> list[Column]:
+    return [F.col("row").getField(c).alias(c) for c in docs.columns]
+
+
+def with_score(docs: DataFrame, model: Trees, column: str = "score") -> DataFrame:
+    """docs with the probability of label 1 as another column; one of that name that docs has is replaced."""
+    return _scored(docs, model).select(*(c for name, c in zip(docs.columns, _own(docs), strict=True) if name != column), F.col("score").alias(column))
+
+
+def at_least(docs: DataFrame, model: Trees, least: float) -> DataFrame:
+    """The rows of docs whose score is at least that."""
+    return _scored(docs, model).filter(F.col("score") >= least).select(*_own(docs))
