@@ -6,8 +6,13 @@ followed by the last token of each prefix: a token may follow another if merging
 token ending at a place may follow the last token before it. A state holds those places from which a token of the vocabulary can still
 grow, so states are finite and are numbered when first met; tables of states and symbols hold the transitions.
 
-Texts are cut into chunks that all run at once, one symbol a step. What a chunk does is a map of states: white space takes every state to
-the first one, so the map is a short head to run from the true state and a constant for the rest. Maps compose by a scan over the chunks.
+Characters up to U+024F are one symbol each; others are their bytes, the first of which says what the pre-tokenizer takes the character for, so
+the alphabet is small and every text takes this path.
+
+Texts are cut into chunks that all run at once, one symbol a step. What a chunk does is a map of states: white space and numbers take every state to
+the first one, so the map is a short head to run from the true state and a constant for the rest. The map of a chunk without either is known at single states: at
+first at the one to which the end of the chunk before leads. Maps compose by a prefix scan over all chunks; where a composition isn't known, the chunks
+concerned learn their maps at the states that now reach them, all at once, until it is known throughout.
 
 Defined results: null and empty texts have no tokens; special tokens in a text count one each, as the library reads them by default; repeated rows are
 counted each; an empty table gives no rows.
@@ -27,14 +32,17 @@ from pyspark.sql import functions as F
 
 from loomstone.llm.textual import slices
 
-LETTER, NUMBER, OTHER, SPACE = range(4)
-#: Kinds of states: between words, in letters, in other characters, after an apostrophe that begins a piece, and after its first letter.
-_START, _LETTERS, _OTHERS, _QUOTE, _QUOTE_LETTER = range(5)
+#: What the pre-tokenizer takes a character for; and the later bytes of a character.
+LETTER, NUMBER, OTHER, SPACE, MORE = range(5)
+#: Kinds of states: between words, in letters, in other characters, after an apostrophe that begins a piece, after its first letter, and in a number of several symbols.
+_START, _LETTERS, _OTHERS, _QUOTE, _QUOTE_LETTER, _NUMBER = range(6)
 #: What the pre-tokenizer takes with an apostrophe (fixed values of the tokenizer's file).
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-#: Code points below are symbols of the tables; texts with others are counted word by word with the same transitions.
+#: Code points below are symbols; others are several.
 DENSE = 0x250
 CHUNK = 512
+#: So many symbols of the chunk before give the state at which a chunk's map is known first.
+WARM = 48
 
 
 def _byte_letters() -> dict[str, int]:
@@ -80,6 +88,19 @@ class Merges:
                     self.grows.append(False)
                 node = self.child[node, s]
             self.token[node] = i
+        # Tokens that end further down from each node.
+        self.below: list[list[int]] = [[] for _ in self.token]
+        for i, string in symbols.items():
+            node, path = 0, []
+            for s in string:
+                path.append(node)
+                node = self.child.get((node, s), -1)
+                if node < 0:
+                    break
+            if node >= 0 and self.token[node] == i:
+                for above in path[1:]:
+                    self.below[above].append(i)
+        self.rests: dict[tuple, int | tuple] = {}
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens that stand at one edge while token is built, each with the rank at which it is merged away."""
@@ -108,6 +129,21 @@ class Merges:
             self.follows[key] = fine
         return fine
 
+    def _fits(self, before: int | tuple, token: int) -> bool:
+        """Whether a token may come next: before is the last token (-1: none), or all tokens that may come."""
+        return token in before if isinstance(before, tuple) else before < 0 or self.may_follow(before, token)
+
+    def _rest(self, node: int, before: int | tuple) -> int | tuple:
+        """What of before still matters at a node: the tokens further down that may come; before itself, where very many may. States that differ in no more are one."""
+        key = (node, before)
+        if key not in self.rests:
+            below = self.below[node]
+            if isinstance(before, int) and (before < 0 or len(below) > 8):
+                self.rests[key] = before
+            else:
+                self.rests[key] = tuple(t for t in below if self._fits(before, t))
+        return self.rests[key]
+
     #: Before a word: nothing but a place where the first token begins, with no token before it.
     EMPTY = ((0, -1, 0),)
 
@@ -119,17 +155,17 @@ class Merges:
             if child is None:
                 continue
             token = self.token[child]
-            if last is None and token >= 0 and (before < 0 or self.may_follow(before, token)):
+            if last is None and token >= 0 and self._fits(before, token):
                 last, more = token, count + 1
-            if self.grows[child]:
-                grown.append((child, before, count))
+            if self.grows[child] and (rest := self._rest(child, before)) != ():
+                grown.append((child, rest, count))
         return (*((n, b, c - more) for n, b, c in grown), (0, last, 0)), more
 
     def finish(self, places: tuple, byte: int) -> int:
         """How many tokens more the word has that ends with this byte."""
         for node, before, count in places:
             child = self.child.get((node, 256 + byte))
-            if child is not None and (token := self.token[child]) >= 0 and (before < 0 or self.may_follow(before, token)):
+            if child is not None and (token := self.token[child]) >= 0 and self._fits(before, token):
                 return count + 1
         raise AssertionError("no token ends here")
 
@@ -148,17 +184,17 @@ class Transducer:
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
         self.kinds: dict[str, int] = {}
         self.most_cells = most_cells
-        self.symbol = np.full(DENSE, -1, np.int32)
-        self.chars: list[str] = []
+        # Symbols: characters below DENSE, then first bytes by what their character is, then later bytes. Each is (what, bytes, character, if it is one).
+        self.symbol = np.full(DENSE + 5 * 256, -1, np.int32)
+        self.chars: list[tuple[int, bytes, str]] = []
+        self.alike: dict[tuple | int, int] = {}
         self.width = 128
-        self.words: dict[str, int] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.ids, self.states = {(_START,): 0}, [(_START,)]
         self.ends: dict[tuple, int] = {}
-        self.next = np.full((1024, self.width), -1, np.int32)
-        self.emit = np.zeros((1024, self.width), np.int8)
+        self.next = np.full((1024, self.width), -1, np.int32)  # the next state, above 8 bits for the tokens more (or fewer, as merges go on) plus 128
 
     def kind(self, char: str) -> int:
         """How the library's pre-tokenizer takes a character."""
@@ -171,8 +207,8 @@ class Transducer:
 
     # The machine itself: states are tuples (kind, places, last byte); the last byte waits, since a word's end changes it.
 
-    def _feed(self, places: tuple, pending: int | None, char: str) -> tuple[tuple, int, int]:
-        data, more = char.encode(), 0
+    def _feed(self, places: tuple, pending: int | None, data: bytes) -> tuple[tuple, int, int]:
+        more = 0
         for byte in ([] if pending is None else [pending]) + list(data[:-1]):
             places, n = self.merges.step(places, byte)
             more += n
@@ -190,83 +226,85 @@ class Transducer:
         return self.ends[state]
 
     def whole(self, piece: str) -> int:
-        places, last, more = Merges.EMPTY, None, 0
-        for char in piece:
-            places, last, n = self._feed(places, last, char)
-            more += n
+        places, last, more = self._feed(Merges.EMPTY, None, piece.encode())
         return more + self.merges.finish(places, last)
 
-    def move(self, state: tuple, char: str) -> tuple[tuple, int]:
+    def move(self, state: tuple, what: int, data: bytes, char: str) -> tuple[tuple, int]:
         """The next state, and how many tokens more there are."""
-        kind, what = state[0], self.kind(char)
-        if kind == _LETTERS and what == LETTER or kind == _OTHERS and what == OTHER:
-            places, last, more = self._feed(state[1], state[2], char)
+        kind = state[0]
+        if what == MORE and kind == _START:
+            return state, 0
+        if what == MORE or kind == _LETTERS and what == LETTER or kind == _OTHERS and what == OTHER:
+            places, last, more = self._feed(state[1], state[2], data)
             return (kind, places, last), more
         if kind == _QUOTE:
             if char in _CONTRACTIONS:
                 return (_START,), self.whole("'" + char)
-            if what == LETTER and any(c[0] == char for c in _CONTRACTIONS):
+            if what == LETTER and char and any(c[0] == char for c in _CONTRACTIONS):
                 return (_QUOTE_LETTER, char), 0
             if what == OTHER:
-                places, last, more = self._feed(Merges.EMPTY, None, "'")
-                places, last, n = self._feed(places, last, char)
-                return (_OTHERS, places, last), more + n
+                places, last, more = self._feed(Merges.EMPTY, None, b"'" + data)
+                return (_OTHERS, places, last), more
         if kind == _QUOTE_LETTER:
             if state[1] + char in _CONTRACTIONS:
                 return (_START,), self.whole("'" + state[1] + char)
             if what == LETTER:
-                places, last, more = self._feed(Merges.EMPTY, None, state[1])
-                places, last, n = self._feed(places, last, char)
-                return (_LETTERS, places, last), self.whole("'") + more + n
+                places, last, more = self._feed(Merges.EMPTY, None, state[1].encode() + data)
+                return (_LETTERS, places, last), self.whole("'") + more
         owed = self._end(state)
         if what == SPACE:
             return (_START,), owed
-        if what == NUMBER:
+        if what == NUMBER and char:
             return (_START,), owed + self.whole(char)
         if char == "'":
             return (_QUOTE,), owed
-        places, last, more = self._feed(Merges.EMPTY, None, char)
-        return (_LETTERS if what == LETTER else _OTHERS, places, last), owed + more
-
-    def count_word(self, word: str) -> int:
-        """Tokens of a normalised word, with the machine's transitions alone."""
-        if word not in self.words:
-            state, total = (_START,), 0
-            for char in word:
-                state, more = self.move(state, char)
-                total += more
-            if len(self.words) > 500_000:
-                self.words.clear()
-            self.words[word] = total + self._end(state)
-        return self.words[word]
+        places, last, more = self._feed(Merges.EMPTY, None, data)
+        return ({LETTER: _LETTERS, NUMBER: _NUMBER}.get(what, _OTHERS), places, last), owed + more
 
     # Tables and chunks.
 
-    def _symbols(self, codes: np.ndarray) -> np.ndarray:
-        symbols = self.symbol[codes]
+    def _symbols(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of characters, and where each character's begin (and the last one's end)."""
+        many = 1 + (codes >= DENSE) + (codes >= 0x800) * (codes >= DENSE) + (codes >= 0x10000)
+        first = np.append(0, np.cumsum(many))
+        slots = np.zeros(first[-1], np.int64)
+        slots[first[:-1]] = codes
+        rare = np.flatnonzero(codes >= DENSE)
+        if len(rare):
+            distinct, of = np.unique(codes[rare], return_inverse=True)
+            kinds = np.array([self.kind(chr(c)) for c in distinct.tolist()])[of]
+            for k in range(4):
+                at = rare[many[rare] > k]
+                shift = 6 * (many[at] - 1 - k)
+                byte = np.where(k == 0, np.select([many[at] == 2, many[at] == 3], [0xC0, 0xE0], 0xF0), 0x80) | ((codes[at] >> shift) & 0x3F)
+                slots[first[at] + k] = DENSE + 256 * (kinds[many[rare] > k] if k == 0 else MORE) + byte
+        symbols = self.symbol[slots]
         if len(symbols) and symbols.min() < 0:
-            for code in np.unique(codes[symbols < 0]).tolist():
-                self.symbol[code] = len(self.chars)
-                self.chars.append(chr(code))
+            for slot in np.unique(slots[symbols < 0]).tolist():
+                what = self.kind(chr(slot)) if slot < DENSE else (slot - DENSE) >> 8
+                # White space is one symbol, and so are numbers of as many tokens.
+                same = (what, self.whole(chr(slot)) if what == NUMBER else 0) if slot < DENSE and what in (SPACE, NUMBER) else slot
+                if same not in self.alike:
+                    self.alike[same] = len(self.chars)
+                    self.chars.append((what, chr(slot).encode(), chr(slot)) if slot < DENSE else (what, bytes([(slot - DENSE) & 255]), ""))
+                self.symbol[slot] = self.alike[same]
             if len(self.chars) > self.width:
-                self.width *= 2
+                while len(self.chars) > self.width:
+                    self.width *= 2
                 self._reset()
-            symbols = self.symbol[codes]
-        return symbols
+            symbols = self.symbol[slots]
+        return symbols, first
 
     def _fill(self, state: int, symbol: int) -> None:
-        after, more = self.move(self.states[state], self.chars[symbol])
+        after, more = self.move(self.states[state], *self.chars[symbol])
         at = self.ids.get(after)
         if at is None:
             at = self.ids[after] = len(self.states)
             self.states.append(after)
             if at >= len(self.next):
-                for name, empty in (("next", -1), ("emit", 0)):
-                    old = getattr(self, name)
-                    new = np.full((2 * len(old), self.width), empty, old.dtype)
-                    new[: len(old)] = old
-                    setattr(self, name, new)
-        self.next[state, symbol], self.emit[state, symbol] = at, more
+                old, self.next = self.next, np.full((2 * len(self.next), self.width), -1, np.int32)
+                self.next[: len(old)] = old
+        self.next[state, symbol] = at << 8 | (more + 128)
 
     def _advance(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         after = self.next[state, symbol]
@@ -275,19 +313,41 @@ class Transducer:
             for pair in np.unique(state[lost].astype(np.int64) * self.width + symbol[lost]).tolist():
                 self._fill(*divmod(pair, self.width))
             after = self.next[state, symbol]
-        return after, self.emit[state, symbol]
-
-    def emitted(self, codes: np.ndarray) -> np.ndarray:
+        return after >> 8, (after & 255) - 128
+
+    def _run(self, state: np.ndarray, grid: np.ndarray) -> np.ndarray:
+        """The states that chunks (columns of grid) lead to."""
+        for symbols in grid:
+            state, _ = self._advance(state, symbols)
+        return state
+
+    def _entered(self, grid: np.ndarray, leave: np.ndarray, open_: np.ndarray) -> np.ndarray:
+        """The state in which each chunk is entered, by composing the chunks' maps.
+
+        leave is where a chunk leads whatever it is entered in; those in open_ have no such state.
+        """
+        lanes = grid.shape[1]
+        tried = np.zeros(lanes, np.int32)  # a state at which an open chunk's map is known, and where it leads
+        leave = leave.copy()
+        todo = np.flatnonzero(open_)
+        before = todo[todo > 0]
+        tried[before] = self._run(np.zeros(len(before), np.int32), grid[-WARM:, before - 1])
+        while len(todo):
+            leave[todo] = self._run(tried[todo], grid[:, todo])
+            # Prefix scan: the composition up to a chunk is known if each open chunk since the last constant one is known at what it is given.
+            given = np.append(np.int32(0), leave[:-1])
+            todo = np.flatnonzero(open_ & (given != tried))
+            tried[todo] = given[todo]
+        return np.append(np.int32(0), leave[:-1])
+
+    def emitted(self, symbols: np.ndarray) -> np.ndarray:
         """Tokens emitted at each symbol of a text that ends with white space."""
-        if len(self.states) * self.width > self.most_cells:
-            self._reset()
-        symbols = self._symbols(codes)
         lanes = -(-len(symbols) // CHUNK)
-        space = self.symbol[32] if self.symbol[32] >= 0 else self._symbols(np.array([32]))[0]
+        space = self._symbols(np.array([32]))[0][0]
         padded = np.full(lanes * CHUNK, space, np.int32)
         padded[: len(symbols)] = symbols
         grid = np.ascontiguousarray(padded.reshape(lanes, CHUNK).T)
-        syncs = np.array([self.kind(c) == SPACE for c in self.chars])[grid]
+        syncs = np.array([what == SPACE or what == NUMBER and char != "" for what, _, char in self.chars])[grid]
         head = np.where(syncs.any(0), syncs.argmax(0) + 1, CHUNK)  # symbols until every state is the first
         out = np.zeros((CHUNK, lanes), np.int8)
         # Constant parts, all chunks at once, from the first state.
@@ -299,20 +359,8 @@ class Transducer:
             else:
                 at = np.flatnonzero(live)
                 state[at], out[t, at] = self._advance(state[at], grid[t, at])
-        # Compose the maps: a chunk's entry state is the exit of the one before; only chunks without white space hand theirs on.
-        leave = state.copy()
-        enter = np.zeros(lanes, np.int32)
-        whole = head == CHUNK
-        whole &= ~syncs[-1]
-        enter[1:] = leave[:-1]
-        for k in np.flatnonzero(whole).tolist():
-            one = enter[k : k + 1]
-            for t in range(CHUNK):
-                one, _ = self._advance(one, grid[t, k : k + 1])
-            if k + 1 < lanes:
-                enter[k + 1] = one[0]
+        state = self._entered(grid, state, ~syncs.any(0))
         # Heads, all chunks at once, from the true states.
-        state = enter
         order = np.flatnonzero(head > 0)
         for t in range(int(head.max(initial=0))):
             order = order[head[order] > t]
@@ -335,15 +383,15 @@ class Transducer:
                     piece = piece.lower()  # the library's normaliser does no more in this range
                 except UnicodeEncodeError:
                     piece = self.library.normalizer.normalize_str(piece)
-                if max(piece) < chr(DENSE):
-                    parts.append(piece)
-                    owners.append(i)
-                else:
-                    totals[i] += sum(map(self.count_word, piece.split(" ")))
+                parts.append(piece)
+                owners.append(i)
         if parts:
-            codes = np.frombuffer((" ".join(parts) + " ").encode("utf-32-le"), np.uint32).astype(np.int64)
-            totals_at = np.append(0, np.cumsum(self.emitted(codes), dtype=np.int64))
-            ends = np.cumsum([len(p) + 1 for p in parts])
+            if len(self.states) * self.width > self.most_cells:
+                self._reset()
+            codes = np.frombuffer((" ".join(parts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            symbols, first = self._symbols(codes)
+            totals_at = np.append(0, np.cumsum(self.emitted(symbols), dtype=np.int64))
+            ends = first[np.cumsum([len(p) + 1 for p in parts])]
             for i, n in zip(owners, np.diff(totals_at[np.append(0, ends)]).tolist(), strict=True):
                 totals[i] += n
         return totals
