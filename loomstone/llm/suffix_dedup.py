@@ -3,15 +3,15 @@
 Every byte under a string of `length` bytes that also starts elsewhere is removed. All suffixes of a corpus
 don't fit a shuffle, so Spark first brings together only suffixes that can agree: each window of `length` bytes is represented by its
 smallest `gram` (see textual.anchors), equal windows by equal grams at equal distances. A run of windows with one gram is one
-row of some thirty bytes; grams that occur once are done with. Where all bytes around a gram agree as well, all its windows
+row of some thirty bytes, and neighbouring runs that say the same (a text that repeats one word) are one row together; grams that occur once are
+done with. Where all bytes around a gram agree as well (by 128 bits of hash, so with a chance of error that no corpus reaches), all its windows
 repeat, and rows meet as counts that Spark combines before it shuffles, however many copies there are. Only for
-one copy each of differing surroundings the bytes are fetched, and their suffixes are refined in the tasks:
-buckets of 8-byte prefixes are split by the bucket identifiers at the offset 8, the resulting buckets by
-their own identifiers at 16, and so on up to `length`; suffixes alone in a bucket leave at once. A gram with more than
+one copy each of differing surroundings the bytes are fetched, and their suffixes are refined in the tasks (see refine): buckets of
+8-byte prefixes are sorted by the bucket pointers of later offsets, which are updated at once and used again for what follows. A gram with more than
 `most` differing surroundings is split by whole windows in Spark instead, with the same result.
 
 Defined results: a null text is empty; rows with equal doc_id and text are separate documents (so they repeat each
-other); texts shorter than `length` keep all bytes; an empty table gives no rows; columns in `carry` pass through.
+other); texts shorter than `length` keep all bytes; an empty table gives no rows; other columns never take part, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -29,35 +29,65 @@ from loomstone.session import materialized
 
 #: Bytes of surroundings that a task refines together, unless one gram has more.
 TOGETHER = 2_000_000
+#: Blocks of buckets that are refined one after the other.
+BLOCKS = 4
 
 
 def refine(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     """Starts of all strings of length bytes that occur at least twice, by bucket-pointer refinement.
 
-    ends[p] is where the text of byte p ends; strings lie inside one text.
+    ends[p] is where the text of byte p ends; strings lie inside one text. rank[p] points at the bucket of suffix p, in suffix order, and deep
+    says how many bytes its suffixes agree in. Buckets are refined in blocks, each to the end before the next one: a bucket is
+    sorted by the pointers that stand as many bytes later as it agrees in, and what comes of that is written to rank at once, so that the rest of the
+    block, its own next round and all later blocks sort by the finer pointers.
     """
     size, q = len(data), 8
     if size < length:
         return np.zeros(0, np.int64)
-    head = np.zeros(size - q + 1, np.uint64)
+    padded = np.append(data, np.zeros(length + q, np.uint8))
+    head = np.zeros(size + length, np.uint64)
     for k in range(q):
-        head = (head << np.uint64(8)) | data[k : size - q + 1 + k]
-    active = np.flatnonzero(np.arange(size - q + 1) + q <= ends[: size - q + 1])
-    bucket, key = np.full(size, -1, np.int64), head[active]
-    while True:
-        _, ids, counts = np.unique(key, return_inverse=True, return_counts=True)
-        several = counts[ids] > 1
-        active, ids = active[several], ids[several]
-        if q == length or not len(active):
-            return active
-        bucket.fill(-1)
-        bucket[active] = ids
-        step = min(q, length - q)
-        active = active[active + step + q <= ends[active]]
-        later = bucket[active + step]
-        active, later = active[later >= 0], later[later >= 0]
-        key = bucket[active] * np.int64(len(counts)) + later
-        q += step
+        head = (head << np.uint64(8)) | padded[k : size + length + k]
+    order = np.argsort(head[:size])
+    new = np.append(True, head[order[1:]] != head[order[:-1]])
+    first = np.flatnonzero(new)
+    many = np.diff(np.append(first, size))
+    start = np.repeat(first, many)
+    rank = np.full(size + length, -1, np.int64)  # beyond the end: before all others
+    rank[order] = start
+    deep = np.full(size, q, np.int64)
+    several = np.repeat(many > 1, many)
+    waiting = order[several]
+    # Blocks of whole buckets.
+    cut = np.flatnonzero(np.diff(start[several] // max(1, size // BLOCKS))) + 1
+    for members in np.split(waiting, cut):
+        while len(members):
+            own = rank[members]
+            later = rank[members + np.minimum(deep[own], length)]
+            by = np.argsort(own * (size + 1) + later + 1)
+            members, own, later = members[by], own[by], later[by]
+            bucket = np.append(True, own[1:] != own[:-1])
+            part = bucket | np.append(True, later[1:] != later[:-1])
+            at = np.arange(len(members))
+            begin = np.flatnonzero(part)
+            count = np.diff(np.append(begin, len(members)))
+            now = own[begin] + begin - np.maximum.accumulate(np.where(bucket, at, 0))[begin]
+            until = deep[own[begin]] + np.where(later[begin] >= 0, deep[later[begin]], size)
+            deep[now] = until
+            rank[members] = np.repeat(now, count)
+            members = members[np.repeat((count > 1) & (until < length), count)]
+    # In suffix order, strings that are equal are neighbours; pointers may tell them apart by bytes beyond them, so the bytes decide.
+    starts = np.flatnonzero(np.arange(size) + length <= ends)
+    starts = starts[np.argsort(rank[starts])]
+    same = rank[starts[1:]] == rank[starts[:-1]]
+    open_ = np.flatnonzero(~same)
+    for offset in [*range(0, length - q, q), length - q]:
+        open_ = open_[head[starts[open_] + offset] == head[starts[open_ + 1] + offset]]
+    same[open_] = True
+    twice = np.zeros(len(starts), bool)
+    twice[1:] |= same
+    twice[:-1] |= same
+    return np.sort(starts[twice])
 
 
 def _anchor_rows(length: int, gram: int):
@@ -67,12 +97,18 @@ def _anchor_rows(length: int, gram: int):
         for batch in slices(batches):
             data, offsets = text_buffers(batch.column("text"))
             ends = np.repeat(offsets[1:], np.diff(offsets))
-            key, context, lo, place, count = anchors(BYTE_VALUE[data], ends, gram, length)
+            key, context, lo, _, count = anchors(BYTE_VALUE[data], ends, gram, length)
             row = np.searchsorted(offsets, lo, side="right") - 1
+            # Neighbours that agree in gram and surroundings repeat each other; a text that says one thing over and over is one row.
+            again = np.zeros(len(key), bool)
+            again[1:] = (key[1:] == key[:-1]) & (context[1:] == context[:-1]) & (row[1:] == row[:-1]) & (lo[1:] == lo[:-1] + count[:-1])
+            first = np.flatnonzero(~again)
+            repeats = np.diff(np.append(first, len(key)))
+            key, context, row, lo, count = (x[first] for x in (key, context, row, lo, count))
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(context), batch.column("rid").take(take), batch.column("tag").take(take), pa.array(lo - offsets[row]), pa.array(place.astype(np.int32)), pa.array(count.astype(np.int32))],
-                names=["key", "context", "rid", "tag", "lo", "place", "count"],
+                [pa.array(key), pa.array(context), batch.column("rid").take(take), batch.column("tag").take(take), pa.array(lo - offsets[row]), pa.array(count.astype(np.int32)), pa.array(repeats)],
+                names=["key", "context", "rid", "tag", "lo", "count", "repeats"],
             )
 
     return work
@@ -180,29 +216,20 @@ def _removed(batches: Iterator[pa.RecordBatch], whole_characters: bool) -> Itera
             parts.append(text[at:])
             kept.append(b"".join(parts))
             spans.append([{"start": s, "end": e} for s, e in found])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("carried"), pa.array(np.diff(offsets)), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["doc_id", "carried", "n_bytes", "kept", "spans"]
-        )
-
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.diff(offsets)), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["row", "n_bytes", "kept", "spans"])
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, most: int = 8192, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
-    """Per document: doc_id, the carried columns, n_bytes, kept (the bytes left), spans (removed bytes, maximal and in order).
 
-    With whole_characters, bytes of characters that a span cuts are kept, so that what is left is valid text.
-    """
-    carried = F.struct(*(docs[c] for c in carry)) if carry else F.struct(F.lit(0).alias("none"))
-    own = docs.select(
-        docs["doc_id"], docs["text"], carried.alias("carried"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("rid"), F.hash(docs["text"]).alias("tag")
-    )
-    texts = own.select("rid", "tag", "text")
-    rows = materialized(texts.mapInArrow(_anchor_rows(length, gram), "key long, context long, rid long, tag int, lo long, place int, count int"), "anchors")
+def _repeated_spans(texts: DataFrame, length: int, gram: int, most: int) -> DataFrame:
+    """Spans of bytes to remove (rid, tag, spans) of texts (rid, tag, text)."""
+    kind = "key long, context long, rid long, tag int, lo long, count int, repeats long"
+    rows = materialized(texts.mapInArrow(_anchor_rows(length, gram), kind), "anchors")
     # Grams that occur once represent windows that occur once.
-    often = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    found = materialized(rows.join(often, "key").drop("place"), "repeated")
-    same = found.groupBy("key", "context").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "tag", "lo", "count")).alias("one"))
+    often = rows.groupBy("key").agg(F.sum("repeats").alias("n")).filter("n > 1").select("key")
+    found = materialized(rows.join(often, "key"), "repeated")
+    same = found.groupBy("key", "context").agg(F.sum("repeats").alias("copies"), F.min(F.struct("rid", "tag", "lo", "count")).alias("one"))
     same = materialized(same, "surroundings")
-    copies = found.join(same.filter("copies > 1").select("key", "context"), ["key", "context"])
-    whole = copies.select("rid", "tag", F.col("lo").alias("s"), (F.col("lo") + F.col("count") - 1 + length).alias("e"))
+    copies = found.filter("repeats = 1").join(same.filter("copies > 1").select("key", "context"), ["key", "context"], "left_semi").unionByName(found.filter("repeats > 1"))
+    whole = copies.select("rid", "tag", F.col("lo").alias("s"), (F.col("lo") + F.col("repeats") * F.col("count") - 1 + length).alias("e"))
     differing = same.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     wanted = same.join(differing, "key").select("key", "copies", "one.*", "n")
     by_text = wanted.groupBy("rid", "tag").agg(F.collect_list(F.struct("key", "copies", "lo", "count")).alias("wanted"))
@@ -215,8 +242,31 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, most: int
     windows = windows.withColumn("string", F.md5(F.expr(f"substring(around, at + 1, {length})")))
     twice = windows.groupBy("key", "string").agg(F.count("*").alias("n")).filter("n > 1").select("key", "string")
     split = windows.filter("copies = 1").join(twice, ["key", "string"]).select("rid", "tag", (F.col("lo") + F.col("at")).alias("s"), (F.col("lo") + F.col("at") + length).alias("e"))
-    spans = whole.unionByName(refined).unionByName(split).groupBy("rid", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    kinds = docs.select(docs["doc_id"], carried.alias("carried")).schema
-    kinds = StructType(kinds.fields + StructType.fromDDL("n_bytes long, kept binary, spans array<struct<start:long,end:long>>").fields)
-    out = own.join(spans, ["rid", "tag"], "left").select("doc_id", "carried", "text", "spans").mapInArrow(lambda batches: _removed(batches, whole_characters), kinds)
-    return out.select("doc_id", *([F.col(f"carried.{c}").alias(c) for c in carry]), "n_bytes", "kept", "spans")
+    return whole.unionByName(refined).unionByName(split).groupBy("rid", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+
+
+def _cut(docs: DataFrame, row: Column, length: int, gram: int, most: int, whole_characters: bool) -> DataFrame:
+    """row (a struct, whatever the columns' names), n_bytes, kept and spans of each document."""
+    own = docs.select(row.alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("rid"), F.hash(docs["text"]).alias("tag"), docs["text"].alias("text"))
+    spans = _repeated_spans(own.select("rid", "tag", "text"), length, gram, most)
+    wide = own.join(spans, ["rid", "tag"], "left").select("row", "text", "spans")
+    kind = StructType([wide.schema["row"], *StructType.fromDDL("n_bytes long, kept binary, spans array<struct<start:long,end:long>>").fields])
+    return wide.mapInArrow(lambda batches: _removed(batches, whole_characters), kind)
+
+
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, most: int = 8192, whole_characters: bool = False) -> DataFrame:
+    """Per document: doc_id, n_bytes, kept (the bytes left), spans (removed bytes, maximal and in order).
+
+    With whole_characters, bytes of characters that a span cuts are kept, so that what is left is valid text.
+    """
+    out = _cut(docs, F.struct(docs["doc_id"].alias("doc_id")), length, gram, most, whole_characters)
+    return out.select("row.doc_id", "n_bytes", "kept", "spans")
+
+
+def without_repeats(docs: DataFrame, length: int = 200, gram: int = 32, most: int = 8192) -> DataFrame:
+    """docs with their columns as they are, but for text, from which repeats are gone, and n_chars, if there is one. A null text stays null."""
+    others = [c for c in docs.columns if c != "text"]
+    out = _cut(docs, F.struct(docs["text"].isNull().alias("text"), *(docs[c].alias(c) for c in others)), length, gram, most, True)
+    text = F.when(~F.col("row.text"), F.col("kept").cast("string"))
+    counted = {"text": text, "n_chars": F.length(F.col("kept").cast("string")).cast("long")}
+    return out.select(*(counted[c].alias(c) if c in counted else F.col("row").getField(c).alias(c) for c in docs.columns))
