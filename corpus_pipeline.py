@@ -2,19 +2,21 @@
 
 quality (drop what the classifier rejects), near_duplicates (one document of each group stays), repeats (repeated
 passages are cut out), decontamination (documents that hold benchmark items go), packing (pieces of token sequences).
+
+Defined results: a null text counts as empty in every stage and stays null; rows with a null doc_id stay unless rejected or contaminated; of rows with
+one doc_id one stays; further columns, whatever their names, pass through all stages but the last; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomstone.llm.decontam import decontaminated
 from loomstone.llm.minhash import without_near_duplicates
 from loomstone.llm.packing import pack_documents
-from loomstone.llm.quality import train, with_score
-from loomstone.llm.suffix_dedup import remove_repeats
+from loomstone.llm.quality import at_least, train
+from loomstone.llm.suffix_dedup import without_repeats
 from loomstone.session import importable, materialized, table
 
 LEAST_QUALITY = 0.5
@@ -23,7 +25,7 @@ LEAST_QUALITY = 0.5
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
-    return with_score(docs, model, "quality_score").filter(F.col("quality_score") >= LEAST_QUALITY).drop("quality_score")
+    return at_least(docs, model, LEAST_QUALITY)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = remove_repeats(docs, carry=others, whole_characters=True).withColumn("text", F.col("kept").cast("string"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return without_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
