@@ -6,10 +6,10 @@ each run on the fingerprint, matches are verified (see below), and what is new b
 run; when there are more than `most_runs`, all are merged into one by a merge join that moves no data.
 
 A fingerprint is the hash of the smallest gram of a window (textual.anchors); a row stands for the neighbouring
-windows that one gram represents and holds a hash of all words under them. Rows that agree in both (64 bits each) repeat as a whole
-without words being read again, and only the first of each is looked at further, so a passage may have any number of copies. First rows that agree in
-the gram alone are verified window by window. All 64 bits of the context are kept, since inside one gram they alone tell surroundings apart: n of them
-give about n * n / 2**65 false agreements.
+windows that one gram represents and holds a hash of all words under them (64 bits), and another, independent one (64 bits) by which a match is verified. Rows that
+agree in all three repeat as a whole, and only the first of each is looked at further, so a passage may have any number of copies. First rows that agree in
+the gram alone are verified window by window, on words read again. Inside one gram the 128 bits of the two hashes tell surroundings apart: n of them
+give about n * n / 2**129 false agreements. Neighbouring rows that agree in all three (a text that says one thing over and over) are one row.
 
 Defined results: a null or empty text has no words; texts shorter than a window keep all; rows with one doc_id and text count as the same place, so
 neither is earlier; those with one doc_id and other texts are ordered by a hash of the text; null doc_ids come first; an empty table gives no rows.
@@ -31,22 +31,35 @@ from loomstone.session import drop_scratch, materialized, scratch_path
 FIRST = -(1 << 63)
 
 
+def _checked(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of words for hashes independent of the fingerprints."""
+    return prefix(mix(words.value ^ np.uint64(0xD6E8FEB86659FD93)))
+
+
 def _fingerprints(window: int, gram: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words = Words(*text_buffers(batch.column("text")))
             key, context, lo, _, count = anchors(words.value, np.repeat(words.first[1:], np.diff(words.first)), gram, window)
             row = words.row[lo]
+            again = np.zeros(len(key), bool)
+            again[1:] = (key[1:] == key[:-1]) & (context[1:] == context[:-1]) & (row[1:] == row[:-1]) & (lo[1:] == lo[:-1] + count[:-1])
+            first = np.flatnonzero(~again)
+            repeats = np.diff(np.append(first, len(key)))
+            key, context, row, lo, count = (x[first] for x in (key, context, row, lo, count))
+            check = signed(run(_checked(words), lo, lo + count - 1 + window))
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(context), batch.column("rid").take(take), batch.column("tag").take(take), pa.array((lo - words.first[row]).astype(np.int32)), pa.array(count.astype(np.int16))],
-                names=["key", "context", "rid", "tag", "lo", "count"],
+                [pa.array(key), pa.array(context), pa.array(check), batch.column("rid").take(take), batch.column("tag").take(take), pa.array((lo - words.first[row]).astype(np.int32)), pa.array(count.astype(np.int16)), pa.array(repeats.astype(np.int32))],
+                names=["key", "context", "check", "rid", "tag", "lo", "count", "repeats"],
             )
 
     return work
 
 
-_KIND = "key long, context long, rid long, tag int, lo int, count short"
+_KIND = "key long, context long, check long, rid long, tag int, lo int, count short, repeats int"
+#: What rows that repeat as a whole agree in.
+_SAME = ["key", "context", "check"]
 
 
 def _verified_windows(window: int):
@@ -62,7 +75,7 @@ def _verified_windows(window: int):
             start = lo[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
             row = each[of]
             begin = words.first[row] + start
-            hashes = run(prefix(mix(words.value ^ np.uint64(0xD6E8FEB86659FD93))), begin, begin + window)
+            hashes = run(_checked(words), begin, begin + window)
             take, rows = pa.array(of), pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [flat.field("key").take(take), pa.array(signed(hashes)), batch.column("rid").take(rows), batch.column("tag").take(rows), pa.array(start.astype(np.int32)), flat.field("fresh").take(take)], names=["key", "hash", "rid", "tag", "start", "fresh"]
@@ -103,7 +116,7 @@ class FingerprintIndex:
 
     def _write(self, rows: DataFrame) -> None:
         name = f"loomstone_run_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, "key").sortBy("key", "context").option("path", scratch_path(self.spark, "run")).saveAsTable(name)
+        rows.write.bucketBy(self.buckets, "key").sortBy(*_SAME).option("path", scratch_path(self.spark, "run")).saveAsTable(name)
         self.runs.append((name, self.spark.table(name)))
 
     def compact(self) -> None:
@@ -115,8 +128,8 @@ class FingerprintIndex:
         for _, other in old[1:]:
             one, two = (F.struct(*(F.col(f"{x}.{c}") for c in ("rid", "tag", "lo", "count"))) for x in "ab")
             first = F.least(F.when(F.col("a.key").isNotNull(), one), F.when(F.col("b.key").isNotNull(), two))
-            merged = merged.alias("a").join(other.alias("b"), F.expr("a.key = b.key and a.context = b.context"), "full_outer")
-            merged = merged.select(F.coalesce("a.key", "b.key").alias("key"), F.coalesce("a.context", "b.context").alias("context"), first.alias("first")).select("key", "context", "first.*")
+            merged = merged.alias("a").join(other.alias("b"), F.expr(" and ".join(f"a.{c} = b.{c}" for c in _SAME)), "full_outer")
+            merged = merged.select(*(F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in _SAME), first.alias("first")).select(*_SAME, "first.*")
         self.runs = []
         self._write(merged)
         for name, table in old:
@@ -137,10 +150,13 @@ class FingerprintIndex:
         matched = materialized(rows.join(hit, "key"), "matched")
         seen = matched.withColumn("fresh", F.lit(True))
         for _, past in self.runs:
-            seen = seen.unionByName(past.join(hit, "key").withColumn("fresh", F.lit(False)))
-        firsts = materialized(seen.groupBy("key", "context").agg(F.min(F.struct("rid", "tag", "lo", "count", "fresh")).alias("first")), "firsts")
-        later = matched.join(firsts, ["key", "context"]).filter(F.struct("rid", "tag", "lo") > F.struct("first.rid", "first.tag", "first.lo"))
-        whole = later.select("rid", "tag", F.col("lo").alias("s"), (F.col("lo") + F.col("count") - 1 + self.window).alias("e"))
+            seen = seen.unionByName(past.join(hit, "key").withColumn("fresh", F.lit(False)), allowMissingColumns=True)
+        firsts = materialized(seen.groupBy(*_SAME).agg(F.min(F.struct("rid", "tag", "lo", "count", "fresh")).alias("first")), "firsts")
+        later = matched.join(firsts, _SAME).filter(F.struct("rid", "tag", "lo") > F.struct("first.rid", "first.tag", "first.lo"))
+        until = (F.col("lo") + F.col("repeats") * F.col("count") - 1 + self.window).alias("e")
+        whole = later.select("rid", "tag", F.col("lo").alias("s"), until)
+        # Of rows that repeat themselves all but the first occurs earlier in any case.
+        whole = whole.unionByName(rows.filter("repeats > 1").select("rid", "tag", (F.col("lo") + F.col("count")).alias("s"), until))
         mixed = firsts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
         wanted = firsts.join(mixed, "key").select("key", "first.*").groupBy("rid", "tag").agg(F.collect_list(F.struct("key", "lo", "count", "fresh")).alias("wanted"))
         windows = _texts(source).select("rid", "tag", "text").join(wanted, ["rid", "tag"]).mapInArrow(_verified_windows(self.window), "key long, hash long, rid long, tag int, start int, fresh boolean")
@@ -150,7 +166,7 @@ class FingerprintIndex:
         single = single.select("rid", "tag", F.col("start").alias("s"), (F.col("start") + self.window).alias("e"))
         spans = materialized(whole.unionByName(single).groupBy("rid", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
         if remember:
-            new = rows.groupBy("key", "context").agg(F.min(F.struct("rid", "tag", "lo", "count")).alias("first")).select("key", "context", "first.*")
+            new = rows.groupBy(*_SAME).agg(F.min(F.struct("rid", "tag", "lo", "count")).alias("first")).select(*_SAME, "first.*")
             self._write(new.repartition(self.buckets, "key"))
         for table in (rows, matched, firsts, windows):
             drop_scratch(table)

@@ -49,7 +49,7 @@ def frame(spark, rows):
 def test_repeats(spark, most):
     rows, n = corpus(), 40
     counts = Counter(b[i : i + n] for _, t in rows for b in [(t or "").encode()] for i in range(len(b) - n + 1))
-    got = {r.doc_id: r for r in remove_repeats(frame(spark, rows).drop("kept"), length=n, gram=12, most=most).collect()}
+    got = {r.doc_id: r for r in remove_repeats(frame(spark, rows), length=n, gram=12, most=most).collect()}
     assert len(got) == len(rows)
     for i, t in rows:
         b = (t or "").encode()
@@ -63,7 +63,7 @@ def test_repeats(spark, most):
 
 def test_whole_characters(spark):
     rows = [(1, "ab" + "é" * 60), (2, "xyz" + "é" * 60), (3, None)]
-    for r in remove_repeats(frame(spark, rows).drop("kept"), length=41, gram=12, whole_characters=True).collect():
+    for r in remove_repeats(frame(spark, rows), length=41, gram=12, whole_characters=True).collect():
         bytes(r.kept or b"").decode()
 
 
@@ -109,9 +109,9 @@ def test_compaction_keeps_the_index(spark):
     index = FingerprintIndex(spark, window=8, gram=3, most_runs=10)
     for low in range(0, 120, 40):
         index.take_in(docs.filter(f"doc_id >= {low} and doc_id < {low + 40}"), docs)
-    before = {(r.key, r.context) for _, t in index.runs for r in t.collect()}
+    before = {(r.key, r.context, r.check) for _, t in index.runs for r in t.collect()}
     index.compact()
-    assert len(index.runs) == 1 and {(r.key, r.context) for r in index.runs[0][1].collect()} == before
+    assert len(index.runs) == 1 and {(r.key, r.context, r.check) for r in index.runs[0][1].collect()} == before
 
 
 @pytest.mark.parametrize(("percent", "seed"), [(85, 3), (80, 11)])
