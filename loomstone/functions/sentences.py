@@ -9,30 +9,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words after which a period ends no sentence (fixed values).
-ABBREVIATIONS = frozenset("dr mr mrs ms vs etc al fig no approx st".split())
-_STOP = re.compile(r"[.?!]+[\"'”’)\]]*(?=\s|$)")
-_LAST_WORD = re.compile(r"([^\W\d_]+(?:\.[^\W\d_]+)*)$")
+#: What a period that ends no sentence may end (fixed values).
+ABBREVIATIONS = ("dr.", "mr.", "mrs.", "ms.", "prof.", "fig.", "no.", "vs.", "et al.", "e.g.", "i.e.")
+#: White space as browsers take it.
+_SPACE = re.compile("[\t\n\x0b\f\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
+_STOP = re.compile("[.?!][\"'’”)\\]}]*(?= |$)")
+_INITIALS = re.compile("(?:^| )(?:[A-Za-z][.]){2,}$")
 
 
 def split_sentences(text: str | None) -> list[str]:
-    """Sentences of a text: cut after . ? or ! (with closing quotes) before white space or the end.
+    """Sentences of a text, white space collapsed: cut after . ? or ! (with closing quotes) before a space or the end.
 
-    Periods of abbreviations and of initials such as e.g. and i.e. don't end one; decimals have no space after theirs.
+    A period after an abbreviation, or after two initials or more, ends none; decimals have no space after theirs.
     """
+    text = _SPACE.sub(" ", text or "").strip(" ")
     out, begin = [], 0
-    text = text or ""
     for stop in _STOP.finditer(text):
-        if stop.group()[0] == "." and stop.end() < len(text):
-            word = _LAST_WORD.search(text, begin, stop.start())
-            if word and (word[1].lower() in ABBREVIATIONS or re.fullmatch(r"[A-Za-z](\.[A-Za-z])*", word[1])):
-                continue
-        if piece := text[begin : stop.end()].strip():
-            out.append(piece)
+        upto = text[max(0, stop.start() - 40) : stop.start() + 1]
+        if upto.endswith(".") and (upto.lower().endswith(ABBREVIATIONS) or _INITIALS.search(upto)):
+            continue
+        out.append(text[begin : stop.end()].strip(" "))
         begin = stop.end()
-    if piece := text[begin:].strip():
-        out.append(piece)
-    return out
+    return [piece for piece in (*out, text[begin:].strip(" ")) if piece]
 
 
 def with_sentences(rows: DataFrame, column: str = "text", out: str = "sentences") -> DataFrame:

@@ -11,8 +11,16 @@ from pyspark.sql import functions as F
 MULTI_VALUE = "[·,;\\n]"
 #: Answers that mean nothing was entered (fixed values).
 BLANK_ANSWERS = ("", "없음", "없어요", "모름", "모르겠어요", "해당없음", "-")
-#: Words that content_tokens leaves out.
-STOP_WORDS = ("that", "with", "from", "this", "were", "have", "which", "their", "than", "these")
+#: Words that content_tokens leaves out (fixed values).
+STOP_WORDS = (
+    "the", "and", "for", "with", "that", "this", "were", "was", "are", "from",
+    "have", "has", "had", "not", "but", "than", "into", "also", "may", "can",
+    "results", "conclusions", "background", "methods", "objective", "study",
+    "patients", "group", "groups", "among", "between", "after", "before",
+)
+
+
+NUMBER = "([0-9]+(?:[.,][0-9]+)*)"
 
 
 def word_pattern(words: str) -> str:
@@ -21,9 +29,9 @@ def word_pattern(words: str) -> str:
 
 
 def normalize_doi(doi: Column) -> Column:
-    """Trimmed, lowered, without resolver or doi: prefix, spaces and final punctuation."""
-    bare = F.regexp_replace(F.lower(F.trim(doi)), r"^(https?://(dx\.)?doi\.org/|doi:)", "")
-    return F.regexp_replace(F.replace(bare, F.lit(" "), F.lit("")), "[.,;]+$", "")
+    """Lowered, without resolver or doi: prefix, white space of any kind and final punctuation."""
+    bare = F.regexp_replace(F.lower(doi), r"(?U)^\s*(https?://(dx\.)?doi\.org/|doi:)?|\s+", "")
+    return F.regexp_replace(bare, "[.,;]+$", "")
 
 
 def paper_identity(doi: Column, title: Column, record_id: Column) -> Column:
@@ -91,8 +99,8 @@ def read_field(text: Column, most: int = 120) -> Column:
 
 
 def numbers_in(text: Column) -> Column:
-    """Distinct numbers of a text, thousands separators removed."""
-    found = F.regexp_extract_all(text, F.lit(r"([0-9][0-9,]*(?:\.[0-9]+)?)"), 1)
+    """Distinct numbers of a text (digits with points or commas between), commas removed."""
+    found = F.regexp_extract_all(text, F.lit(NUMBER), 1)
     return F.array_distinct(F.transform(found, lambda n: F.replace(n, F.lit(","), F.lit(""))))
 
 
@@ -132,6 +140,11 @@ def flagged(flags: dict[str, Column], default: str | None = None) -> Column:
     return F.when(F.size(names) == 0, F.array(F.lit(default))).otherwise(names) if default else names
 
 
+def first_line(text: Column) -> Column:
+    """What stands before the first line break: the title of a document."""
+    return F.substring_index(text, "\n", 1)
+
+
 def canonical_hash(*columns: Column) -> Column:
     """SHA-256 of the columns as text with | between."""
     return F.sha2(F.concat_ws("|", *(c.cast("string") for c in columns)), 256)

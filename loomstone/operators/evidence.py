@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.text import canonical_hash
+from loomstone.session import materialized
 
 
 def deduplicate(rows: DataFrame, group: list[str], identity: Column, order: list[Column]) -> DataFrame:
@@ -39,20 +41,67 @@ def overlay(base: DataFrame, over: DataFrame, key: list[str], column: str, sourc
 def stratified_sample(rows: DataFrame, stratum: list[str], key: list[str], seed: str, n: int) -> DataFrame:
     """The n rows of each stratum with the smallest SHA-256 of seed and key, with population, census and weight."""
     rank = Window.partitionBy(*stratum).orderBy(canonical_hash(F.lit(seed), *(F.col(k) for k in key)), *key)
-    sized = rows.withColumn("rank", F.row_number().over(rank)).withColumn("population", F.count("*").over(Window.partitionBy(*stratum)))
-    taken = sized.filter(F.col("rank") <= n)
+    taken = rows.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= n)  # nothing else over this window, so tasks pass on n rows of a stratum
+    sizes = rows.groupBy(*(F.col(c).alias(f"__{c}") for c in stratum)).agg(F.count("*").alias("population"))
+    taken = taken.join(sizes, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in stratum))).drop(*(f"__{c}" for c in stratum))
     census = F.col("population") <= n
     return taken.withColumn("census", census).withColumn("weight", F.when(census, 1.0).otherwise(F.col("population") / n))
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str | Column], column: str) -> DataFrame:
+    """rows numbered from 0 in each group, in two passes, so that a group is many tasks' work.
+
+    Rows are dealt out by ranges of group and order; each range counts its rows of a group, and a range's numbers begin where those before it end.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *group, *order).withColumn("__range", F.spark_partition_id())
+    dealt = materialized(dealt, "ranges")  # the ranges are drawn once
+    counts = dealt.groupBy(*group, "__range").agg(F.count("*").alias("__rows"))  # a row for each group in each range
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0))).select(*(F.col(c).alias(f"__{c}") for c in group), F.col("__range").alias("__r"), "__before")
+    inside = F.row_number().over(Window.partitionBy(*group, "__range").orderBy(*order)) - 1
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group), F.col("__range") == F.col("__r"))
+    out = dealt.withColumn("__inside", inside).join(counts, same)
+    return out.select(*rows.columns, (F.col("__before") + F.col("__inside")).alias(column))
+
+
 def even_batches(rows: DataFrame, group: list[str], order: list[str], pieces: int) -> DataFrame:
     """Contiguous batches whose sizes differ by one at most, larger first."""
-    return rows.withColumn("batch", F.ntile(pieces).over(Window.partitionBy(*group).orderBy(*order)))
+    out = numbered(rows, group, order, "__i")
+    sizes = out.groupBy(*(F.col(c).alias(f"__{c}") for c in group)).agg(F.count("*").alias("__n"))
+    out = out.join(sizes, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group)))
+    small, larger = F.floor(F.col("__n") / pieces), F.col("__n") % pieces
+    inside = F.when(F.col("__i") < larger * (small + 1), F.floor(F.col("__i") / (small + 1))).otherwise(larger + F.floor((F.col("__i") - larger * (small + 1)) / F.greatest(small, F.lit(1))))
+    return out.select(*rows.columns, (inside + 1).cast("int").alias("batch"))
 
 
 def chunk_numbers(rows: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:
     """Batches of size rows, from 0."""
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1) / size))
+    return numbered(rows, group, order, "__i").select(*rows.columns, F.floor(F.col("__i") / size).alias("chunk"))
+
+
+def overlapping(few: DataFrame, many: DataFrame, few_key: str, many_key: str, least: float) -> DataFrame:
+    """Pairs whose arrays `tokens` (distinct) share at least that part of the smaller one: few_key, many_key, shared, overlap.
+
+    Of a smaller side with n tokens all but least * n - 1, the ones that are rarest in `few`, are enough to meet the other side by; so frequent
+    words bring nothing together, and common tokens are counted for candidates only.
+    """
+    few, many = (x.filter(F.size("tokens") > 0).select(F.col(k).alias(f"__{s}"), "tokens", F.size("tokens").alias(f"n_{s}")) for x, k, s in ((few, few_key, "a"), (many, many_key, "b")))
+    held = few.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("held"))
+
+    def rare(side: DataFrame, s: str) -> DataFrame:
+        each = side.select(f"__{s}", f"n_{s}", F.explode("tokens").alias("token")).join(held, "token", "left")
+        place = F.row_number().over(Window.partitionBy(f"__{s}").orderBy(F.coalesce("held", F.lit(0)), "token"))
+        enough = F.col(f"n_{s}") - F.greatest(F.ceil(F.col(f"n_{s}") * least - 1e-9), F.lit(1)) + 1
+        return each.withColumn("place", place).filter((F.col("place") <= enough) & F.col("held").isNotNull()).select(f"__{s}", f"n_{s}", "token")
+
+    full = lambda side, s: side.select(f"__{s}", f"n_{s}", F.explode("tokens").alias("token"))
+    met = rare(few, "a").join(full(many, "b"), "token").filter("n_a <= n_b").select("__a", "__b")
+    met = met.unionByName(rare(many, "b").join(full(few, "a"), "token").filter("n_b < n_a").select("__a", "__b")).distinct()
+    both = met.join(few, "__a").join(many.withColumnRenamed("tokens", "tokens_b"), "__b").withColumn("shared", F.size(F.array_intersect("tokens", "tokens_b")).cast("long"))
+    out = both.withColumn("overlap", F.round(F.col("shared") / F.least("n_a", "n_b"), 9)).filter(F.col("overlap") >= least)
+    return out.select(F.col("__a").alias(few_key), F.col("__b").alias(many_key), "shared", "overlap")
 
 
 def greedy_bins(rows: DataFrame, group: str, order: str, size: str, most_items: int = 30, most_size: int = 60_000) -> DataFrame:

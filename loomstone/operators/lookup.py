@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.text import content_tokens, rotation_key
+from loomstone.operators.evidence import numbered
 
 
 def axis_table(rows: DataFrame, key: list[str], axes: dict[str, Column]) -> DataFrame:
@@ -17,9 +18,9 @@ def axis_table(rows: DataFrame, key: list[str], axes: dict[str, Column]) -> Data
     return rows.select(*key, F.explode(names).alias("axis"))
 
 
-def postings(bridge: DataFrame, group: str, key: str) -> DataFrame:
-    """An inverted index: (group, axis) with its sorted keys and their number."""
-    return bridge.groupBy(group, "axis").agg(F.sort_array(F.collect_list(key)).alias("ids"), F.count("*").alias("n"))
+def postings(bridge: DataFrame, group: str, key: str, block: int = 4096) -> DataFrame:
+    """An inverted index: (group, axis, block) with its sorted keys and their number; a block holds a range of `block` numeric keys, so no row grows with the table."""
+    return bridge.groupBy(group, "axis", F.floor(F.col(key) / block).alias("block")).agg(F.sort_array(F.collect_list(key)).alias("ids"), F.count("*").alias("n"))
 
 
 def coverage(bridge: DataFrame, group: str, grid: DataFrame) -> DataFrame:
@@ -68,8 +69,8 @@ def band_pages(rows: DataFrame, group: str, score: list[Column], seed: str, key:
     Rows in score order are cut into `page` bands at floor((b + 1) * n / page); inside a band they stand by rotation
     key, largest first; page j takes the j-th of each band.
     """
-    position = Window.partitionBy(group).orderBy(*score)
-    out = rows.withColumn("__i", F.row_number().over(position) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(group)))
+    out = numbered(rows, [group], score, "__i")
+    out = out.join(out.groupBy(group).agg(F.count("*").alias("__n")), group)
     width = F.col("__n") / F.lit(float(page))
     bands = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(page - 1)), lambda k: (k == page - 1) | (F.floor((k + 1) * width) > F.col("__i"))))
     out = out.withColumn("band", F.when(F.col("__n") <= page, F.lit(0)).otherwise(bands))

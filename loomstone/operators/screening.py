@@ -17,7 +17,10 @@ def decide(rows: DataFrame, p: Column, i: Column, o: Column, negative: Column, a
     A record with an explicit negative is set aside. By title alone, two kinds of evidence retain and one leaves it open, all at low
     confidence. With an abstract, three retain at high and two at medium confidence; fewer set a detailed one aside and leave another open.
     """
-    p, i, o, negative = (F.coalesce(c, F.lit(False)) for c in (p, i, o, negative))
+    # Patterns are matched once: the filter of a whole-row array keeps the optimiser from writing each flag out wherever it is used.
+    flags = F.filter(F.array(*(F.coalesce(c, F.lit(False)) for c in (p, i, o, negative))), lambda x: x.isNotNull())
+    rows = rows.withColumn("__flags", flags)
+    p, i, o, negative = (F.col("__flags")[k] for k in range(4))
     titled = F.trim(F.coalesce(abstract, F.lit(""))) == ""
     kinds = p.cast("int") + i.cast("int") + o.cast("int")
     detailed = F.length(F.coalesce(abstract, F.lit(""))) >= DETAILED
@@ -31,6 +34,7 @@ def decide(rows: DataFrame, p: Column, i: Column, o: Column, negative: Column, a
         .withColumn("confidence", sure)
         .withColumn("evidence_basis", F.when(titled, "title_only").otherwise("abstract"))
         .withColumn("reason_codes", codes)
+        .drop("__flags")
     )
 
 

@@ -82,7 +82,7 @@ def core_then_topup(spark: SparkSession, d: str) -> DataFrame:
 
 def postings_index(spark: SparkSession, d: str) -> DataFrame:
     found = lookup.postings(lookup.axis_table(table(spark, d, "documents"), ["lang", "doc_id"], axes()), "lang", "doc_id")
-    return found.select("lang", "axis", F.array_join(F.transform("ids", lambda i: i.cast("string")), "|").alias("ids"), "n")
+    return found.select("lang", "axis", "block", F.array_join(F.transform("ids", lambda i: i.cast("string")), "|").alias("ids"), "n")
 
 
 def leave_one_out_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -148,17 +148,13 @@ def exploded_codes(spark: SparkSession, d: str) -> DataFrame:
 def conditional_counts(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return docs.groupBy("lang").agg(
-        F.count_if(F.col("text").rlike("[0-9]")).alias("with_number"), F.count_if(F.col("n_chars") < 180).alias("title_only"), F.count_distinct(F.substring("text", 1, 60)).alias("titles"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest")
+        F.count_if(F.col("text").rlike("[0-9]")).alias("with_number"), F.count_if(F.col("n_chars") < 180).alias("title_only"), F.count_distinct(T.first_line(F.col("text"))).alias("titles"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest")
     )
 
 
 def token_overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark").select("item_id", T.content_tokens(F.col("text")).alias("tokens"))
-    docs = table(spark, d, "documents").select("doc_id", T.content_tokens(F.col("text")).alias("tokens"))
-    sides = [x.select(k, F.size("tokens").alias(f"n_{k}"), F.explode("tokens").alias("token")) for x, k in ((items, "item_id"), (docs, "doc_id"))]
-    # Only words of an item leave a document; common counts are combined before they are shuffled.
-    common = sides[1].join(sides[0], "token").groupBy("item_id", "n_item_id", "doc_id", "n_doc_id").agg(F.count("*").alias("shared"))
-    return common.withColumn("overlap", F.round(F.col("shared") / F.least("n_item_id", "n_doc_id"), 9)).filter("overlap >= 0.5").select("item_id", "doc_id", "shared", "overlap")
+    items, docs = (table(spark, d, t).select(k, T.content_tokens(F.col("text")).alias("tokens")) for t, k in (("benchmark", "item_id"), ("documents", "doc_id")))
+    return evidence.overlapping(items, docs, "item_id", "doc_id", 0.5)
 
 
 def _positions(pattern: str) -> Column:
@@ -176,17 +172,17 @@ def dose_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def number_check(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers of a document that its first 400 characters don't have."""
-    docs = table(spark, d, "documents").select("doc_id", F.size(F.array_except(T.numbers_in(F.col("text")), T.numbers_in(F.substring("text", 1, 400)))).alias("unsupported"))
+    """Numbers of a document that its first line doesn't have."""
+    docs = table(spark, d, "documents").select("doc_id", F.size(F.array_except(T.numbers_in(F.col("text")), T.numbers_in(T.first_line(F.col("text"))))).alias("unsupported"))
     return docs.filter("unsupported > 0")
 
 
 def title_normalise(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.normalized_title(F.substring("text", 1, 80)).alias("title"))
+    return table(spark, d, "documents").select("doc_id", T.normalized_title(T.first_line(F.col("text"))).alias("title"))
 
 
 def multi_value_split(spark: SparkSession, d: str) -> DataFrame:
-    values = T.split_multi_value(F.substring("text", 1, 200))
+    values = T.split_multi_value(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.size(values).cast("long").alias("n"), T.join_multi_value(values).alias("joined"))
 
 
@@ -195,8 +191,13 @@ def hash_inventory(spark: SparkSession, d: str) -> DataFrame:
 
 
 def partition_check(spark: SparkSession, d: str) -> DataFrame:
+    """Batches that lack what is labelled toxic, repeat what is long and hold some orders, against all documents."""
     docs = table(spark, d, "documents")
-    out = evidence.exact_partition(evidence.even_batches(docs.select("doc_id", "lang"), ["lang"], ["doc_id"], 6).withColumn("part", F.concat("lang", F.lit("-"), "batch")), docs, "part", "doc_id")
+    toxic = table(spark, d, "labels").filter("toxic = 1").select("doc_id")
+    batches = evidence.even_batches(docs.select("doc_id", "lang"), ["lang"], ["doc_id"], 6).withColumn("part", F.concat("lang", F.lit("-"), "batch")).select("doc_id", "part")
+    batches = batches.join(toxic, "doc_id", "left_anti").unionByName(docs.filter("n_chars > 4000").select("doc_id", F.lit("long").alias("part")))
+    foreign = table(spark, d, "customer").select((-F.col("c_custkey") - 1).alias("doc_id"), F.lit("foreign").alias("part"))
+    out = evidence.exact_partition(batches.unionByName(foreign), docs, "part", "doc_id")
     return out.select(*(F.col(c).cast("long").alias(c) for c in out.columns))
 
 
@@ -229,11 +230,11 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """The score of a lookup: fit to the asked axes in the first 300 characters or anywhere, the sentence's quality, and priority."""
+    """The score of a lookup: fit to the asked axes in the title or anywhere, the sentence's quality, and priority."""
     docs = table(spark, d, "documents").filter(axes(("age",))["age"])
-    near = {n: F.substring("text", 1, 300).rlike(AXES[n]) for n in ASKED}
+    near = {n: T.first_line(F.col("text")).rlike(AXES[n]) for n in ASKED}
     fit = sum((F.when(near[n], 3.0).when(c, 1.0).otherwise(0.0) for n, c in axes(ASKED).items()), F.lit(0.0)) / len(ASKED)
-    quality = T.sentence_quality(F.substring("text", 1, 300), F.col("n_chars") < 180)
+    quality = T.sentence_quality(T.first_line(F.col("text")), F.col("n_chars") < 180)
     score = 3 * fit + quality + F.least(F.col("n_chars") / 100, F.lit(30.0)) / 30
     out = docs.select("doc_id", "lang", F.round(score, 6).alias("score"))
     return lookup.top_k(out, ["lang"], [F.desc("score"), F.asc("doc_id")], 30)
@@ -262,7 +263,7 @@ SQL = {
         ext as (select doc_id, lang, n_chars from documents where {" and ".join(map(_sql_axis, ASKED))}),
         t as (select *, 0 tier from core union all select *, 1 tier from ext where doc_id not in (select doc_id from core))
         select doc_id, lang, n_chars, tier::integer tier, r::integer as rank from (select *, row_number() over (partition by lang order by tier, n_chars desc, doc_id) r from t) where r <= 15""",
-    "postings_index": f"select lang, axis, string_agg(doc_id::varchar, '|' order by doc_id) ids, count(*) n from ({_SQL_BRIDGE}) group by lang, axis",
+    "postings_index": f"select lang, axis, (doc_id // 4096)::bigint block, string_agg(doc_id::varchar, '|' order by doc_id) ids, count(*) n from ({_SQL_BRIDGE}) group by all",
     "leave_one_out_counts": "select * from ("
     + " union all ".join(f"select lang, '{n}' axis, count(*) filter ({' and '.join(_sql_axis(a) for a in ASKED if a != n)}) \"without\", count(*) filter ({' and '.join(_sql_axis(a) for a in ASKED if a != n)} and not {_sql_axis(n)}) gain from documents group by lang" for n in ASKED)
     + ") where gain > 0",
@@ -279,25 +280,28 @@ SQL = {
     "two_level_distribution": "select lang, source, count(*) n, sum(n_chars)::bigint chars from documents group by lang, source",
     "source_rollup": "select lang, source, count(*) files, sum(strlen(text))::bigint bytes from documents group by rollup (lang, source)",
     "exploded_codes": "select lang, code, count(*) n from (select lang, unnest(case when len(c) = 0 then ['complete'] else c end) code from (select lang, [x for x in [" + ", ".join(f"case when not {_sql_axis(n)} then '{n}' end" for n in ASKED) + "] if x is not null] c from documents)) group by all",
-    "conditional_counts": "select lang, count(*) filter (regexp_matches(text, '[0-9]')) with_number, count(*) filter (n_chars < 180) title_only, count(distinct text[1:60]) titles, min(n_chars) shortest, max(n_chars) longest from documents group by lang",
+    "conditional_counts": "select lang, count(*) filter (regexp_matches(text, '[0-9]')) with_number, count(*) filter (n_chars < 180) title_only, count(distinct split_part(text, chr(10), 1)) titles, min(n_chars) shortest, max(n_chars) longest from documents group by lang",
     "token_overlap_pairs": f"""with i as (select item_id, list_distinct({_TOKENS.format("text")}) t from benchmark), d as (select doc_id, list_distinct({_TOKENS.format("text")}) t from documents)
         select item_id, doc_id, len(list_intersect(i.t, d.t))::bigint shared, round(len(list_intersect(i.t, d.t)) / least(len(i.t), len(d.t))::double, 9) overlap from i, d where len(i.t) > 0 and len(d.t) > 0 and round(len(list_intersect(i.t, d.t)) / least(len(i.t), len(d.t))::double, 9) >= 0.5""",
     "proximity_match": """with w as (select doc_id, string_split_regex(lower(text), '[^a-z0-9]+') w from documents), p as (select doc_id, [i for x, i in w if regexp_full_match(x, 'with|con|mit|des')] a, [i for x, i in w if regexp_full_match(x, 'from|para|von|une')] b from w)
         select doc_id, len(list_filter(a, lambda x: len(list_filter(b, lambda y: abs(x - y) <= 5)) > 0)) > 0 near from p""",
     "dose_extract": f"select doc_id, array_to_string({_ORDERED.format('l')}[1:8], ' | ') doses from (select doc_id, regexp_extract_all(text, '([0-9]+(?:[.,][0-9]+)?)', 1) l from documents) where len(l) > 0",
-    "number_check": "select * from (select doc_id, len(list_distinct([x for x in a if not list_contains(b, x)]))::integer unsupported from (select doc_id, list_transform(regexp_extract_all(text, '([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), lambda x: replace(x, ',', '')) a, list_transform(regexp_extract_all(text[1:400], '([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), lambda x: replace(x, ',', '')) b from documents)) where unsupported > 0",
-    "title_normalise": "select doc_id, trim(regexp_replace(lower(text[1:80]), '[^a-z0-9가-힣]+', ' ', 'g'), ' ') title from documents",
-    "multi_value_split": f"select doc_id, len(v)::bigint n, array_to_string(v, ' · ') joined from (select doc_id, {_ORDERED.format('l')} v from (select doc_id, list_filter(list_transform(string_split_regex(text[1:200], '[·,;\\n]'), lambda x: trim(x, ' ')), lambda x: x <> '') l from documents))",
+    "number_check": f"select * from (select doc_id, len(list_distinct([x for x in a if not list_contains(b, x)]))::integer unsupported from (select doc_id, list_transform(regexp_extract_all(text, '{T.NUMBER}', 1), lambda x: replace(x, ',', '')) a, list_transform(regexp_extract_all(split_part(text, chr(10), 1), '{T.NUMBER}', 1), lambda x: replace(x, ',', '')) b from documents)) where unsupported > 0",
+    "title_normalise": "select doc_id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9가-힣]+', ' ', 'g'), ' ') title from documents",
+    "multi_value_split": f"select doc_id, len(v)::bigint n, array_to_string(v, ' · ') joined from (select doc_id, {_ORDERED.format('l')} v from (select doc_id, list_filter(list_transform(string_split_regex(text, '[·,;\\n]'), lambda x: trim(x, ' ')), lambda x: x <> '') l from documents))",
     "hash_inventory": "select doc_id, sha256(text) sha256, strlen(text)::bigint bytes from documents",
-    "partition_check": "select count(*) as rows, count(distinct doc_id) distinct_keys, count(distinct lang || '-' || b) parts, 0::bigint missing, 0::bigint \"foreign\", count(*) expected from (select doc_id, lang, ntile(6) over (partition by lang order by doc_id) b from documents)",
+    "partition_check": """with b as (select doc_id, lang || '-' || ntile(6) over (partition by lang order by doc_id) part from documents), t as (select doc_id from labels where toxic = 1),
+        p as (select * from b where doc_id not in (select doc_id from t where doc_id is not null) union all select doc_id, 'long' from documents where n_chars > 4000 union all select -c_custkey - 1, 'foreign' from customer)
+        select count(*) as rows, count(distinct doc_id) distinct_keys, count(distinct part) parts, (select count(*) from documents where doc_id not in (select doc_id from p)) missing,
+        (select count(*) from p where doc_id not in (select doc_id from documents)) "foreign", (select count(*) from documents) expected from p""",
     "validation_errors": "select doc_id, array_to_string(e, ',') errors from (select doc_id, [x for x in [case when not n_chars >= 60 then 'long_enough' end, case when length(text) <> n_chars then 'counted' end, case when lang not in ('en', 'fr', 'de') then 'known_lang' end, case when contains(text, '|') then 'no_pipe' end] if x is not null] e from documents) where len(e) > 0",
     "even_batches": "select doc_id, lang, ntile(7) over (partition by lang order by doc_id) batch, ((row_number() over (partition by lang order by doc_id) - 1) // 25)::bigint as chunk from documents",
     "greedy_bins": """with recursive o as (select lang || '-' || source as part, doc_id, n_chars, row_number() over (partition by lang, source order by doc_id) r from documents),
         f as (select part, doc_id, r, 1 as bin, 1 as items, n_chars as total from o where r = 1
         union all select o.part, o.doc_id, o.r, case when f.items >= 30 or f.total + o.n_chars > 60000 then f.bin + 1 else f.bin end, case when f.items >= 30 or f.total + o.n_chars > 60000 then 1 else f.items + 1 end, case when f.items >= 30 or f.total + o.n_chars > 60000 then o.n_chars else f.total + o.n_chars end from f join o on o.part = f.part and o.r = f.r + 1)
         select part, doc_id, bin::integer bin from f""",
-    "scored_lookup": f"""with s as (select doc_id, lang, round(3 * (({" + ".join(f"case when {_sql_axis(n, 'text[1:300]')} then 3.0 when {_sql_axis(n)} then 1.0 else 0.0 end" for n in ASKED)})::double / 3) + (case when regexp_matches(lower(text[1:300]), '^(results?|conclusions?|findings?)\\b') then 1.5 else 0 end + case when regexp_matches(text[1:300], '(^|[^A-Za-z])[0-9]') then 1 else 0 end
-        + case when regexp_matches(lower(text[1:300]), 'increase|decrease|reduc|associat|risk|higher|lower|significant') then 1 else 0 end + case when length(text[1:300]) >= 90 then 0.5 else 0 end - case when n_chars < 180 then 2 else 0 end)::double + least(n_chars / 100.0::double, 30) / 30, 6) score from documents where {_sql_axis("age")})
+    "scored_lookup": f"""with s as (select doc_id, lang, round(3 * (({" + ".join(f"case when {_sql_axis(n, 'split_part(text, chr(10), 1)')} then 3.0 when {_sql_axis(n)} then 1.0 else 0.0 end" for n in ASKED)})::double / 3) + (case when regexp_matches(lower(split_part(text, chr(10), 1)), '^(results?|conclusions?|findings?)\\b') then 1.5 else 0 end + case when regexp_matches(split_part(text, chr(10), 1), '(^|[^A-Za-z])[0-9]') then 1 else 0 end
+        + case when regexp_matches(lower(split_part(text, chr(10), 1)), 'increase|decrease|reduc|associat|risk|higher|lower|significant') then 1 else 0 end + case when length(split_part(text, chr(10), 1)) >= 90 then 0.5 else 0 end - case when n_chars < 180 then 2 else 0 end)::double + least(n_chars / 100.0::double, 30) / 30, 6) score from documents where {_sql_axis("age")})
         select * from (select *, (row_number() over (partition by lang order by score desc, doc_id))::integer as rank from s) where rank <= 30""",
 }
 QUERIES = {

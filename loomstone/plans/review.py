@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as T
-from loomstone.operators import lookup, review
+from loomstone.operators import evidence, lookup, review
 from loomstone.plans.documents import _SQL_BRIDGE, AXES, axes
 from loomstone.session import table
 
@@ -38,15 +38,16 @@ def in_core_marker(spark: SparkSession, d: str) -> DataFrame:
 
 
 def card_leaks(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("title"), F.regexp_extract("source", "([0-9]+)", 1).alias("place"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("title"), F.regexp_extract("source", "([0-9]+)", 1).alias("place"))
     cards = table(spark, d, "labels").select("doc_id", F.col("quality").alias("__label")).join(docs, "doc_id")
     return review.leaks(cards, ["doc_id"], ["doc_id", "title", "place"], "retain|deprioritize", F.col("__label"))
 
 
 def expectation_merge(spark: SparkSession, d: str) -> DataFrame:
+    """What is good is expected to stay, what is toxic to go; both at once is a conflict."""
     labels = table(spark, d, "labels")
-    built_in = labels.filter("doc_id % 2 = 0").select("doc_id", F.col("quality").alias("expected"))
-    return review.merged_expectations(built_in, labels.filter("doc_id % 3 = 0").select("doc_id", F.col("toxic").alias("expected")), ["doc_id"], "expected")
+    stay, go = (labels.filter(f"{c} = 1").select("doc_id", F.lit(v).alias("expected")) for c, v in (("quality", "retain"), ("toxic", "deprioritize")))
+    return review.merged_expectations(stay, go, ["doc_id"], "expected")
 
 
 def regression_problems(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +57,7 @@ def regression_problems(spark: SparkSession, d: str) -> DataFrame:
 
 
 def referee_check(spark: SparkSession, d: str) -> DataFrame:
-    allowed = T.numbers_in(F.substring("text", 1, 1000))
+    allowed = T.numbers_in(T.first_line(F.col("text")))
     out = review.referee(table(spark, d, "documents").select("doc_id", "text"), allowed, "idiot|moron", 5000)
     return out.filter(F.size("against") > 0).select("doc_id", F.array_join("against", ",").alias("against"))
 
@@ -83,8 +84,7 @@ def search_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 def batch_sequence(spark: SparkSession, d: str) -> DataFrame:
     """Batches of 25 records of each language, numbered through all languages."""
-    chunk = F.floor((F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1) / 25).alias("chunk")
-    batches = table(spark, d, "documents").select("lang", "doc_id", chunk).groupBy("lang", "chunk").agg(F.count("*").alias("rows"), F.min("doc_id").alias("first_id"))
+    batches = evidence.chunk_numbers(table(spark, d, "documents").select("lang", "doc_id"), ["lang"], ["doc_id"], 25).groupBy("lang", "chunk").agg(F.count("*").alias("rows"), F.min("doc_id").alias("first_id"))
     offsets = batches.groupBy("lang").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     number = F.lpad((F.col("before") + F.col("chunk") + 1).cast("string"), 4, "0")
     return batches.join(offsets.select("lang", "before"), "lang").select(F.concat(F.lit("batch-"), number).alias("batch_id"), "lang", "rows", "first_id")
@@ -112,15 +112,15 @@ def located_findings(spark: SparkSession, d: str) -> DataFrame:
 
 _CORE = "(select lang, doc_id from (select lang, doc_id, row_number() over (partition by lang order by n_chars desc, doc_id) r from documents) where r <= 15)"
 _RULES = f"select lang, axis, count(*) n, list(doc_id order by doc_id) ids from ({_SQL_BRIDGE}) join {_CORE} using (lang, doc_id) group by lang, axis"
-_NUMBERS = "list_transform(regexp_extract_all({0}, '([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), lambda x: replace(x, ',', ''))"
+_NUMBERS = "list_transform(regexp_extract_all({0}, '" + T.NUMBER + "', 1), lambda x: replace(x, ',', ''))"
 SQL = {
     "rule_rebuild": f"select lang, axis, n, array_to_string(ids[1:3], '|') preview, array_to_string(ids, '|') \"all\" from ({_RULES})",
     "applied_axes": f"select a.lang, a.axis, r.n, case when r.n is null then 'unavailable' else 'applied' end state from (select lang, unnest([{', '.join(repr(a) for a in (*AXES, 'genetics'))}]) axis from (select distinct lang from documents)) a left join ({_RULES}) r using (lang, axis)",
     "in_core_marker": f"select d.lang, c.doc_id is not null in_core, count(*) n, sum(n_chars)::bigint chars from documents d left join {_CORE} c using (doc_id) group by 1, 2",
-    "card_leaks": "select doc_id, p by_pattern, v by_value from (select doc_id, regexp_matches(text[1:200], 'retain|deprioritize') p, (text[1:200] = quality::varchar or regexp_extract(source, '([0-9]+)', 1) = quality::varchar) v from labels join documents using (doc_id)) where p or v",
-    "expectation_merge": "select coalesce(a.doc_id, b.doc_id) doc_id, coalesce(a.quality, b.toxic) expected, (a.quality is not null and b.toxic is not null and a.quality <> b.toxic) conflict from (select * from labels where doc_id % 2 = 0) a full outer join (select * from labels where doc_id % 3 = 0) b on a.doc_id = b.doc_id",
+    "card_leaks": "select doc_id, p by_pattern, v by_value from (select doc_id, regexp_matches(text, 'retain|deprioritize') p, (text = quality::varchar or regexp_extract(source, '([0-9]+)', 1) = quality::varchar) v from labels join documents using (doc_id)) where p or v",
+    "expectation_merge": "select doc_id, case when quality = 1 then 'retain' else 'deprioritize' end expected, coalesce(quality = 1 and toxic = 1, false) conflict from labels where quality = 1 or toxic = 1",
     "regression_problems": "select doc_id, array_to_string(p, ',') problems from (select l.doc_id, [x for x in [case when o.doc_id is null then 'missing_record' end, case when o.q is distinct from l.quality and o.doc_id is not null then 'quality' end, case when o.t is distinct from l.toxic and o.doc_id is not null then 'toxic' end] if x is not null] p from labels l left join (select doc_id, case when contains(text, '!!') then 0 else 1 end q, case when regexp_matches(text, 'idiot|moron') then 1 else 0 end t from documents where n_chars > 400) o using (doc_id)) where len(p) > 0",
-    "referee_check": f"select doc_id, array_to_string(a, ',') against from (select doc_id, [x for x in [case when length(text) > 5000 then 'too_long' end, case when contains(text, '?') then 'question' end, case when regexp_matches(text, 'idiot|moron') then 'banned_wording' end, case when len([y for y in {_NUMBERS.format('text')} if not list_contains({_NUMBERS.format('text[1:1000]')}, y)]) > 0 then 'unsupported_number' end] if x is not null] a from documents) where len(a) > 0",
+    "referee_check": f"select doc_id, array_to_string(a, ',') against from (select doc_id, [x for x in [case when length(text) > 5000 then 'too_long' end, case when contains(text, '?') then 'question' end, case when regexp_matches(text, 'idiot|moron') then 'banned_wording' end, case when len([y for y in {_NUMBERS.format('text')} if not list_contains({_NUMBERS.format('split_part(text, chr(10), 1)')}, y)]) > 0 then 'unsupported_number' end] if x is not null] a from documents) where len(a) > 0",
     "terminology_gate": "select event_id, field, value from (select event_id, unnest(map_keys(m)) field, unnest(map_values(m)) value from (select event_id, cast(cast(props as json) as map(varchar, varchar)) m from events)) where field <> 'exempt' and regexp_matches(value, '[13579]$')",
     "context_window": f"""select doc_id, len(list_filter(range(1, len(p)), lambda i: regexp_matches(right(p[i], 90) || ' ' || chr(8291) || ' ' || left(p[i + 1], 90), '{VERB}'))) > 0 in_context from (select doc_id, string_split_regex(text, '{CONCEPT}') p from documents)""",
     "query_terms": "select p_brand, len(t)::bigint n_terms, len(t) >= 25 enough, '(' || array_to_string(t[1:5], ' OR ') || ')' as query from (select p_brand, list_sort(list_distinct(list(trim(regexp_replace(replace(lower(p_type || '-' || p_size), '-', ' '), '\\s+', ' ', 'g'))))) t from part group by p_brand)",

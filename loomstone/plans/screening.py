@@ -30,7 +30,12 @@ def screening_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def screening_errors(spark: SparkSession, d: str) -> DataFrame:
-    return decision_errors(_decided(spark, d), ["doc_id"], CODES).agg(F.count("*").alias("errors"))
+    """Decisions into which errors were put: what is labelled toxic is decided as `drop`, and long documents say a code twice."""
+    toxic = table(spark, d, "labels").filter("toxic = 1").select("doc_id").distinct().withColumn("bad", F.lit(True))
+    rows = _decided(spark, d).join(toxic, "doc_id", "left").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    rows = rows.withColumn("decision", F.when(F.col("bad"), "drop").otherwise(F.col("decision"))).withColumn("reason_codes", F.when(F.col("n_chars") > 4000, F.concat("reason_codes", "reason_codes")).otherwise(F.col("reason_codes")))
+    found = decision_errors(rows, ["doc_id"], CODES)
+    return found.select("doc_id", F.array_join("errors", ",").alias("errors"))
 
 
 _FLAGS = f"""select doc_id, lang, regexp_matches(text, '{POPULATION}') p, regexp_matches(text, '{EXPOSURE}') i, regexp_matches(text, '{OUTCOME}') o, regexp_matches(text, '{NEGATIVE}') neg,
@@ -42,7 +47,7 @@ _DECIDED = f"""select *, case when t then case when neg or k = 0 then 'depriorit
 SQL = {
     "screening_decisions": f"select doc_id, decision, confidence, evidence_basis, case when len(codes) = 0 then 'off_topic' else array_to_string(codes, '|') end reason_codes from ({_DECIDED})",
     "screening_distribution": f"select lang, decision, count(*) n, count(*) filter (confidence = 'high') high from ({_DECIDED}) group by 1, 2",
-    "screening_errors": "select 0::bigint errors",
+    "screening_errors": "select doc_id, array_to_string(e, ',') errors from (select doc_id, [x for x in [case when doc_id in (select doc_id from labels where toxic = 1) then 'decision' end, case when n_chars > 4000 then 'unique_codes' end] if x is not null] e from documents) where len(e) > 0",
 }
 QUERIES = {
     name: f
