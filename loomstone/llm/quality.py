@@ -64,7 +64,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Share of distinct values of each text, and of its most frequent one."""
         keys = np.sort((mix(values) & np.uint64((1 << 44) - 1)) | (rows.astype(np.uint64) << np.uint64(44)))
         if not len(keys):
-            return np.ones(n), np.zeros(n)
+            return np.zeros(n), np.zeros(n)
         new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         owner = (keys[new] >> np.uint64(44)).astype(np.int64)
         most = np.zeros(n)

@@ -3,8 +3,9 @@
 Judged urls (a rule, or any other label of 0 or 1) train a tree: paths are cut into segments, segments of digits, hexadecimals or mixed
 letters and digits become typed wildcards, and below each node
 * segments without support of their own, where a node has many, become one wildcard;
-* literal segments whose share of bad urls doesn't differ from that of their siblings together (a two-proportion z-test)
-  are merged into one branch, so the tree keeps literals only where they tell good from bad.
+* literal segments whose share of bad urls doesn't differ from that of all their siblings (a two-proportion z-test of the branch against the rest)
+  are merged into one branch, and so are those that differ from the rest but are alike among themselves (the same tenth of the scale); so the tree keeps literals
+  only where they alone tell good from bad.
 A template is rejected where its smoothed purity, (bad + weight * purity of its parent) / (judged + weight), reaches a threshold.
 Parents are: the template's own prefix in the host's tree, then the same in the tree of all hosts, then the share of bad urls at large;
 so templates without judged urls inherit from the nearest ancestor that has some.
@@ -13,7 +14,8 @@ Nodes are rows; a level of the tree is one grouped aggregation and one join, for
 aggregated before it is shuffled. Paths deeper than `depth` segments keep all text: the rest is one last segment, in which > stands for /.
 
 Defined results: null urls and urls without :// have empty host and path and are judged by the method like others; an empty
-table gives no rows; repeated rows are judged each; a url no node covers is allowed unless most judged urls are bad.
+table gives no rows; repeated rows are judged each; a url no node covers is allowed unless most judged urls are bad; result columns replace columns of the same name,
+all others come through.
 """
 
 from __future__ import annotations
@@ -39,7 +41,8 @@ def path_of(url: Column) -> Column:
 
 def rule_verdicts(pages: DataFrame, rules: list[tuple[str, bool]]) -> DataFrame:
     """pages with host, path, rule and blocked: the longest rule (host and path, blocked) that fits, else null."""
-    out = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    kept = pages.select(*(pages[c] for c in pages.columns if c not in ("host", "path", "rule", "blocked")))
+    out = kept.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     best = F.lit(None).cast("struct<rule:string,blocked:boolean>")
     for rule, blocked in sorted(rules, key=lambda r: len(r[0])):
         host, slash, path = rule.partition("/")
@@ -82,11 +85,17 @@ def template_tree(judged: DataFrame, depth: int = 6, many: int = 16, support: in
         siblings = child.groupBy("host", "node").agg(F.count("*").alias("kinds"), F.sum("judged").alias("all_judged"), F.sum("bad").alias("all_bad"))
         child = child.join(siblings, ["host", "node"])
         rare = (F.col("kinds") > many) & (F.col("n") < support)
-        share = F.col("all_bad") / F.col("all_judged")
-        spread = F.sqrt(share * (1 - share) * (1 / F.col("judged") + 1 / F.col("all_judged")))
-        like = (F.col("judged") == 0) | (F.abs(F.col("bad") / F.col("judged") - share) <= z * spread)
         typed = F.col("part").startswith("<")
-        merged = F.when(rare, "*").when(typed, F.col("part")).when((F.col("kinds") > 1) & F.when(F.col("all_judged") > 0, F.when(F.col("judged") > 0, like).otherwise(True)).otherwise(True), "*").otherwise(F.col("part"))
+        # Each branch against the rest of its siblings; those that differ are alike if they have the same tenth.
+        share, rest = F.col("bad") / F.col("judged"), F.col("all_judged") - F.col("judged")
+        overall = F.col("all_bad") / F.col("all_judged")
+        spread = F.sqrt(overall * (1 - overall) * (1 / F.col("judged") + 1 / rest))
+        differs = F.when((F.col("judged") > 0) & (rest > 0), F.abs(share - (F.col("all_bad") - F.col("bad")) / rest) > z * spread).otherwise(False)
+        tenth = F.when(differs & ~rare & ~typed, F.least(F.floor(share * 10), F.lit(9)))
+        child = child.withColumn("tenth", tenth).withColumn("rare", rare)
+        alike = child.filter("tenth is not null").groupBy("host", "node", "tenth").agg(F.count("*").alias("branches"))
+        child = child.join(alike, ["host", "node", "tenth"], "left")
+        merged = F.when(F.col("rare"), "*").when(typed | (F.col("kinds") == 1) | (F.col("branches") == 1), F.col("part")).when(F.col("branches") > 1, F.concat(F.lit("*"), "tenth")).otherwise("*")
         step = child.select("host", "node", "part", F.concat("node", F.lit("/"), merged).alias("next"))
         at = at.join(step, ["host", "node", "part"]).withColumn("node", F.col("next")).withColumn("shape", F.concat("shape", F.lit("/"), "part")).drop("part", "next")
         at = materialized(at, "level")
@@ -115,13 +124,14 @@ def method_verdicts(pages: DataFrame, judged: DataFrame, depth: int = 6, thresho
     tree = materialized(template_tree(judged, depth, weight=weight, **options), "tree")
     # A path's deepest node in its host's tree and in that of all hosts.
     shape = F.concat_ws("", F.transform(segments(F.col("path"), depth), lambda s: F.concat(F.lit("/"), s)))
-    rows = pages.withColumn("__shape", shape)
+    kept = [c for c in pages.columns if c not in ("template", "purity", "rejected")]
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col("host").alias("host"), shape.alias("shape"))  # one struct, so that no name can clash
     own = tree.filter(F.col("host") != ANY_HOST).select(F.col("host").alias("__host"), F.col("shape").alias("__shape"), F.col("node").alias("own_node"), F.col("judged").alias("own_judged"), F.col("bad").alias("own_bad"), F.col("purity").alias("own_purity"))
     rest = tree.filter(F.col("host") == ANY_HOST).select(F.col("shape").alias("__any"), F.col("node").alias("any_node"), F.col("purity").alias("any_purity"))
-    keys = rows.select(F.col("host").alias("__host"), "__shape").distinct()
+    keys = rows.select(F.col("host").alias("__host"), F.col("shape").alias("__shape")).distinct()
     scored = keys.join(own, ["__host", "__shape"], "left").join(rest, F.col("__shape") == F.col("__any"), "left")
     # The host's own evidence, with the template of all hosts as its prior.
     purity = (F.coalesce("own_bad", F.lit(0)) + weight * F.coalesce("any_purity", "own_purity", F.lit(0.0))) / (F.coalesce("own_judged", F.lit(0)) + weight)
     scored = scored.select("__host", "__shape", F.coalesce("own_node", "any_node").alias("template"), purity.alias("purity"))
-    out = rows.join(scored, (F.col("host") == F.col("__host")) & (rows["__shape"] == scored["__shape"]), "left")
-    return out.select(*pages.columns, "template", "purity", (F.col("purity") >= threshold).alias("rejected"))
+    out = rows.join(scored, (F.col("host") == F.col("__host")) & (F.col("shape") == F.col("__shape")), "left")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in kept), "template", "purity", (F.col("purity") >= threshold).alias("rejected"))
