@@ -1,7 +1,7 @@
 """Nearest neighbours with one vantage-point tree for each shard of vectors.
 
 Vectors are dealt to shards by a hash of their id, each shard's vectors become one packed row (`shard_size` vectors on average), and
-queries are packed into blocks. A pair of shard and block is searched in one call: the tree is built once for a shard in a task, each query
+queries are packed into blocks. A shard goes to one task, where its tree is built once, and the blocks stream past it, sorted behind it. Each query
 first goes down to its leaf for a radius to start with, then all queries walk the tree together, and a side is skipped by those for
 which `factor` times the gap that the triangle inequality proves exceeds the radius. Factor one is exact; larger
 ones skip more. The nearest of all shards are the answer. Distances are taken in double precision on the original vectors.
@@ -13,7 +13,6 @@ candidates, neither found for itself; ties go to the smaller id; with fewer cand
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -139,21 +138,23 @@ def _pack(size: int):
     return work
 
 
-@lru_cache(maxsize=2)
-def _tree(ids: bytes, vectors: bytes) -> tuple[np.ndarray, Tree]:
-    own = np.frombuffer(ids, "<i8")
-    return own, Tree(np.frombuffer(vectors, "<f8").reshape(len(own), -1))
-
-
 def _search(k: int, factor: float):
+    """Rows come sorted by part, in each its shard (kind 0, one row or two) before the blocks of queries (kind 1)."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, trees = None, []
         for batch in batches:
-            for ids, vectors, query_ids, queries in zip(*(batch.column(c).to_pylist() for c in ("ids", "vectors", "query_ids", "queries")), strict=True):
-                own, tree = _tree(ids, vectors)
-                asked = np.frombuffer(query_ids, "<i8")
-                best, found, _ = tree.search(np.frombuffer(queries, "<f8").reshape(len(asked), -1), asked, own, k, factor)
-                row, rank = np.nonzero(found >= 0) if (own >= 0).all() else np.nonzero(np.isfinite(best))
-                yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(found[row, rank]), pa.array(best[row, rank])], names=["query_id", "vec_id", "score"])
+            for at, kind, ids, vectors in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "ids", "vectors")), strict=True):
+                if at != part:
+                    part, trees = at, []
+                own = np.frombuffer(ids, "<i8")
+                points = np.frombuffer(vectors, "<f8").reshape(len(own), -1)
+                if kind == 0:
+                    trees.append((own, Tree(points)))
+                for there, tree in trees if kind else ():
+                    best, found, _ = tree.search(points, own, there, k, factor)
+                    row, rank = np.nonzero(np.isfinite(best))
+                    yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(found[row, rank]), pa.array(best[row, rank])], names=["query_id", "vec_id", "score"])
 
     return work
 
@@ -173,9 +174,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
     packed = materialized(packed, "shards")
     blocks = max(1, -(-asked.count() // block))
     queries_packed = deal(asked, blocks).repartition("part").sortWithinPartitions("part", "id").mapInArrow(_pack(2 * block), kind)
-    queries_packed = queries_packed.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("part"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("part")
     # Every block of queries against every shard, the stated job; a row here is a whole block or shard.
-    pairs = packed.join(queries_packed, "part").select("ids", "vectors", "query_ids", "queries")
-    found = pairs.mapInArrow(_search(k, factor), "query_id long, vec_id long, score double")
+    blocks_out = queries_packed.select(every, F.lit(1).alias("kind"), "ids", "vectors")
+    meeting = packed.select("part", F.lit(0).alias("kind"), "ids", "vectors").unionByName(blocks_out).repartition("part").sortWithinPartitions("part", "kind")
+    found = meeting.mapInArrow(_search(k, factor), "query_id long, vec_id long, score double")
     place = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

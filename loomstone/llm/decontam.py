@@ -13,7 +13,8 @@ half literal words say too little as templates; they match where all their words
 Only windows that occur in the benchmark leave a document's task: the hashes of its windows, if at most `most_windows` of them,
 are sent to the tasks; of a larger benchmark none are, and the join sorts out the rest, with the same result.
 
-Defined results: null and empty texts match nothing; an item of fewer than `width` words is one window as a whole; windows with less than half literal
+Defined results: null and empty texts match nothing; an item of fewer than `width` words is one window as a whole, and one of fewer than `least_words`
+words, which any text may hold by chance, is found only in documents that say nothing else; windows with less than half literal
 words count among an item's windows only where it has no others; repeated items count each; repeated rows are judged each; a null doc_id is kept as null.
 """
 
@@ -121,7 +122,7 @@ def _windows(symbol, value, slot, maybe, first, width: int, whole: bool):
         yield begin[take], row[take], run(prefix(symbols), begin[take], begin[take] + width), slots, exact
 
 
-def _rows(width: int, whole_lengths: list[int], whole: bool, wanted: np.ndarray | None):
+def _rows(width: int, whole_lengths: list[int], whole: bool, wanted: np.ndarray | None, least: int):
     """Windows as rows: the text's number, the window's hash, its place, the values in its slots, and whether its words must be equal."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +130,7 @@ def _rows(width: int, whole_lengths: list[int], whole: bool, wanted: np.ndarray
             data, offsets = text_buffers(batch.column("text"))
             symbol, value, slot, first, maybe = templates(data, offsets)
             for size in [width, *whole_lengths]:
-                for begin, row, hashes, slot_here, exact in _windows(symbol, value, slot, maybe, first, size, whole and size != width):
+                for begin, row, hashes, slot_here, exact in _windows(symbol, value, slot, maybe, first, size, (whole or size < least) and size != width):
                     hashes = signed(hashes)
                     if wanted is not None:
                         at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
@@ -203,7 +204,7 @@ def _consistent(hits: DataFrame) -> DataFrame:
     return lines.select(*line, F.array_sort(F.array_distinct(F.transform("found", lambda w: w.place))).alias("places"), differs.alias("differs"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: float = 0.5, most_windows: int = 2_000_000, run_words: int = 13) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: float = 0.5, most_windows: int = 2_000_000, run_words: int = 13, least_words: int = 4) -> DataFrame:
     """Pairs of documents (doc_id, text) and items (item_id, text) that contaminate them.
 
     doc_id, tag (a hash of the text), item_id, windows (of the item), matched (of those in the document), share, reparameterised (some slot differs).
@@ -212,13 +213,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: f
     own = docs.select(docs["doc_id"].cast("long").alias("id"), F.hash(docs["text"]).alias("tag"), docs["text"])
     # At most width - 1 numbers.
     short = [r.length for r in items.select("text").mapInArrow(_lengths(width), "length long").distinct().orderBy("length").collect()]
-    known = materialized(items.mapInArrow(_rows(width, short, True, None), _KIND).dropDuplicates(["id", "hash", "place", "slots"]), "templates")
+    known = materialized(items.mapInArrow(_rows(width, short, True, None, least_words), _KIND).dropDuplicates(["id", "hash", "place", "slots"]), "templates")
     wanted = None
     if known.count() <= most_windows:
         wanted = np.sort(known.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64))
         if not len(wanted):
             wanted = np.zeros(1, np.int64)
-    found = own.mapInArrow(_rows(width, short, False, wanted), _KIND)
+    found = own.mapInArrow(_rows(width, short, False, wanted, least_words), _KIND)
     # Windows that must be equal word by word count where an item has no others; elsewhere they only make runs longer.
     totals = known.groupBy(F.col("id").alias("item_id")).agg(F.collect_set(F.when(~F.col("exact"), F.col("place"))).alias("light"), F.collect_set("place").alias("every"))
     totals = totals.select("item_id", F.array_sort(F.when(F.size("light") > 0, F.col("light")).otherwise(F.col("every"))).alias("counted"))

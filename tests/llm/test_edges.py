@@ -224,3 +224,26 @@ def test_urls_with_clashing_columns(spark):
     assert {r.page_id: (r.host, r.rule) for r in ruled.collect()} == {1: ("a.net", "net/es/"), 2: ("", None)}
     out = method_verdicts(ruled, ruled.selectExpr("host", "path", "cast(blocked as int) bad"))
     assert out.columns.count("template") == 1 and {r["__shape"] for r in out.collect()} == {"z"}
+
+
+def test_recall_with_production_parameters(spark):
+    from loomstone.llm.queries import VP_FACTOR
+
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    got = {}
+    for r in nearest(table, table.filter("vec_id % 20 = 0"), factor=VP_FACTOR, shard_size=400, block=16).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in got:
+        d = np.sqrt(((v - v[ids == q]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        hits += len(got[q] & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert len(got) == (ids % 20 == 0).sum() and hits >= 0.97 * 10 * len(got)
+
+
+def test_short_items_are_found_alone(spark):
+    items = spark.createDataFrame([(1, "yes"), (2, "is it so"), (3, "Compute forty and two")], "item_id long, text string")
+    rows = [(1, "yes"), (2, "oh yes it is"), (3, "Is it so?"), (4, "and is it so then"), (5, "now compute forty and two")]
+    assert {(r.doc_id, r.item_id) for r in contaminated(documents(spark, rows), items).collect()} == {(1, 1), (3, 2), (5, 3)}
