@@ -88,6 +88,8 @@ def overlapping(few: DataFrame, many: DataFrame, few_key: str, many_key: str, le
     words bring nothing together, and common tokens are counted for candidates only.
     """
     few, many = (x.filter(F.size("tokens") > 0).select(F.col(k).alias(f"__{s}"), "tokens", F.size("tokens").alias(f"n_{s}")) for x, k, s in ((few, few_key, "a"), (many, many_key, "b")))
+    few, many = materialized(few, "tokens"), materialized(many, "tokens")  # three joins read them
+    most = few.agg(F.max("n_a")).first()[0] or 0
     held = few.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("held"))
 
     def rare(side: DataFrame, s: str) -> DataFrame:
@@ -98,7 +100,7 @@ def overlapping(few: DataFrame, many: DataFrame, few_key: str, many_key: str, le
 
     full = lambda side, s: side.select(f"__{s}", f"n_{s}", F.explode("tokens").alias("token"))
     met = rare(few, "a").join(full(many, "b"), "token").filter("n_a <= n_b").select("__a", "__b")
-    met = met.unionByName(rare(many, "b").join(full(few, "a"), "token").filter("n_b < n_a").select("__a", "__b")).distinct()
+    met = met.unionByName(rare(many.filter(F.col("n_b") < most), "b").join(full(few, "a"), "token").filter("n_b < n_a").select("__a", "__b")).distinct()
     both = met.join(few, "__a").join(many.withColumnRenamed("tokens", "tokens_b"), "__b").withColumn("shared", F.size(F.array_intersect("tokens", "tokens_b")).cast("long"))
     out = both.withColumn("overlap", F.round(F.col("shared") / F.least("n_a", "n_b"), 9)).filter(F.col("overlap") >= least)
     return out.select(F.col("__a").alias(few_key), F.col("__b").alias(many_key), "shared", "overlap")

@@ -124,3 +124,46 @@ def test_batches_and_violations(spark):
     bad = evidence.violations(rows, ["id"], {"small": F.col("id") < 8, "known": F.when(F.col("id") != 3, F.lit(True))})
     assert {(r.id, tuple(r.errors)) for r in bad.collect()} == {(3, ("known",)), (8, ("small",)), (9, ("small",))}
     assert evidence.reconcile(rows, rows.filter("id > 0")).count() == 1
+
+
+def test_sentences_as_the_rules_have_them():
+    assert split_sentences("They took vitamin C. The risk fell.") == ["They took vitamin C.", "The risk fell."]
+    assert split_sentences("Dr. Kim reported 0.7 mg, e.g., in the first group. The result\n remained stable.") == ["Dr. Kim reported 0.7 mg, e.g., in the first group.", "The result remained stable."]
+    assert split_sentences("Prof. Lee et al. agreed. In the U.S. too! (Really?) Yes") == ["Prof. Lee et al. agreed.", "In the U.S. too!", "(Really?)", "Yes"]
+
+
+def test_keys_and_numbers(spark):
+    from loomstone.functions.text import content_tokens, numbers_in
+
+    assert one(spark, normalize_doi(F.lit("\t DOI: 10.1/A\n b.,"))) == "10.1/ab"
+    assert one(spark, numbers_in(F.lit("1.2.3 and 1,000 and 7. 7"))) == ["1.2.3", "1000", "7"]
+    assert one(spark, content_tokens(F.lit("Patients WITH results reduced after group therapy"))) == ["reduced", "therapy"]
+
+
+def test_numbering_in_two_passes(spark):
+    rows = spark.range(200).select((F.col("id") % 3).alias("g"), F.col("id").alias("k")).union(spark.createDataFrame([(None, 5), (None, 6)], "g long, k long"))
+    got = evidence.numbered(rows, ["g"], ["k"], "i").collect()
+    for g in (0, 1, 2, None):
+        assert [r.i for r in sorted((r for r in got if r.g == g), key=lambda r: r.k)] == list(range(sum(r.g == g for r in got)))
+    sample = evidence.stratified_sample(rows, ["g"], ["k"], "s", 3)
+    assert {(r.g, r.population, r.census) for r in sample.collect()} == {(0, 67, False), (1, 67, False), (2, 66, False), (None, 2, True)}
+
+
+def test_overlaps_against_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    sets = lambda n, most: [(i, rng.sample("abcdefghijklmnop", rng.randint(0, most))) for i in range(n)]
+    few, many = sets(20, 6), sets(60, 12)
+    got = {(r.a, r.b): r.shared for r in evidence.overlapping(spark.createDataFrame(few, "a long, tokens array<string>"), spark.createDataFrame(many, "b long, tokens array<string>"), "a", "b", 0.5).collect()}
+    assert got == {(a, b): len(set(x) & set(y)) for a, x in few for b, y in many if x and y and len(set(x) & set(y)) >= 0.5 * min(len(x), len(y))}
+
+
+def test_publication_gate_and_foreground(spark):
+    from loomstone.operators import clinical
+
+    gate = lambda title, types, abstract: one(spark, clinical.publication_gate(F.lit(title), F.lit(types), F.lit(abstract)))
+    assert gate("Erratum to: a study", "Journal Article", "") and gate("x", "Editorial", "x") and gate("x", "Comment", "x") and gate("Letter to the editor", "Letter", "x")
+    assert not gate("x", "Comment", "METHODS: we enrolled 5") and not gate("A trial", "Letter", "x") and not gate(None, None, None)
+    assert one(spark, clinical.foreground(F.lit("BACKGROUND: a\nMETHODS: b\nConclusion: c"))) == "b\nc"
+    assert one(spark, clinical.foreground(F.lit("BACKGROUND: a"))) == "BACKGROUND: a" and one(spark, clinical.foreground(F.lit("plain"))) == "plain"
