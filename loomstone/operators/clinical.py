@@ -61,6 +61,32 @@ ANTAGONISTS = r"\b(?:non[- ]?vitamin\s*k(?:\s+antagonist)?\s+oral\s+anticoagulan
 DEFINED = r"(?:traditional Chinese (?:herbal )?medicine|Chinese herbal medicine|herbal (?:formula|formulation|medicine|treatment)|[A-Za-z -]+ decoction)[^.;]{0,60}\(([A-Z][A-Z0-9-]{1,8})\)"
 NAMED_FORMULA = r"\b[A-Z][A-Za-z'-]+(?:\s+[A-Z][A-Za-z'-]+){1,5}\s+(?:Tang|Wan|San|Decoction|Formula)\s*\(([A-Z][A-Z0-9-]{1,8})\)"
 REASON_ORDER = ("population", "exposure", "outcome", "human_signal", "design_signal", "animal_term_present", "off_topic", "insufficient_abstract")
+LAB_TITLE = (
+    r"\b(?:mice|mouse|rats?|murine|rodents?|rabbits?|zebrafish|gilts?|sows?|cows?|bovine|porcine|dairy farms?|animal models?|in vitro|in silico|ex vivo|"
+    r"network pharmacology|bioinformatics|molecular docking|cell lines?|cell culture|cultured cells?|scaffolds?|tissue engineering|nanoparticles?|biomaterials?|"
+    r"adsorption|wastewater|materials? engineering|mineralization|apatites?|hydroxyapatite|chemical synthesis|fabrication|spectrum[- ]effect analysis|"
+    r"HepG2|HepaRG|Huh7|trophoblasts?|mesenchymal stem cells?|hamsters?|hepatic stellate cells?|human macrophages?|xenografts?|ion channels?|molecular interactions?)\b"
+)
+SPECIES_TITLE = r"\b(?:mice|mouse|rats?|murine|hamsters?|gilts?|sows?|cows?|bovine|porcine|zebrafish)\b"
+BENCH_TITLE = r"\b(?:in vitro|in silico|ex vivo|network pharmacology|molecular docking)\b"
+TRIAL_TITLE = r"\b(?:clinical trial|case report|case series)\b"
+PATIENTS_TITLE = r"\bpatients? with\b"
+PRECLINICAL_METHOD = (
+    r"\b(?:(?:mice|rats?|rabbits?|animals?) (?:were|received|were given|were fed|were injected|were divided|were treated)|(?:mouse|rat|murine|animal) model|"
+    r"cells? (?:were|was) (?:cultured|treated|incubated|exposed)|in vitro|ex vivo|human (?:cells?|hepatocytes?|macrophages?|organoids?|tissues?))\b"
+)
+LAB_BODY = (
+    r"\b(?:in vitro|in silico|ex vivo|network pharmacology|molecular docking|HepG2|HepaRG|Huh7|cell lines?|cell culture|cultured cells?|trophoblasts?|"
+    r"mesenchymal stem cells?|hepatic stellate cells?|human macrophages?|(?:kidney|renal|proximal tubular) cells?|xenografts?|"
+    r"bacterial (?:cultures?|extracts?|growth)|organoids?|bioreactor|wastewater|computational docking|spectroscopic techniques?)\b"
+)
+TREATED_SPECIES = (
+    r"\b(?:mice|mouse|rats?|murine|hamsters?|rabbits?|zebrafish|gilts?|sows?|bovine|porcine)\b[^.;]{0,100}\b(?:received|were|fed|treated|injected|"
+    r"randomi[sz]ed|divided|model)\b"
+)
+SPECIES_BODY = r"\b(?:mice|mouse|rats?|murine|hamsters?|rabbits?|zebrafish|gilts?|sows?)\b"
+#: In capitals it is an abbreviation, not the animal.
+NO_ANIMAL = r"\bRAT\b"
 # End of fixed values.
 
 
@@ -122,6 +148,18 @@ def publication_gate(title: Column, publication_types: Column, abstract: Column)
     )
 
 
+def nonclinical_gate(title: Column, foreground_text: Column) -> Column:
+    """Whether a record is about animals, cells or materials: by its title, or by its text where no people are enrolled.
+
+    A title that names patients with something speaks for people unless it names a laboratory subject, too. A null is an empty text.
+    """
+    head, body = (F.regexp_replace(F.coalesce(c, F.lit("")), NO_ANIMAL, "") for c in (title, foreground_text))
+    lab_title = matches(head, LAB_TITLE)
+    by_title = matches(head, SPECIES_TITLE) | matches(head, BENCH_TITLE) | lab_title & ~matches(head, HUMAN_ENROLLMENT) & ~matches(head, TRIAL_TITLE)
+    by_text = matches(body, PRECLINICAL_METHOD) | matches(body, LAB_BODY) | matches(body, TREATED_SPECIES) | matches(body, SPECIES_BODY)
+    return by_title | ~(matches(head, PATIENTS_TITLE) & ~lab_title) & by_text & ~matches(body, HUMAN_ENROLLMENT)
+
+
 def alias_matches(text: Column) -> Column:
     """Aliases of ingredients that a text names; antagonists of vitamin K don't name it."""
     bare = F.regexp_replace(text, "(?i)" + ANTAGONISTS, " ")

@@ -70,7 +70,8 @@ def band_pages(rows: DataFrame, group: str, score: list[Column], seed: str, key:
     key, largest first; page j takes the j-th of each band.
     """
     out = numbered(rows, [group], score, "__i")
-    out = out.join(out.groupBy(group).agg(F.count("*").alias("__n")), group)
+    sizes = out.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
+    out = out.join(sizes, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
     width = F.col("__n") / F.lit(float(page))
     bands = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(page - 1)), lambda k: (k == page - 1) | (F.floor((k + 1) * width) > F.col("__i"))))
     out = out.withColumn("band", F.when(F.col("__n") <= page, F.lit(0)).otherwise(bands))
@@ -85,6 +86,20 @@ def page_bounds(total: Column, offset: Column, page: int = 30) -> Column:
     return F.least(F.greatest(F.floor(offset), F.lit(0)), last)
 
 
+def diverse_pages(rows: DataFrame, group: str, score: list[Column], seed: str, key: str, text: str, page: int = 30) -> DataFrame:
+    """The whole order of each group: pages as in band_pages, each diversified in itself. Returns group, key, page, place (from 1).
+
+    A page is taken band by band, so best rows first; a group of no more than a page is one page in order of score.
+    """
+    paged = band_pages(rows, group, score, seed, key, page)
+    own = F.to_json(F.struct(F.col(group).alias("g"), F.col("page").alias("p")))
+    inside = Window.partitionBy("__page").orderBy("band", *score, F.col(key))
+    paged = paged.withColumn("__page", own).withColumn("__order", F.row_number().over(inside))
+    kind = dict(rows.dtypes)[group]
+    found = diversify(paged, "__page", "__order", key, text).withColumn("__page", F.from_json("__page", f"g {kind}, p int"))
+    return found.select(F.col("__page.g").alias(group), key, F.col("__page.p").alias("page"), "place")
+
+
 def diversify(rows: DataFrame, group: str, order: str, key: str, text: str, penalty: float = 2.5) -> DataFrame:
     """Greedy re-ordering of each (bounded) group: rows like those already taken stand back. Returns group, key, place (from 1).
 

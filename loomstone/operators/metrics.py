@@ -89,3 +89,41 @@ def stratified_bootstrap(rows: DataFrame, stratum: str, agree: Column, weight: C
     at = lambda p: F.element_at(F.sort_array(F.collect_list("v")), int(p * (draws - 1)) + 1)
     point = cells.agg((F.sum(F.col("agrees") * F.col("w") * F.col("n")) / F.sum(F.col("w") * F.col("n"))).alias("point"))
     return drawn.agg(at(0.025).alias("low"), at(0.975).alias("high")).crossJoin(point)
+
+
+def bootstrap_metrics(rows: DataFrame, stratum: str, scored: Column, reference: Column, weight: Column, apparent: float, census: tuple[str, ...] = (), draws: int = 10000, seed: int = 7) -> DataFrame:
+    """Intervals of seven weighted measures of a scorer against a reference by resampling inside strata: metric, low, high, draws_used.
+
+    Strata in census were counted whole and stay as they are. Rows become counts by stratum, outcome and weight first; a draw of a stratum is one multinomial over
+    them and a row of its own for Spark. A draw in which a measure isn't defined doesn't count for it; a measure without any has no row. Rows with a null outcome don't count.
+    """
+    known = rows.filter(scored.isNotNull() & reference.isNotNull())
+    place = F.when(scored & reference, 0).when(scored, 1).when(reference, 2).otherwise(3)
+    cells = known.groupBy(F.col(stratum).cast("string").alias("s"), place.alias("place"), weight.cast("double").alias("w")).agg(F.count("*").alias("n"))
+    packed = cells.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("place", "w", "n"))).alias("cells"))
+    each = packed.crossJoin(rows.sparkSession.range(draws).withColumnRenamed("id", "draw"))
+    names = ["tp", "fp", "fn", "tn"]
+
+    def resample(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            sums = np.zeros((4, batch.num_rows))
+            for k, (s, draw, own) in enumerate(zip(batch.column("s").to_pylist(), batch.column("draw").to_pylist(), batch.column("cells").to_pylist(), strict=True)):
+                n = np.array([c["n"] for c in own])
+                taken = n if s in census else np.random.default_rng([seed, draw, *str(s).encode()]).multinomial(n.sum(), n / n.sum())
+                np.add.at(sums[:, k], [c["place"] for c in own], taken * np.array([c["w"] for c in own]))
+            yield pa.RecordBatch.from_arrays([batch.column("draw"), *map(pa.array, sums)], names=["draw", *names])
+
+    drawn = each.mapInArrow(resample, "draw long, tp double, fp double, fn double, tn double").groupBy("draw").agg(*(F.sum(c).alias(c) for c in names))
+    measured = rates(drawn)
+    tp, fp, fn, tn = (F.col(c) for c in names)
+    measures = {c: F.col(c) for c in ("recall", "specificity", "precision", "f1", "agreement")}
+    measures["f1"] = F.when(F.col("recall").isNotNull() & F.col("precision").isNotNull(), F.col("f1"))
+    measures["scored_prevalence"] = rate(tp + fp, tp + fp + fn + tn)
+    measures["corrected_prevalence"] = rogan_gladen(F.lit(apparent), rate(tp, tp + fp), rate(tn, fn + tn))
+    values = measured.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), v.alias("v")) for n, v in measures.items()))).alias("m")).select("m.*").filter("v is not null")
+    ordered = values.groupBy("metric").agg(F.sort_array(F.collect_list("v")).alias("v"))
+    at = lambda p: F.get("v", F.floor(F.lit(p) * (F.size("v") - 1)).cast("int"))
+    return ordered.select("metric", at(0.025).alias("low"), at(0.975).alias("high"), F.size("v").cast("long").alias("draws_used"))

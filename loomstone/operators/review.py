@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.functions.text import numbers_in
+from loomstone.functions.text import canonical_term, numbers_in
 
 
 def rules_from_core(core: DataFrame, bridge: DataFrame, group: str, key: str, preview: int = 3) -> DataFrame:
@@ -78,6 +81,49 @@ def any_of(terms: Column) -> Column:
     return F.concat(F.lit("("), F.array_join(terms, " OR "), F.lit(")"))
 
 
+# Parts of a query that limit designs, languages, kinds of publication or species, and what warnings of cut-off variants say.
+SPECIES_LIMITS = ("humans[mesh]", "humans[mh]")
+PUBLICATION_LIMITS = ("[language]", "[lang]", "[publication type]", "[pt]")
+DESIGN_LIMITS = ("randomized controlled trial", "randomised controlled trial", "clinical trial[", "cohort[", "case-control[", "case report[")
+CUT_OFF = ("600", "truncat", "wildcard")
+# End of fixed values.
+
+
+def base_query(p_terms: Column, i_terms: Column) -> Column:
+    return F.concat(any_of(p_terms), F.lit(" AND "), any_of(i_terms))
+
+
+def date_clause(first: Column, last: Column) -> Column:
+    return F.format_string('("%s"[Date - Publication] : "%s"[Date - Publication])', first, last)
+
+
+def query_lint(specs: DataFrame, key: str, least: int = 25) -> DataFrame:
+    """Per key and rule (1 to 9) whether a search keeps it.
+
+    specs has p_terms and i_terms (lists), query, first, last (dates as text), not_found and errors (lists), warnings (list: the query's and those of its
+    terms with a wildcard). A null list is empty; a null query keeps no rule on what must stand in it and all on what must not.
+    """
+    lists = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("p_terms", "i_terms", "not_found", "errors", "warnings")}
+    specs = specs.select(key, "first", "last", F.coalesce("query", F.lit("")).alias("query"), *(v.alias(c) for c, v in lists.items()))
+    text, base = F.lower("query"), base_query(F.col("p_terms"), F.col("i_terms"))
+    says = lambda where, parts: reduce(or_, (F.contains(where, F.lit(p)) for p in parts))
+    both = lambda rule: rule(F.col("p_terms")) & rule(F.col("i_terms"))
+    tagged = lambda terms, *tags: F.exists(terms, lambda t: says(t, tags))
+    no_errors = (F.size("errors") == 0) & (F.size("not_found") == 0)
+    rules = [
+        F.startswith("query", base),
+        ~says(text, SPECIES_LIMITS),
+        ~says(text, SPECIES_LIMITS + PUBLICATION_LIMITS + DESIGN_LIMITS),
+        ~says(text, PUBLICATION_LIMITS),
+        F.contains("query", date_clause(F.col("first"), F.col("last"))),
+        both(lambda terms: tagged(terms, "[Mesh]") & tagged(terms, "[tiab]")) & no_errors,
+        both(lambda terms: F.forall(terms, lambda t: says(t, ("[Mesh]", "[tiab]", "[tw]")))),
+        both(lambda terms: F.size(F.array_distinct(F.transform(terms, canonical_term))) >= least),
+        ~F.exists("warnings", lambda w: says(F.lower(w), CUT_OFF)),
+    ]
+    return specs.select(key, F.posexplode(F.array(*(F.coalesce(r, F.lit(False)) for r in rules))).alias("rule", "kept")).withColumn("rule", F.col("rule") + 1)
+
+
 def hit_comparison(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Counts (key, hits) of two searches: difference and ratio to six digits, null where the old one found nothing."""
     both = old.withColumnRenamed("hits", "old").join(new.withColumnRenamed("hits", "new"), key, "full_outer").select(key, F.coalesce("old", F.lit(0)).alias("old"), F.coalesce("new", F.lit(0)).alias("new"))

@@ -23,6 +23,13 @@ RECORDS = {
     "decision": _case("p_partkey", "'retain'", "'deprioritize'", "'retain'", "'uncertain'", "'retain'"),
     "priority": "cast(floor(p_retailprice) as integer)",
 }
+#: Records from laboratory and clinic, in the same way.
+LAB_RECORDS = {
+    "record_id": "p_partkey",
+    "title": _case("p_partkey", "concat('Effect of ', p_name, ' in mice')", "concat('RAT found by ', p_name)", "'Nanoparticles in a clinical trial'", "'Hydroxyapatite fabrication'", "'Outcomes of patients with stones'", "'Patients with scaffolds'", "p_name"),
+    "abstract": _case("p_size", "''", "'Rats were fed calcium.'", "'We enrolled 40 patients; HepG2 cells were cultured.'", "concat('HepG2 cells with ', p_name)", "'RAT was confirmed in 3 of 5'", "'Rabbits of either kind, and then later, were divided.'"),
+}
+_LAB = "(select " + ", ".join(f"{e} as {c}" for c, e in LAB_RECORDS.items()) + " from part)"
 _SQL = "(select " + ", ".join(f"{e} as {c}" for c, e in RECORDS.items()) + " from part)"
 
 
@@ -54,6 +61,11 @@ def publication_gates(spark: SparkSession, d: str) -> DataFrame:
     return _records(spark, d).select("record_id", C.publication_gate(F.col("title"), F.col("publication_types"), F.col("abstract")).alias("gated"))
 
 
+def nonclinical_gates(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select(*(F.expr(e).alias(c) for c, e in LAB_RECORDS.items()))
+    return rows.select("record_id", C.nonclinical_gate(F.col("title"), F.col("abstract")).alias("gated"))
+
+
 def carried_acronyms(spark: SparkSession, d: str) -> DataFrame:
     return _records(spark, d).select("record_id", C.acronym_carried(F.col("abstract"), C.foreground(F.col("abstract"))).alias("carried"))
 
@@ -133,6 +145,9 @@ _GATE = (
     f"{_ANY(*C.TERMINAL_TYPES)} or {_has('title', C.EDITORIAL_TITLE)} or {_has('title', C.COMMENTARY_TITLE)} or {_ANY('editorial', 'news')} or ({_ANY('comment')} and not (trim(abstract) <> '' and ({_has('abstract', C.HUMAN_ENROLLMENT)} or {_has('abstract', C.DIRECT_SECTION)})))"
     f" or ({_ANY('letter')} and ({_has('title', C.OPINION_TITLE)} or {_has('title', C.LETTER_TITLE)}))"
 )
+_LAB_BODY = " or ".join(_has("b", p) for p in (C.PRECLINICAL_METHOD, C.LAB_BODY, C.TREATED_SPECIES, C.SPECIES_BODY))
+_NONCLINICAL = f"""{_has('t', C.SPECIES_TITLE)} or {_has('t', C.BENCH_TITLE)} or ({_has('t', C.LAB_TITLE)} and not {_has('t', C.HUMAN_ENROLLMENT)} and not {_has('t', C.TRIAL_TITLE)})
+    or ((not {_has('t', C.PATIENTS_TITLE)} or {_has('t', C.LAB_TITLE)}) and ({_LAB_BODY}) and not {_has('b', C.HUMAN_ENROLLMENT)})"""
 _BARE = f"regexp_replace({_TEXT}, '(?i){C.ANTAGONISTS}', ' ', 'g')"
 _ALIASES = _named({a: _has(_BARE if a == "A1" else _TEXT, p) for a, p in C.ALIASES.items()})
 _KEPT = f"(select *, len({_AXES}) > 0 regex_passed, len({_AXES}) > 0 and decision = 'retain' kept from {_SQL})"
@@ -143,6 +158,7 @@ SQL = {
     "sentence_roles": f"select record_id, {_cases('abstract', C.SENTENCE_ROLES, 'unclassified')} as role from {_SQL}",
     "foreground_texts": f"select record_id, f foreground from {_FOREGROUND}",
     "publication_gates": f"select record_id, {_GATE} gated from {_SQL}",
+    "nonclinical_gates": f"select record_id, {_NONCLINICAL} gated from (select record_id, regexp_replace(title, '{C.NO_ANIMAL}', '', 'g') t, regexp_replace(abstract, '{C.NO_ANIMAL}', '', 'g') b from {_LAB})",
     "carried_acronyms": f"select record_id, len(list_filter(list_concat(regexp_extract_all(abstract, '(?i){C.DEFINED}', 1), regexp_extract_all(abstract, '" + C.NAMED_FORMULA.replace("'", "''") + f"', 1)), lambda a: regexp_matches(f, '\\b' || a || '\\b'))) > 0 carried from {_FOREGROUND}",
     "alias_rules": f"""with n as (select question_id, record_id, priority, unnest({_ALIASES}) alias from {_SQL}), c as (select question_id, alias, count(*) n, list(record_id order by priority desc, record_id) ids from n group by 1, 2)
         select g.question_id, g.alias, coalesce(n, 0)::bigint n, case when n > 0 then 'direct_evidence' else 'no_direct_evidence' end status, coalesce(array_to_string(ids[1:3], '|'), '') preview from (select question_id, unnest([{', '.join(repr(a) for a in C.ALIASES)}]) alias from (select distinct question_id from {_SQL})) g left join c using (question_id, alias)""",

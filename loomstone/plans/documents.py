@@ -216,6 +216,17 @@ def greedy_bins(spark: SparkSession, d: str) -> DataFrame:
     return evidence.greedy_bins(table(spark, d, "documents").withColumn("part", F.concat_ws("-", "lang", "source")), "part", "doc_id", "n_chars")
 
 
+def bootstrap_metrics(spark: SparkSession, d: str) -> DataFrame:
+    importable(spark)
+    return metrics.bootstrap_metrics(_rated(spark, d), "lang", F.col("quality") == 1, F.col("toxic") == 0, F.when(F.col("lang") == "en", 1.5).otherwise(1.0), 0.4, ("de",), 2000)
+
+
+def mmr_pages(spark: SparkSession, d: str) -> DataFrame:
+    importable(spark)
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars", "text")
+    return lookup.diverse_pages(docs, "lang", [F.desc("n_chars"), F.asc("doc_id")], SEED, "doc_id", "text")
+
+
 def mmr_page(spark: SparkSession, d: str) -> DataFrame:
     importable(spark)
     page = lookup.top_k(table(spark, d, "documents").select("doc_id", "lang", "n_chars", "text"), ["lang"], [F.desc("n_chars"), F.asc("doc_id")], 30)

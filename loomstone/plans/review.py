@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import text as T
 from loomstone.operators import evidence, lookup, review
 from loomstone.plans.documents import _SQL_BRIDGE, AXES, axes
-from loomstone.session import table
+from loomstone.session import importable, table
 
 CONCEPT, VERB = "with|von|para|des", T.word_pattern("the|der|el|le")
 
@@ -66,6 +66,34 @@ def terminology_gate(spark: SparkSession, d: str) -> DataFrame:
     return review.terms_in_documents(table(spark, d, "events"), "event_id", "props", "[13579]$", ("exempt",))
 
 
+#: A nested text of each event: the same expression makes it in Spark and in SQL.
+_NOTE = "concat(event_type, case event_id % 3 when 0 then ' validated' when 1 then ' invalidated' else ' is INCLUDE' end)"
+NESTED = f"""concat('{{"translations": [{{"source_text": "', {_NOTE}, '", "note": "', {_NOTE}, '"}}], "sensitivity": {{"notes": ["', {_NOTE}, '", null, 7]}}}}')"""
+
+
+def nested_terms(spark: SparkSession, d: str) -> DataFrame:
+    from loomstone.functions.nested import GENERATED_TERM, VERBATIM, nested_term_paths
+
+    importable(spark)
+    rows = table(spark, d, "events").select("event_id", F.expr(NESTED).alias("body"))
+    return rows.select("event_id", F.array_join(nested_term_paths(F.col("body"), GENERATED_TERM, VERBATIM["translations"]), " ").alias("paths"))
+
+
+P_TERM = "concat(p_type, '-', cast(p_size as varchar(4)), case when p_size = 5 then '' when p_size % 3 = 0 then '[Mesh]' when p_size % 3 = 1 then '[tiab]' else '[tw]' end)"
+I_TERM = """concat('"', p_name, '"', case when p_partkey % 2 = 0 then '[Mesh]' else '[tiab]' end)"""
+KIND = "cast(right(p_brand, 1) as int)"
+DATES = """'("2000/01/01"[Date - Publication] : "2024/12/31"[Date - Publication])'"""
+SEARCH = f"case {KIND} when 2 then concat(base, ' AND humans[Mesh] AND ', {DATES}) when 3 then concat(base, ' AND english[lang]') when 4 then concat('x AND ', base, ' AND ', {DATES}, ' AND Cohort[pt]') else concat(base, ' AND ', {DATES}) end"
+
+
+def query_lint(spark: SparkSession, d: str) -> DataFrame:
+    lists = (F.sort_array(F.collect_set(F.expr(e))).alias(n) for n, e in (("p_terms", P_TERM), ("i_terms", I_TERM)))
+    specs = table(spark, d, "part").groupBy("p_brand").agg(*lists).withColumn("base", review.base_query(F.col("p_terms"), F.col("i_terms")))
+    only = lambda k, text: F.expr(f"case when {KIND} = {k} then array('{text}') end")
+    specs = specs.select("p_brand", "p_terms", "i_terms", F.expr(SEARCH).alias("query"), F.lit("2000/01/01").alias("first"), F.lit("2024/12/31").alias("last"), only(4, "phrase").alias("not_found"), F.lit(None).cast("array<string>").alias("errors"), only(5, "Truncated at 600").alias("warnings"))
+    return review.query_lint(specs, "p_brand")
+
+
 def context_window(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", review.near_context(F.col("text"), CONCEPT, VERB, 90).alias("in_context"))
 
@@ -113,7 +141,19 @@ def located_findings(spark: SparkSession, d: str) -> DataFrame:
 _CORE = "(select lang, doc_id from (select lang, doc_id, row_number() over (partition by lang order by n_chars desc, doc_id) r from documents) where r <= 15)"
 _RULES = f"select lang, axis, count(*) n, list(doc_id order by doc_id) ids from ({_SQL_BRIDGE}) join {_CORE} using (lang, doc_id) group by lang, axis"
 _NUMBERS = "list_transform(regexp_extract_all({0}, '" + T.NUMBER + "', 1), lambda x: replace(x, ',', ''))"
+_HAS = lambda *parts: "(" + " or ".join(f"contains(lower(query), '{p}')" for p in parts) + ")"
+_TAG = lambda c, t: f"len(list_filter({c}, lambda x: contains(x, '{t}'))) > 0"
+_TAGGED = lambda c: f"len(list_filter({c}, lambda x: contains(x, '[Mesh]') or contains(x, '[tiab]') or contains(x, '[tw]'))) = len({c})"
+_LEXICAL = lambda c: f"""len(list_distinct(list_transform({c}, lambda x: trim(regexp_replace(replace(replace(lower(regexp_replace(x, '\\[[^\\]]*\\]', '', 'g')), '"', ''), '-', ' '), '\\s+', ' ', 'g'))))) >= 25"""
+_RULES = ", ".join([
+    "starts_with(query, base)", f"not {_HAS(*review.SPECIES_LIMITS)}", f"not {_HAS(*review.SPECIES_LIMITS, *review.PUBLICATION_LIMITS, *review.DESIGN_LIMITS)}", f"not {_HAS(*review.PUBLICATION_LIMITS)}", f"contains(query, {DATES})",
+    f"{KIND} <> 4 and " + " and ".join(_TAG(c, t) for c in ("p_terms", "i_terms") for t in ("[Mesh]", "[tiab]")), f"{_TAGGED('p_terms')} and {_TAGGED('i_terms')}", f"{_LEXICAL('p_terms')} and {_LEXICAL('i_terms')}", f"{KIND} <> 5",
+])
 SQL = {
+    "query_lint": f"""with t as (select p_brand, list_sort(list_distinct(list({P_TERM}))) p_terms, list_sort(list_distinct(list({I_TERM}))) i_terms from part group by 1),
+        b as (select *, '(' || array_to_string(p_terms, ' OR ') || ') AND (' || array_to_string(i_terms, ' OR ') || ')' base from t), q as (select *, {SEARCH} query from b)
+        select p_brand, unnest(range(1, 10))::integer as rule, unnest([{_RULES}]) kept from q""",
+    "nested_terms": "select event_id, concat_ws(' ', case when event_id % 3 <> 1 then '$.translations[0].note' end, '$.<generated_field>:name', case when event_id % 3 <> 1 then '$.<generated_field>.notes[0]' end) paths from events",
     "rule_rebuild": f"select lang, axis, n, array_to_string(ids[1:3], '|') preview, array_to_string(ids, '|') \"all\" from ({_RULES})",
     "applied_axes": f"select a.lang, a.axis, r.n, case when r.n is null then 'unavailable' else 'applied' end state from (select lang, unnest([{', '.join(repr(a) for a in (*AXES, 'genetics'))}]) axis from (select distinct lang from documents)) a left join ({_RULES}) r using (lang, axis)",
     "in_core_marker": f"select d.lang, c.doc_id is not null in_core, count(*) n, sum(n_chars)::bigint chars from documents d left join {_CORE} c using (doc_id) group by 1, 2",

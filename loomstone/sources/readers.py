@@ -116,6 +116,21 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(parse, ARTICLE)
 
 
+def read_terms(spark: SparkSession, path: str) -> DataFrame:
+    """Indexing terms of each article of bibliographic XML files: provider_id, terms (joined by ;). Of several records of one id, the first by file and place counts."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                articles = [(item, (item.findtext("./MedlineCitation/PMID") or "").strip()) for item in ElementTree.fromstring(content).iter("PubmedArticle")]
+                terms = [";".join(t for d in item.iterfind("./MedlineCitation/MeshHeadingList/MeshHeading/DescriptorName") if (t := (d.text or "").strip())) for item, _ in articles]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(articles), pa.string()), pa.array(range(len(articles)), pa.int64()), pa.array([i for _, i in articles], pa.string()), pa.array(terms, pa.string())], names=["path", "place", "provider_id", "terms"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = files.mapInArrow(parse, "path string, place long, provider_id string, terms string").filter("provider_id != ''")
+    return rows.groupBy("provider_id").agg(F.min_by("terms", F.struct("path", "place")).alias("terms"))
+
+
 def read_ris(spark: SparkSession, path: str) -> DataFrame:
     """RIS records: one row for each record with its tags as a map of lists."""
     whole = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())

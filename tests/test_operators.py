@@ -159,6 +159,102 @@ def test_overlaps_against_brute_force(spark):
     assert got == {(a, b): len(set(x) & set(y)) for a, x in few for b, y in many if x and y and len(set(x) & set(y)) >= 0.5 * min(len(x), len(y))}
 
 
+def test_nonclinical_gate(spark):
+    from loomstone.operators import clinical
+
+    gate = lambda title, text: one(spark, clinical.nonclinical_gate(F.lit(title), F.lit(text)))
+    assert gate("Calcium in mice", "We enrolled 40 patients") and gate("Nanoparticles", "") and gate("x", "HepG2 cells") and gate("x", "Rabbits of one kind were fed")
+    assert gate("Patients with scaffolds", "") and not gate("Patients with stones", "mice were fed") and not gate("RAT in prenatal tests", "RAT was seen")
+    assert not gate("Scaffolds in a clinical trial", "") and not gate("x", "We enrolled 40 patients; mice were fed") and not gate(None, None)
+
+
+def test_query_lint(spark):
+    from loomstone.operators import review
+
+    terms = lambda c, tags: [f"{c}{k}{tags[k % len(tags)]}" for k in range(26)]
+    p, i = terms("p", ["[Mesh]", "[tiab]"]), terms("i", ["[Mesh]", "[tiab]", "[tw]"])
+    base = f"({' OR '.join(p)}) AND ({' OR '.join(i)})"
+    dates = '("2000/01/01"[Date - Publication] : "2024/12/31"[Date - Publication])'
+    rows = [
+        ("good", p, i, f"{base} AND {dates}", [], [], []), ("limits", p, i, f"{base} AND {dates} AND Humans[Mesh] AND english[LANG]", [], [], []), ("design", p, i, f"{base} AND {dates} AND Cohort[ti]", [], [], []),
+        ("few", p[:24], i, f"{base} AND (2000)", ["x"], [], ["Wildcard search"]), ("null", None, None, None, None, ["e"], None), ("bare", p, [*i, "bare"], base, [], ["e"], []),
+    ]
+    specs = spark.createDataFrame(rows, "k string, p_terms array<string>, i_terms array<string>, query string, not_found array<string>, errors array<string>, warnings array<string>")
+    specs = specs.withColumn("first", F.lit("2000/01/01")).withColumn("last", F.lit("2024/12/31"))
+    broken = {}
+    for r in review.query_lint(specs, "k").collect():
+        broken.setdefault(r.k, set()).update([] if r.kept else [r.rule])
+    assert broken == {"good": set(), "limits": {2, 3, 4}, "design": {3}, "few": {1, 5, 6, 8, 9}, "null": {1, 5, 6, 8}, "bare": {1, 5, 6, 7}}
+
+
+def test_bootstrap_of_metrics(spark):
+    rows = [("a", k % 10 < 6, k % 10 < 5, 1.0) for k in range(400)] + [("b", k % 5 != 0, k % 4 != 0, 2.0) for k in range(200)] + [("b", None, True, 2.0)]
+    rows = spark.createDataFrame(rows, "s string, x boolean, y boolean, w double")
+    run = lambda census, some=rows: {r.metric: r for r in metrics.bootstrap_metrics(some, "s", F.col("x"), F.col("y"), F.col("w"), 0.4, census, 400).collect()}
+    point = metrics.rates(metrics.weighted_confusion(rows.dropna(), [], F.col("x"), F.col("y"), F.col("w"))).first()
+    free, half, whole = run(()), run(("a",)), run(("a", "b"))
+    assert len(free) == 7
+    for name in ("recall", "specificity", "precision", "f1", "agreement"):
+        assert free[name].low < point[name] < free[name].high and abs(whole[name].low - point[name]) < 1e-12 and whole[name].low == whole[name].high
+        assert half[name].high - half[name].low <= free[name].high - free[name].low + 0.02
+    assert whole["scored_prevalence"].low == (240 + 2 * 160) / 800 and free["recall"].draws_used == 400
+    assert set(run((), rows.filter("not x and not y"))) == {"specificity", "agreement", "scored_prevalence"}
+    assert run((), rows.limit(0)) == {}
+
+
+def test_pages_diverse_in_themselves(spark):
+    import random
+
+    rng, words = random.Random(3), ["alpha", "gamma", "delta", "omega", "kappa", "sigma", "theta", "lambda"]
+    rows = [(g, k, k % 7, " ".join(rng.sample(words, 4))) for g, n in (("a", 23), ("b", 4), (None, 2)) for k in range(n)]
+    frame = spark.createDataFrame(rows, "g string, k int, s int, t string")
+    seed, page = "q", 5
+    got = {}
+    for r in lookup.diverse_pages(frame, "g", [F.desc("s"), F.asc("k")], seed, "k", "t", page).orderBy("page", "place").collect():
+        got.setdefault(r.g, []).append(r.k)
+    turn = {r.k: r.v for r in spark.range(30).select(F.col("id").alias("k"), rotation_key(seed, F.col("id").cast("int")).alias("v")).collect()}
+    texts = {(g, k): set(t.split()) for g, k, _, t in rows}
+
+    def diverse(g, ks):
+        chosen, left = [], list(ks)
+        while left and len(ks) > 2:
+            worst = lambda k: max((len(texts[g, k] & texts[g, c]) / 4 for c in chosen), default=0)
+            best = max(range(len(left)), key=lambda i: ((len(left) - i) / len(ks) - 2.5 * worst(left[i]), -i))
+            chosen.append(left.pop(best))
+        return chosen + left
+
+    for g in ("a", "b", None):
+        order = [k for _, k, _, _ in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))]
+        if len(order) > page:
+            cut = [int(b * len(order) / page) for b in range(page)] + [len(order)]
+            bands = [sorted(order[a:b], key=lambda k: (-turn[k], str(k))) for a, b in zip(cut, cut[1:])]
+            pages = [[b[j] for b in bands if j < len(b)] for j in range(max(map(len, bands)))]
+        else:
+            pages = [order]
+        assert got[g] == [k for p in pages for k in diverse(g, p)]
+
+
+def test_nested_texts(spark):
+    import re
+
+    from loomstone.functions import nested
+
+    assert nested.strings_in({"a": "x", "b": ["y", 3], "c": {"d": None, "e": 5}}) == ["a", "x", "b", "y", "3", "c", "d", "e", "5"] and nested.strings_in(None) == []
+    body = '[{"title": "validated", "note": ["invalidated", "EXCLUDE it"], "accuracy": {"title": "include"}}]'
+    find = lambda mode: one(spark, nested.nested_term_paths(F.lit(body), nested.GENERATED_TERM, nested.VERBATIM[mode]))
+    rest = ["$[0].note[1]", "$[0].<generated_field>:name", "$[0].<generated_field>.title"]
+    assert find("bundle") == rest and find("none") == find("rules") == ["$[0].title", *rest]
+    assert one(spark, nested.nested_strings(F.lit('{"a": [1]}'))) == ["a", "1"] and one(spark, nested.nested_strings(F.lit(None).cast("string"))) is None
+    assert nested.term_paths(7, re.compile("7"), lambda path, name: False) == []
+
+
+def test_indexing_terms(spark, tmp_path):
+    article = lambda i, *terms: f"<PubmedArticle><MedlineCitation><PMID>{i}</PMID><MeshHeadingList>{''.join(f'<MeshHeading><DescriptorName>{t}</DescriptorName></MeshHeading>' for t in terms)}</MeshHeadingList></MedlineCitation></PubmedArticle>"
+    for name, items in (("a", [article(1, "Calcium", " ", "Aged "), article(2), article("")]), ("b", [article(1, "Other"), article(3, "Male")])):
+        (tmp_path / f"{name}.xml").write_text(f"<Set>{''.join(items)}</Set>")
+    assert {r.provider_id: r.terms for r in readers.read_terms(spark, f"{tmp_path}/*.xml").collect()} == {"1": "Calcium;Aged", "2": "", "3": "Male"}
+
+
 def test_publication_gate_and_foreground(spark):
     from loomstone.operators import clinical
 
