@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.text import canonical_term, numbers_in
@@ -61,6 +61,78 @@ def referee(paragraphs: DataFrame, allowed_numbers: Column, banned: str, most_ch
     return paragraphs.withColumn("against", F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in against.items())), lambda x: x.isNotNull()))
 
 
+# Wording that directs, wording that claims something of a person, and question marks.
+DIRECTION = (
+    r"복용을\s*(?:중단|시작|계속)",
+    r"(?:끊|중단하|시작하)(?:으)?세요",
+    r"용량을\s*(?:줄|늘)",
+    r"(?:줄이|늘리|올리|낮추)세요",
+    r"드시지\s*(?:마|말)",
+    r"드세요|복용하세요|섭취하세요",
+    r"권(?:장|고)합니다|권해\s*드립니다|추천(?:합니다|드립니다)",
+    r"안전합니다|위험합니다|해롭습니다|괜찮습니다",
+    r"피하(?:세요|셔야)",
+    r"(?:상한|한도)(?:은|는|을|를)?\s*\d",
+)
+PERSONAL_CLAIM = (r"당신(?:의|에게|은|이)", r"환자분(?:께|에게|은)\s*(?:는|)\s*(?:안전|위험)", r"(?:틀림없|분명히|반드시)\s*")
+QUESTION = "[?？]"
+# End of fixed values.
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
+def _wording(text: Column) -> list[Column]:
+    """Direction and personal claim: the first pattern of either that stands in text, by its name; else null."""
+    return [F.concat(F.lit(f"{name}:"), F.coalesce(*(F.when(text.rlike(p), F.lit(p)) for p in patterns))) for name, patterns in (("direction", DIRECTION), ("personal_claim", PERSONAL_CLAIM))]
+
+
+def _unsupported(text: Column, allowed: Column) -> Column:
+    """The first number of text that isn't allowed; else null."""
+    return F.concat(F.lit("unsupported_number:"), F.get(F.array_except(numbers_in(text), allowed), F.lit(0)))
+
+
+def line_reason(line: Column, allowed_text: Column, most_chars: int = 150) -> Column:
+    """Why a line about one record can't stand: the first reason, or null if there is none; a null line has no text."""
+    text = _stripped(line)
+    plain = (F.when(text == "", "empty"), F.when(F.length(text) > most_chars, "too_long"), F.when(text.rlike(QUESTION), "question"))
+    return F.coalesce(*plain, *_wording(text), _unsupported(text, numbers_in(F.coalesce(allowed_text, F.lit("")))))
+
+
+def cited_referee(paragraphs: DataFrame, records: DataFrame, key: str, most: int = 4, most_chars: int = 320, most_refs: int = 3) -> DataFrame:
+    """For each response (key) what stands against it, in order of its paragraphs; none means that it can be shown.
+
+    paragraphs has key, place, text, ids (of records) and shared, a text whose numbers each paragraph of the response may use; records has id and text. Numbers
+    must stand in shared or in a record that the paragraph itself cites. Paragraphs without text don't count; a response of only such ones is `empty`.
+    """
+    text = _stripped(F.col("text"))
+    inside = Window.partitionBy(key).orderBy(F.col("text") == "", "place")
+    rows = paragraphs.select(key, "place", text.alias("text"), "shared", F.filter("ids", lambda i: i.isNotNull()).alias("ids"))
+    rows = rows.withColumn("index", F.row_number().over(inside) - 1).withColumn("n", F.coalesce(F.size("ids"), F.lit(0)))
+    cited = rows.select(key, "index", "text", "shared", "n", F.posexplode_outer("ids").alias("at", "id"))
+    cited = cited.join(records.select("id", numbers_in(F.coalesce("text", F.lit(""))).alias("numbers")), "id", "left")
+    unknown = F.min(F.when(F.col("id").isNotNull() & F.col("numbers").isNull(), F.struct("at", "id"))).alias("unknown")
+    each = cited.groupBy(key, "index").agg(F.first("text").alias("text"), F.first("shared").alias("shared"), F.first("n").alias("n"), F.flatten(F.collect_list("numbers")).alias("numbers"), unknown)
+    of = lambda name, *more: F.concat_ws(":", F.lit(name), F.col("index").cast("string"), *more)
+    direction, claim = (F.regexp_replace(w, "^([a-z_]+):", F.concat(F.lit("$1:"), F.col("index").cast("string"), F.lit(":"))) for w in _wording(F.col("text")))
+    number = F.array_except(numbers_in(F.col("text")), F.array_union(numbers_in(F.coalesce("shared", F.lit(""))), "numbers"))
+    against = [
+        F.when(F.length("text") > most_chars, of("too_long")),
+        F.when(F.col("text").rlike(QUESTION), of("question")),
+        direction,
+        claim,
+        F.when(F.col("unknown").isNotNull(), of("unknown_record", F.col("unknown.id").cast("string"))),
+        F.when(F.col("n") > most_refs, of("too_many_refs", F.col("n").cast("string"))),
+        F.when(F.size(number) > 0, of("unsupported_number", F.get(number, F.lit(0)))),
+    ]
+    some = F.col("text") != ""
+    found = each.withColumn("against", F.filter(F.array(*against), lambda x: x.isNotNull()))
+    found = found.groupBy(key).agg(F.count_if(some).alias("n"), F.flatten(F.transform(F.sort_array(F.collect_list(F.when(some, F.struct("index", "against")))), lambda s: s["against"])).alias("against"))
+    many = F.when(F.col("n") > most, F.array(F.lit("too_many_paragraphs"))).otherwise(F.array().cast("array<string>"))
+    return found.select(key, F.when(F.col("n") == 0, F.array(F.lit("empty"))).otherwise(F.concat(many, "against")).alias("rejections"))
+
+
 def terms_in_documents(rows: DataFrame, key: str, json: str, forbidden: str, exempt: tuple[str, ...] = ()) -> DataFrame:
     """Fields of JSON documents in which a forbidden term stands, but for exempt ones."""
     fields = rows.select(key, F.explode(F.from_json(json, "map<string,string>")).alias("field", "value"))

@@ -62,6 +62,14 @@ def referee_check(spark: SparkSession, d: str) -> DataFrame:
     return out.filter(F.size("against") > 0).select("doc_id", F.array_join("against", ",").alias("against"))
 
 
+LINE = """concat('  ', p_name, case p_partkey % 9 when 0 then ' 복용을 중단' when 1 then ' 드세요' when 2 then ' 당신은' when 3 then '？' when 4 then concat(' 5 ', cast(p_size as varchar(4))) when 5 then repeat(' long', 40) when 6 then ' 반드시 안전합니다' when 7 then ' 1,5' else '' end)"""
+
+
+def line_reasons(spark: SparkSession, d: str) -> DataFrame:
+    reason = review.line_reason(F.expr(LINE), F.expr("concat(p_name, ' 5 15 7')"))
+    return table(spark, d, "part").select("p_partkey", F.coalesce(reason, F.lit("ok")).alias("reason"))
+
+
 def terminology_gate(spark: SparkSession, d: str) -> DataFrame:
     return review.terms_in_documents(table(spark, d, "events"), "event_id", "props", "[13579]$", ("exempt",))
 
@@ -149,7 +157,10 @@ _RULES = ", ".join([
     "starts_with(query, base)", f"not {_HAS(*review.SPECIES_LIMITS)}", f"not {_HAS(*review.SPECIES_LIMITS, *review.PUBLICATION_LIMITS, *review.DESIGN_LIMITS)}", f"not {_HAS(*review.PUBLICATION_LIMITS)}", f"contains(query, {DATES})",
     f"{KIND} <> 4 and " + " and ".join(_TAG(c, t) for c in ("p_terms", "i_terms") for t in ("[Mesh]", "[tiab]")), f"{_TAGGED('p_terms')} and {_TAGGED('i_terms')}", f"{_LEXICAL('p_terms')} and {_LEXICAL('i_terms')}", f"{KIND} <> 5",
 ])
+_WORDING = ", ".join(f"case when regexp_matches(t, '{p}') then '{n}:{p}' end" for n, ps in (("direction", review.DIRECTION), ("personal_claim", review.PERSONAL_CLAIM)) for p in ps)
 SQL = {
+    "line_reasons": f"""select p_partkey, coalesce(case when t = '' then 'empty' when length(t) > 150 then 'too_long' when regexp_matches(t, '{review.QUESTION}') then 'question' end, {_WORDING},
+        'unsupported_number:' || list_filter({_NUMBERS.format('t')}, lambda y: not list_contains({_NUMBERS.format('a')}, y))[1], 'ok') reason from (select p_partkey, trim({LINE}) t, p_name || ' 5 15 7' a from part)""",
     "query_lint": f"""with t as (select p_brand, list_sort(list_distinct(list({P_TERM}))) p_terms, list_sort(list_distinct(list({I_TERM}))) i_terms from part group by 1),
         b as (select *, '(' || array_to_string(p_terms, ' OR ') || ') AND (' || array_to_string(i_terms, ' OR ') || ')' base from t), q as (select *, {SEARCH} query from b)
         select p_brand, unnest(range(1, 10))::integer as rule, unnest([{_RULES}]) kept from q""",

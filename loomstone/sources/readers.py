@@ -80,6 +80,11 @@ def _text(element: ElementTree.Element | None) -> str:
     return " ".join("".join(element.itertext()).split()) if element is not None else ""
 
 
+def _author(author: ElementTree.Element) -> str:
+    """A group's name, or family name and initials."""
+    return _text(author.find("CollectiveName")) or " ".join(p for p in (_text(author.find("LastName")), _text(author.find("Initials"))) if p)
+
+
 def _article(item: ElementTree.Element) -> dict:
     sections = [(f"{label}: " if (label := s.get("Label")) else "") + _text(s) for s in item.iterfind(".//Abstract/AbstractText")]
     ids = {i.get("IdType", "").lower(): _text(i) for i in item.iterfind(".//ArticleId")}
@@ -94,20 +99,21 @@ def _article(item: ElementTree.Element) -> dict:
         "publication_types": "|".join(k for k in kinds if k),
         "doi": ids.get("doi", ""),
         "pmc": ids.get("pmc", ""),
+        "authors": "; ".join(a for a in map(_author, item.iterfind(".//AuthorList/Author")) if a),
     }
 
 
-ARTICLE = "path string, provider_id string, title string, abstract string, venue string, year string, publication_types string, doi string, pmc string"
+ARTICLE = "path string, provider_id string, title string, abstract string, venue string, year string, publication_types string, doi string, pmc string, authors string"
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Articles and books of bibliographic XML files, with text of mixed content in document order."""
+    """Articles and books of bibliographic XML files, with text of mixed content in document order; those without an id are left out."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 root = ElementTree.fromstring(content)
-                found = [{"path": name} | _article(x) for x in root if x.tag in ("PubmedArticle", "PubmedBookArticle")]
+                found = [{"path": name} | a for x in root if x.tag in ("PubmedArticle", "PubmedBookArticle") if (a := _article(x))["provider_id"]]
                 if found:
                     columns = ARTICLE.replace(" string", "").split(", ")
                     yield pa.RecordBatch.from_pydict({c: pa.array([f[c] for f in found], pa.string()) for c in columns})
@@ -116,6 +122,13 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(parse, ARTICLE)
 
 
+def id_differences(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """Ids (provider_id) that were asked for and not found (missing) or found unasked (extra); none if the sets are equal."""
+    sides = asked.select("provider_id", F.lit(1).alias("a"), F.lit(0).alias("f")).unionByName(found.select("provider_id", F.lit(0).alias("a"), F.lit(1).alias("f")))
+    sets = sides.groupBy("provider_id").agg(F.max("a").alias("a"), F.max("f").alias("f")).filter("a != f")
+    return sets.select("provider_id", F.when(F.col("a") == 1, "missing").otherwise("extra").alias("state"))
+
+
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
     """Indexing terms of each article of bibliographic XML files: provider_id, terms (joined by ;). Of several records of one id, the first by file and place counts."""
 

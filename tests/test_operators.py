@@ -255,6 +255,32 @@ def test_indexing_terms(spark, tmp_path):
     assert {r.provider_id: r.terms for r in readers.read_terms(spark, f"{tmp_path}/*.xml").collect()} == {"1": "Calcium;Aged", "2": "", "3": "Male"}
 
 
+def test_authors_and_ids(spark, tmp_path):
+    author = "<AuthorList><Author><LastName>Kim</LastName><Initials>A</Initials></Author><Author><CollectiveName>Group</CollectiveName></Author><Author/></AuthorList>"
+    (tmp_path / "x.xml").write_text(f"<S><PubmedArticle><PMID>4</PMID>{author}</PubmedArticle><PubmedArticle><PMID> </PMID></PubmedArticle><PubmedArticle><PMID>6</PMID></PubmedArticle></S>")
+    found = readers.read_articles(spark, f"{tmp_path}/x.xml")
+    assert {r.provider_id: r.authors for r in found.collect()} == {"4": "Kim A; Group", "6": ""}
+    asked = spark.createDataFrame([("4",), ("5",)], "provider_id string")
+    assert {(r.provider_id, r.state) for r in readers.id_differences(asked, found).collect()} == {("5", "missing"), ("6", "extra")}
+
+
+def test_cited_referee(spark):
+    from loomstone.operators import review
+
+    rows = [
+        ("fine", 0, " 3 of 1,200 ", ["a"], "x 3"), ("fine", 1, None, ["zz"], ""), ("fine", 2, "7 7.5", ["b", None], ""),
+        ("wrong", 0, "9 and 7", ["a"], "7"), ("wrong", 1, "이 약을 드세요?", ["q", "a", "b", "r"], ""), ("wrong", 2, "당신은 " + "x" * 320, None, ""),
+        ("many", 4, "e", [], ""), ("many", 3, "8", [], ""), ("many", 2, "c", [], ""), ("many", 1, "b", [], ""), ("many", 0, "a", [], ""), ("none", 0, "  ", ["q"], ""), (None, 0, "5", None, None),
+    ]
+    paragraphs = spark.createDataFrame(rows, "k string, place int, text string, ids array<string>, shared string")
+    records = spark.createDataFrame([("a", "1200 people"), ("b", "7.5 and 7"), ("c", None)], "id string, text string")
+    got = {r.k: r.rejections for r in review.cited_referee(paragraphs, records, "k").collect()}
+    assert got["fine"] == [] and got["many"] == ["too_many_paragraphs", "unsupported_number:3:8"] and got["none"] == ["empty"] and got[None] == ["unsupported_number:0:5"]
+    assert got["wrong"] == ["unsupported_number:0:9", "question:1", "direction:1:드세요|복용하세요|섭취하세요", "unknown_record:1:q", "too_many_refs:1:4", "too_long:2", "personal_claim:2:당신(?:의|에게|은|이)"]
+    reason = lambda line: one(spark, review.line_reason(F.lit(line), F.lit("5 7")))
+    assert (reason(" 5 of 7"), reason(None), reason("x" * 151), reason("왜？"), reason("8")) == (None, "empty", "too_long", "question", "unsupported_number:8")
+
+
 def test_publication_gate_and_foreground(spark):
     from loomstone.operators import clinical
 
