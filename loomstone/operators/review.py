@@ -133,6 +133,38 @@ def cited_referee(paragraphs: DataFrame, records: DataFrame, key: str, most: int
     return found.select(key, F.when(F.col("n") == 0, F.array(F.lit("empty"))).otherwise(F.concat(many, "against")).alias("rejections"))
 
 
+def rows_digest(columns: list[str]) -> Column:
+    """An aggregate: a digest of a set of rows that doesn't depend on their order or partitions, from sums of parts of each row's sha256.
+
+    Each value stands with its length before it, a null as a minus, so that no two rows have one text. Repeated rows count.
+    """
+    texts = (F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in (F.col(c).cast("string") for c in columns))
+    row = F.sha2(F.concat(*texts), 256)
+    parts = (F.coalesce(F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for at in (1, 16, 31, 46))
+    return F.sha2(F.concat_ws("|", F.count("*").cast("string"), *parts), 256)
+
+
+def lock_receipt(cards: DataFrame, labels: DataFrame, key: list[str], truth_opened: bool = False) -> DataFrame:
+    """One row that fixes labels before the truth is opened: cards without a label (missing), labels without a card (extra), counts, digests of both and the time.
+
+    With missing or extra keys the labels' digest is null, so that the receipt isn't accepted (see check_receipt).
+    """
+    keys = lambda rows, a, b: rows.select(*key).distinct().withColumn("c", F.lit(a)).withColumn("l", F.lit(b))
+    sides = keys(cards, 1, 0).unionByName(keys(labels, 0, 1)).groupBy(*key).agg(F.max("c").alias("c"), F.max("l").alias("l"))
+    counts = sides.agg(F.count_if((F.col("c") == 1) & (F.col("l") == 0)).alias("missing"), F.count_if((F.col("c") == 0) & (F.col("l") == 1)).alias("extra"))
+    both = labels.agg(F.count("*").alias("scored_rows"), rows_digest(sorted(labels.columns)).alias("labels_digest")).crossJoin(cards.agg(rows_digest(sorted(cards.columns)).alias("cards_digest"))).crossJoin(counts)
+    closed = F.when((F.col("missing") == 0) & (F.col("extra") == 0), F.col("labels_digest"))
+    return both.withColumn("labels_digest", closed).withColumn("locked_at", F.current_timestamp()).withColumn("truth_opened", F.lit(truth_opened))
+
+
+def check_receipt(receipt: DataFrame) -> None:
+    """Raises unless the receipt is one row with no null in it and the truth wasn't opened before."""
+    rows = receipt.limit(2).collect()
+    empty = [c for r in rows for c, v in r.asDict().items() if v is None]
+    if len(rows) != 1 or empty or rows[0].truth_opened:
+        raise ValueError(f"no valid receipt: {len(rows)} rows, without {empty}" + (", truth opened before the lock" if rows and rows[0].truth_opened else ""))
+
+
 def terms_in_documents(rows: DataFrame, key: str, json: str, forbidden: str, exempt: tuple[str, ...] = ()) -> DataFrame:
     """Fields of JSON documents in which a forbidden term stands, but for exempt ones."""
     fields = rows.select(key, F.explode(F.from_json(json, "map<string,string>")).alias("field", "value"))

@@ -70,6 +70,11 @@ def line_reasons(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.coalesce(reason, F.lit("ok")).alias("reason"))
 
 
+def label_locks(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = table(spark, d, "documents").select("doc_id", "n_chars"), table(spark, d, "labels").select("doc_id", "quality", "toxic")
+    return review.lock_receipt(docs, labels, ["doc_id"]).drop("locked_at")
+
+
 def terminology_gate(spark: SparkSession, d: str) -> DataFrame:
     return review.terms_in_documents(table(spark, d, "events"), "event_id", "props", "[13579]$", ("exempt",))
 
@@ -158,7 +163,11 @@ _RULES = ", ".join([
     f"{KIND} <> 4 and " + " and ".join(_TAG(c, t) for c in ("p_terms", "i_terms") for t in ("[Mesh]", "[tiab]")), f"{_TAGGED('p_terms')} and {_TAGGED('i_terms')}", f"{_LEXICAL('p_terms')} and {_LEXICAL('i_terms')}", f"{KIND} <> 5",
 ])
 _WORDING = ", ".join(f"case when regexp_matches(t, '{p}') then '{n}:{p}' end" for n, ps in (("direction", review.DIRECTION), ("personal_claim", review.PERSONAL_CLAIM)) for p in ps)
+_DIGEST = lambda *columns: "sha256(concat_ws('|', count(*)::varchar, " + ", ".join(f"coalesce(sum(cast('0x' || substr(sha256(concat({', '.join(_SIZED.format(c) for c in columns)})), {at}, 15) as bigint)), 0)::varchar" for at in (1, 16, 31, 46)) + "))"
+_SIZED = "coalesce(length({0}::varchar) || ':' || {0}::varchar, '-')"
 SQL = {
+    "label_locks": f"""select missing, extra, scored_rows, cards_digest, case when missing + extra = 0 then digest end labels_digest, false truth_opened from (select count(*) filter (l.doc_id is null) missing, count(*) filter (d.doc_id is null) extra from (select distinct doc_id from documents) d full outer join (select distinct doc_id from labels) l on d.doc_id = l.doc_id),
+        (select count(*) scored_rows, {_DIGEST('doc_id', 'quality', 'toxic')} digest from labels), (select {_DIGEST('doc_id', 'n_chars')} cards_digest from documents)""",
     "line_reasons": f"""select p_partkey, coalesce(case when t = '' then 'empty' when length(t) > 150 then 'too_long' when regexp_matches(t, '{review.QUESTION}') then 'question' end, {_WORDING},
         'unsupported_number:' || list_filter({_NUMBERS.format('t')}, lambda y: not list_contains({_NUMBERS.format('a')}, y))[1], 'ok') reason from (select p_partkey, trim({LINE}) t, p_name || ' 5 15 7' a from part)""",
     "query_lint": f"""with t as (select p_brand, list_sort(list_distinct(list({P_TERM}))) p_terms, list_sort(list_distinct(list({I_TERM}))) i_terms from part group by 1),

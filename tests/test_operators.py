@@ -281,6 +281,24 @@ def test_cited_referee(spark):
     assert (reason(" 5 of 7"), reason(None), reason("x" * 151), reason("왜？"), reason("8")) == (None, "empty", "too_long", "question", "unsupported_number:8")
 
 
+def test_lock_receipt(spark):
+    import pytest
+
+    from loomstone.operators import review
+
+    cards = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "id int, t string")
+    labels = spark.createDataFrame([(k, "x") for k in (3, 1, 2)], "id int, label string")
+    lock = review.lock_receipt(cards, labels, ["id"])
+    review.check_receipt(lock)
+    one_of, again = lock.first(), review.lock_receipt(cards.orderBy("t").repartition(3), labels.orderBy("id"), ["id"]).first()
+    assert (one_of.scored_rows, one_of.labels_digest, one_of.cards_digest) == (3, again.labels_digest, again.cards_digest)
+    changed = review.lock_receipt(cards, labels.withColumn("label", F.when(F.col("id") == 2, None).otherwise("x")), ["id"]).first()
+    assert changed.labels_digest != one_of.labels_digest and changed.cards_digest == one_of.cards_digest
+    for bad in (review.lock_receipt(cards, labels.filter("id > 1"), ["id"]), review.lock_receipt(cards.filter("id > 1"), labels, ["id"]), review.lock_receipt(cards, labels, ["id"], True), lock.limit(0)):
+        with pytest.raises(ValueError):
+            review.check_receipt(bad)
+
+
 def test_publication_gate_and_foreground(spark):
     from loomstone.operators import clinical
 
