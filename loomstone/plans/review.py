@@ -158,7 +158,7 @@ _HAS = lambda *parts: "(" + " or ".join(f"contains(lower(query), '{p}')" for p i
 _TAG = lambda c, t: f"len(list_filter({c}, lambda x: contains(x, '{t}'))) > 0"
 _TAGGED = lambda c: f"len(list_filter({c}, lambda x: contains(x, '[Mesh]') or contains(x, '[tiab]') or contains(x, '[tw]'))) = len({c})"
 _LEXICAL = lambda c: f"""len(list_distinct(list_transform({c}, lambda x: trim(regexp_replace(replace(replace(lower(regexp_replace(x, '\\[[^\\]]*\\]', '', 'g')), '"', ''), '-', ' '), '\\s+', ' ', 'g'))))) >= 25"""
-_RULES = ", ".join([
+_LINT = ", ".join([
     "starts_with(query, base)", f"not {_HAS(*review.SPECIES_LIMITS)}", f"not {_HAS(*review.SPECIES_LIMITS, *review.PUBLICATION_LIMITS, *review.DESIGN_LIMITS)}", f"not {_HAS(*review.PUBLICATION_LIMITS)}", f"contains(query, {DATES})",
     f"{KIND} <> 4 and " + " and ".join(_TAG(c, t) for c in ("p_terms", "i_terms") for t in ("[Mesh]", "[tiab]")), f"{_TAGGED('p_terms')} and {_TAGGED('i_terms')}", f"{_LEXICAL('p_terms')} and {_LEXICAL('i_terms')}", f"{KIND} <> 5",
 ])
@@ -172,7 +172,7 @@ SQL = {
         'unsupported_number:' || list_filter({_NUMBERS.format('t')}, lambda y: not list_contains({_NUMBERS.format('a')}, y))[1], 'ok') reason from (select p_partkey, trim({LINE}) t, p_name || ' 5 15 7' a from part)""",
     "query_lint": f"""with t as (select p_brand, list_sort(list_distinct(list({P_TERM}))) p_terms, list_sort(list_distinct(list({I_TERM}))) i_terms from part group by 1),
         b as (select *, '(' || array_to_string(p_terms, ' OR ') || ') AND (' || array_to_string(i_terms, ' OR ') || ')' base from t), q as (select *, {SEARCH} query from b)
-        select p_brand, unnest(range(1, 10))::integer as rule, unnest([{_RULES}]) kept from q""",
+        select p_brand, unnest(range(1, 10))::integer as rule, unnest([{_LINT}]) kept from q""",
     "nested_terms": "select event_id, concat_ws(' ', case when event_id % 3 <> 1 then '$.translations[0].note' end, '$.<generated_field>:name', case when event_id % 3 <> 1 then '$.<generated_field>.notes[0]' end) paths from events",
     "rule_rebuild": f"select lang, axis, n, array_to_string(ids[1:3], '|') preview, array_to_string(ids, '|') \"all\" from ({_RULES})",
     "applied_axes": f"select a.lang, a.axis, r.n, case when r.n is null then 'unavailable' else 'applied' end state from (select lang, unnest([{', '.join(repr(a) for a in (*AXES, 'genetics'))}]) axis from (select distinct lang from documents)) a left join ({_RULES}) r using (lang, axis)",
