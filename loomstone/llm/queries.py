@@ -109,6 +109,23 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomstone.llm.topk import build_index, search
+
+    importable(spark)
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(build_index(vectors, scale=256), vectors.filter("vec_id % 50 = 0"), k=5, scale=256)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomstone.llm.vector_codes import code_string, codebooks_digest, encode
+
+    importable(spark)
+    coded, codebooks = encode(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+    digest = F.lit(None if codebooks is None else codebooks_digest(codebooks)).cast("string")
+    return coded.select("vec_id", code_string("entries").alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -118,7 +135,31 @@ _WORDS = "list_filter(string_split_regex({0}, '[ \\t\\n\\x0B\\f\\r]+'), lambda w
 
 _MARKED = "length({0}) + length(regexp_replace({0}, '[^\\\\\\[\\]<]', '', 'g'))"
 
+#: Vectors without null or non-finite components, as whole numbers; {0} is the scale.
+_FLOORS = "select vec_id, label, list_transform(embedding, lambda x: cast(floor({0} * cast(x as double)) as bigint)) v from embeddings where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Each round assigns all parts (a0, a1, ...) and replaces the entries (b1, b2, ...)."""
+    steps = [
+        f"v as materialized ({_FLOORS.format(scale)})",
+        f"x as materialized (select vec_id, label, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] w from v, range({parts}) r(p))",
+        f"b0 as materialized (select p, row_number() over (partition by p order by vec_id) - 1 e, w from x where vec_id in (select vec_id from v order by vec_id limit {entries}))",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} as materialized (select vec_id, label, p, any_value(x.w) w, min(list_inner_product(x.w::double[], x.w::double[]) - 2 * list_inner_product(x.w::double[], b.w::double[]) + list_inner_product(b.w::double[], b.w::double[]))::bigint d, min_by(e, ({{}}) * {2 * entries} + e) e from x join b{k} b using (p) group by 1, 2, 3)".replace("{}", "list_inner_product(x.w::double[], x.w::double[]) - 2 * list_inner_product(x.w::double[], b.w::double[]) + list_inner_product(b.w::double[], b.w::double[])"))
+        if k < rounds:
+            steps.append(f"n{k} as (select p, e, list(s order by i) w from (select p, e, i, (s - ((s % n) + n) % n) // n s from (select p, e, i, sum(c)::bigint s, count(*)::bigint n from (select p, e, unnest(w) c, generate_subscripts(w, 1) i from a{k}) group by 1, 2, 3)) group by 1, 2)")
+            steps.append(f"b{k + 1} as materialized (select p, e, coalesce(n.w, b.w) w from b{k} b left join n{k} n using (p, e))")
+    steps.append(f"c as (select vec_id, label, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' order by p) code, sum(d)::bigint error from a{rounds} group by 1, 2)")
+    steps.append(f"h as (select sha256(string_agg(array_to_string(w, ','), ',' order by p, e)) codebooks_sha256 from b{rounds})")
+    return f"with {', '.join(steps)} select vec_id, code, error, sum(error) over (partition by label)::bigint label_error, codebooks_sha256 from c, h"
+
+
 SQL = {
+    "op11_exact_top_k": f"""with v as ({_FLOORS.format(256)}), s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+        select query_id, rank::int rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) where rank <= 5""",
+    "op13_vector_codes": _codes_sql(),
     "op4_chat_formatting": f"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, k, case when k = 0 then 'user' else 'assistant' end, '</s>[INST] ok [/INST]' from range(2) r(k)),
         a as (select *, len(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]')) + 4 tok, 3 + {_MARKED.format("role")} + {_MARKED.format("text")} + 4 size, row_number() over (partition by conv_id order by turn, role, text) place from t),
         b as (select *, coalesce(sum(tok) over (partition by conv_id order by place rows between unbounded preceding and 1 preceding), 0)::bigint start, max(case when place = 1 and role = 'system' then tok end) over (partition by conv_id) systok, max(case when place = 1 and role = 'system' then size end) over (partition by conv_id) syssize from a),
