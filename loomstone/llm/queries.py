@@ -117,6 +117,13 @@ def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(build_index(vectors, scale=256), vectors.filter("vec_id % 50 = 0"), k=5, scale=256)
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomstone.llm.prefix_trie import conversation_trie
+
+    importable(spark)
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomstone.llm.vector_codes import code_string, codebooks_digest, encode
 
@@ -159,6 +166,17 @@ def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int =
 SQL = {
     "op11_exact_top_k": f"""with v as ({_FLOORS.format(256)}), s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
         select query_id, rank::int rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) where rank <= 5""",
+    "op12_conversation_trie": """with t as (select conv_id, coalesce(role, '') r, coalesce(text, '') x, turn, substr(sha256(strlen(r)::varchar || ':' || r || x), 1, 48) k, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) w from conversations where conv_id is not null),
+        o as (select conv_id, list(k order by turn nulls first, k) k, list(w order by turn nulls first, k) w from t group by 1),
+        c as (select *, conv_id - conv_id % 20 base, xor(4294967295, list_reduce(list_transform(range(1, len(conv_id::varchar) + 1), lambda i: ascii((conv_id::varchar)[i])::bigint),
+            lambda acc, b: list_reduce(range(8), lambda a, z: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, xor(acc, b)), 4294967295::bigint)) % 4 h from o),
+        s as (select c.conv_id, list_concat(coalesce(b.k[1:c.h], []), c.k[c.h + 1:]) k, list_concat(coalesce(b.w[1:c.h], []), c.w[c.h + 1:]) w from c left join o b on b.conv_id = c.base),
+        m as (select *, sha256(array_to_string(k[1:d], ',')) node, case when d > 0 then sha256(array_to_string(k[1:d - 1], ',')) end above from (select *, unnest(range(0, len(k) + 1)) d from s)),
+        n as (select node, d, any_value(above) above, min(conv_id) conv_id, count(*) n_convs, (count(*) - 1) * coalesce(any_value(w[d]), 0) saved, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (len(k) = d), '')) ends_sha256 from m group by 1, 2),
+        kids as (select above node, count(*) n_children from n where d > 0 group by 1),
+        below as (select distinct a.node, b.node lower from m a join m b on a.conv_id = b.conv_id and a.d <= b.d),
+        sums as (select below.node, count(*) filter (kids.node is null) n_leaves, sum(saved) saved_tokens from below join n on n.node = lower left join kids on kids.node = lower group by 1)
+        select n.conv_id, n.d::bigint as depth, p.conv_id parent_conv_id, n.n_convs, coalesce(n_children, 0) n_children, n_leaves, saved_tokens::bigint saved_tokens, n.ends_sha256 from n left join n p on p.node = n.above left join kids on kids.node = n.node join sums on sums.node = n.node""",
     "op13_vector_codes": _codes_sql(),
     "op4_chat_formatting": f"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, k, case when k = 0 then 'user' else 'assistant' end, '</s>[INST] ok [/INST]' from range(2) r(k)),
         a as (select *, len(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]')) + 4 tok, 3 + {_MARKED.format("role")} + {_MARKED.format("text")} + 4 size, row_number() over (partition by conv_id order by turn, role, text) place from t),
