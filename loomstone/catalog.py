@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.plans import clinical, documents, review, screening, tables
+from loomstone.plans import classified, clinical, documents, review, screening, tables
 
-MODULES = (documents, tables, screening, review, clinical)
+MODULES = (documents, tables, screening, review, clinical, classified)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from types import SimpleNamespace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Marks between values that a user typed into one field (fixed values).
@@ -148,3 +149,13 @@ def first_line(text: Column) -> Column:
 def canonical_hash(*columns: Column) -> Column:
     """SHA-256 of the columns as text with | between."""
     return F.sha2(F.concat_ws("|", *(c.cast("string") for c in columns)), 256)
+
+
+def once(rows: DataFrame, name: str, flags: dict[str, Column]) -> tuple[DataFrame, SimpleNamespace]:
+    """rows with the flags (null is false) in one array column, and the flags as its elements.
+
+    The array comes out of a generator of one row each, so neither projections nor filters above it are merged with the patterns below: each flag is computed once
+    whatever uses it, and the width of the row stays below what code generation takes.
+    """
+    array = F.array(*(F.coalesce(c, F.lit(False)) for c in flags.values()))
+    return rows.select("*", F.explode(F.array(array)).alias(name)), SimpleNamespace(**{flag: F.col(name)[k] for k, flag in enumerate(flags)})

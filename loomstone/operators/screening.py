@@ -5,37 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.functions.text import flagged
+from loomstone.functions.text import flagged, once
 
 #: An abstract of so many characters is detailed enough to decide on.
 DETAILED = 180
 
 
-def decide(rows: DataFrame, p: Column, i: Column, o: Column, negative: Column, abstract: Column) -> DataFrame:
-    """rows with decision, confidence, evidence_basis and reason_codes.
+def decision_table(p: Column, i: Column, o: Column, against: Column, has_abstract: Column, detailed: Column) -> dict[str, Column]:
+    """decision, confidence, evidence_basis, off_topic and insufficient of records with positives p, i, o (never null).
 
-    A record with an explicit negative is set aside. By title alone, two kinds of evidence retain and one leaves it open, all at low
-    confidence. With an abstract, three retain at high and two at medium confidence; fewer set a detailed one aside and leave another open.
+    against: something is explicitly absent, or the record is no report or not clinical. By title alone, two positives retain and one leaves a record
+    open, always at low confidence and with too little text. With an abstract, three retain at high and two at medium confidence; fewer
+    set a detailed record aside and leave another one open for want of text.
     """
-    # Patterns are matched once: the filter of a whole-row array keeps the optimiser from writing each flag out wherever it is used.
-    flags = F.filter(F.array(*(F.coalesce(c, F.lit(False)) for c in (p, i, o, negative))), lambda x: x.isNotNull())
-    rows = rows.withColumn("__flags", flags)
-    p, i, o, negative = (F.col("__flags")[k] for k in range(4))
-    titled = F.trim(F.coalesce(abstract, F.lit(""))) == ""
-    kinds = p.cast("int") + i.cast("int") + o.cast("int")
-    detailed = F.length(F.coalesce(abstract, F.lit(""))) >= DETAILED
-    by_title = F.when(negative | (kinds == 0), "deprioritize").when(kinds == 1, "uncertain").otherwise("retain")
-    by_abstract = F.when(negative, "deprioritize").when(kinds >= 2, "retain").when(detailed, "deprioritize").otherwise("uncertain")
-    sure = F.when(titled, "low").when(negative | (kinds == 3), "high").when(kinds == 2, "medium").when(detailed, "high").otherwise("low")
-    off_topic = negative | F.when(titled, kinds == 0).otherwise(kinds < 2)
-    codes = flagged({"population": p & ~negative, "exposure": i & ~negative, "outcome": o & ~negative, "off_topic": off_topic, "insufficient_abstract": titled}, "off_topic")
-    return (
-        rows.withColumn("decision", F.when(titled, by_title).otherwise(by_abstract))
-        .withColumn("confidence", sure)
-        .withColumn("evidence_basis", F.when(titled, "title_only").otherwise("abstract"))
-        .withColumn("reason_codes", codes)
-        .drop("__flags")
-    )
+    n = p.cast("int") + i.cast("int") + o.cast("int")
+    aside = against | (n == 0) & ~has_abstract | (n < 2) & has_abstract & detailed
+    return {
+        "decision": F.when(aside, "deprioritize").when(n >= 2, "retain").otherwise("uncertain"),
+        "confidence": F.when(~has_abstract, "low").when(aside | (n == 3), "high").when(n == 2, "medium").otherwise("low"),
+        "evidence_basis": F.when(has_abstract, "abstract").otherwise("title_only"),
+        "off_topic": aside,
+        "insufficient": ~has_abstract | ~aside & (n < 2),
+    }
+
+
+def decide(rows: DataFrame, p: Column, i: Column, o: Column, no_p: Column, no_i: Column, no_o: Column, abstract: Column) -> DataFrame:
+    """rows with decision, confidence, evidence_basis and reason_codes, from three positives and what is explicitly absent; null is false.
+
+    What is absent isn't positive, whatever else is said of it; the other positives keep their codes.
+    """
+    rows, f = once(rows, "__flags", {"p": p, "i": i, "o": o, "no_p": no_p, "no_i": no_i, "no_o": no_o})
+    p, i, o = f.p & ~f.no_p, f.i & ~f.no_i, f.o & ~f.no_o
+    text = F.trim(F.coalesce(abstract, F.lit("")))
+    out = decision_table(p, i, o, f.no_p | f.no_i | f.no_o, text != "", F.length(text) >= DETAILED)
+    codes = flagged({"population": p, "exposure": i, "outcome": o, "off_topic": out["off_topic"], "insufficient_abstract": out["insufficient"]}, "off_topic")
+    return rows.select("*", *(out[c].alias(c) for c in ("decision", "confidence", "evidence_basis")), codes.alias("reason_codes")).drop("__flags")
 
 
 def decision_errors(decisions: DataFrame, key: list[str], codes: tuple[str, ...]) -> DataFrame:

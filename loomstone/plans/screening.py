@@ -1,56 +1,58 @@
-"""Screening over documents: the first line is the title, the rest the abstract."""
+"""Screening by three patterns and what is explicitly absent, over the records of documents."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.functions.text import word_pattern
+from loomstone.functions.intervals import found
+from loomstone.operators import screening_patterns as P
 from loomstone.operators.screening import decide, decision_errors
+from loomstone.plans.classified import RECORDS_SQL, _has, records
 from loomstone.session import table
 
-POPULATION, EXPOSURE, OUTCOME, NEGATIVE = (word_pattern(w) for w in ("with|con|mit|des", "from|para|von|une", "that|que|und|les", "idiot|moron"))
 CODES = ("population", "exposure", "outcome", "off_topic", "insufficient_abstract")
 
 
 def _decided(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    at = F.instr("text", "\n")
-    docs = docs.select("doc_id", "lang", "text", F.when(at > 0, F.substr("text", at + 1)).otherwise("").alias("abstract"))
-    has = lambda p: F.col("text").rlike(p)
-    return decide(docs, has(POPULATION), has(EXPOSURE), has(OUTCOME), has(NEGATIVE), F.col("abstract")).drop("text", "abstract")
+    rows = records(spark, d)
+    title, text = F.col("title"), F.concat_ws(" ", "title", "abstract")
+    asked = lambda patterns: reduce(lambda rest, qp: F.when(F.col("question_id") == qp[0], found(text, qp[1])).otherwise(rest), patterns.items(), F.lit(False))
+    absent = (found(title, P.PEDIATRIC) & ~found(title, P.ADULT), found(title, P.NOT_ORAL) & ~found(title, P.ORAL), found(title, P.EFFICACY_TITLE) & ~found(title, P.HARM_TITLE))
+    return decide(rows, asked(P.POPULATION), found(text, P.STRONG_EXPOSURE), asked(P.OUTCOME), *absent, F.col("abstract"))
 
 
 def screening_decisions(spark: SparkSession, d: str) -> DataFrame:
-    return _decided(spark, d).select("doc_id", "decision", "confidence", "evidence_basis", F.array_join("reason_codes", "|").alias("reason_codes"))
+    return _decided(spark, d).select("record_id", "decision", "confidence", "evidence_basis", F.array_join("reason_codes", "|").alias("reason_codes"))
 
 
 def screening_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return _decided(spark, d).groupBy("lang", "decision").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") == "high").alias("high"))
+    return _decided(spark, d).groupBy("question_id", "decision").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") == "high").alias("high"))
 
 
 def screening_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Decisions into which errors were put: what is labelled toxic is decided as `drop`, and long documents say a code twice."""
-    toxic = table(spark, d, "labels").filter("toxic = 1").select("doc_id").distinct().withColumn("bad", F.lit(True))
-    rows = _decided(spark, d).join(toxic, "doc_id", "left").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    rows = rows.withColumn("decision", F.when(F.col("bad"), "drop").otherwise(F.col("decision"))).withColumn("reason_codes", F.when(F.col("n_chars") > 4000, F.concat("reason_codes", "reason_codes")).otherwise(F.col("reason_codes")))
-    found = decision_errors(rows, ["doc_id"], CODES)
-    return found.select("doc_id", F.array_join("errors", ",").alias("errors"))
-
-
-_FLAGS = f"""select doc_id, lang, regexp_matches(text, '{POPULATION}') p, regexp_matches(text, '{EXPOSURE}') i, regexp_matches(text, '{OUTCOME}') o, regexp_matches(text, '{NEGATIVE}') neg,
-    case when instr(text, chr(10)) > 0 then substr(text, instr(text, chr(10)) + 1) else '' end ab from documents"""
-_DECIDED = f"""select *, case when t then case when neg or k = 0 then 'deprioritize' when k = 1 then 'uncertain' else 'retain' end else case when neg then 'deprioritize' when k >= 2 then 'retain' when dt then 'deprioritize' else 'uncertain' end end decision,
-    case when t then 'low' when neg or k = 3 then 'high' when k = 2 then 'medium' when dt then 'high' else 'low' end confidence, case when t then 'title_only' else 'abstract' end evidence_basis,
-    [x for x in [case when p and not neg then 'population' end, case when i and not neg then 'exposure' end, case when o and not neg then 'outcome' end, case when neg or (case when t then k = 0 else k < 2 end) then 'off_topic' end, case when t then 'insufficient_abstract' end] if x is not null] codes
-    from (select *, trim(ab, ' ') = '' t, p::int + i::int + o::int k, length(ab) >= 180 dt from ({_FLAGS}))"""
+    """Decisions into which errors were put: what is labelled toxic is decided as `drop`, and long abstracts say a code twice."""
+    toxic = table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("record_id")).distinct().withColumn("bad", F.lit(True))
+    rows = _decided(spark, d).join(toxic, "record_id", "left")
+    rows = rows.withColumn("decision", F.when(F.col("bad"), "drop").otherwise(F.col("decision"))).withColumn("reason_codes", F.when(F.length("abstract") > 4000, F.concat("reason_codes", "reason_codes")).otherwise(F.col("reason_codes")))
+    found_errors = decision_errors(rows, ["record_id"], CODES)
+    return found_errors.select("record_id", F.array_join("errors", ",").alias("errors"))
+
+
+_TEXT = "title || ' ' || abstract"
+_OF = lambda patterns: "case question_id " + " ".join(f"when '{q}' then {_has(_TEXT, p)}" for q, p in patterns.items()) + " else false end"
+_FLAGS = f"""select *, {_OF(P.POPULATION)} p0, {_has(_TEXT, P.STRONG_EXPOSURE)} i0, {_OF(P.OUTCOME)} o0, {_has('title', P.PEDIATRIC)} and not {_has('title', P.ADULT)} np,
+    {_has('title', P.NOT_ORAL)} and not {_has('title', P.ORAL)} ni, {_has('title', P.EFFICACY_TITLE)} and not {_has('title', P.HARM_TITLE)} no from {RECORDS_SQL}"""
+#: One row for each line of the decision table, as it is stated: what speaks against a record comes first, then how many positives are left.
+_DECIDED = f"""select *, case when neg then 'deprioritize' when k >= 2 then 'retain' when not t and dt then 'deprioritize' when t and k = 0 then 'deprioritize' else 'uncertain' end decision,
+    case when t then 'low' when neg then 'high' when k = 3 then 'high' when k = 2 then 'medium' when dt then 'high' else 'low' end confidence, case when t then 'title_only' else 'abstract' end evidence_basis,
+    [x for x in [case when p then 'population' end, case when i then 'exposure' end, case when o then 'outcome' end, case when neg or (t and k = 0) or (not t and k < 2 and dt) then 'off_topic' end, case when t or (not neg and k < 2 and not dt) then 'insufficient_abstract' end] if x is not null] codes
+    from (select *, trim(abstract, ' ') = '' t, p::int + i::int + o::int k, length(trim(abstract, ' ')) >= 180 dt from (select *, p0 and not np p, i0 and not ni i, o0 and not no o, np or ni or no neg from ({_FLAGS})))"""
 SQL = {
-    "screening_decisions": f"select doc_id, decision, confidence, evidence_basis, case when len(codes) = 0 then 'off_topic' else array_to_string(codes, '|') end reason_codes from ({_DECIDED})",
-    "screening_distribution": f"select lang, decision, count(*) n, count(*) filter (confidence = 'high') high from ({_DECIDED}) group by 1, 2",
-    "screening_errors": "select doc_id, array_to_string(e, ',') errors from (select doc_id, [x for x in [case when doc_id in (select doc_id from labels where toxic = 1) then 'decision' end, case when n_chars > 4000 then 'unique_codes' end] if x is not null] e from documents) where len(e) > 0",
-}
-QUERIES = {
-    name: f
-    for name, f in list(globals().items())
-    if callable(f) and name.startswith("screening_") and getattr(f, "__module__", "") == __name__
+    "screening_decisions": f"select record_id, decision, confidence, evidence_basis, case when len(codes) = 0 then 'off_topic' else array_to_string(codes, '|') end reason_codes from ({_DECIDED})",
+    "screening_distribution": f"select question_id, decision, count(*) n, count(*) filter (confidence = 'high') high from ({_DECIDED}) group by 1, 2",
+    "screening_errors": f"select record_id, array_to_string(e, ',') errors from (select record_id, [x for x in [case when record_id in (select doc_id from labels where toxic = 1) then 'decision' end, case when length(abstract) > 4000 then 'unique_codes' end] if x is not null] e from {RECORDS_SQL}) where len(e) > 0",
 }
+QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name.startswith("screening_") and getattr(f, "__module__", "") == __name__}

@@ -37,15 +37,17 @@ def test_text_functions(spark):
 
 def test_screening_table(spark):
     long = "x" * 180
+    off, thin = "off_topic", "insufficient_abstract"
     cases = [
-        # p i o neg abstract -> decision confidence
-        (1, 1, 1, 0, "x", "retain", "high"), (1, 1, 0, 0, "x", "retain", "medium"), (1, 0, 0, 0, "x", "uncertain", "low"), (1, 0, 0, 0, long, "deprioritize", "high"), (1, 1, 1, 1, "x", "deprioritize", "high"),
-        (1, 1, 0, 0, "", "retain", "low"), (0, 1, 0, 0, "", "uncertain", "low"), (0, 0, 0, 0, "", "deprioritize", "low"), (1, 1, 1, 1, "", "deprioritize", "low"), (1, 1, 0, 0, None, "retain", "low"),
+        # p i o, what is absent, abstract -> decision confidence codes
+        (1, 1, 1, "", "x", "retain", "high", "population exposure outcome"), (1, 1, 0, "", "x", "retain", "medium", "population exposure"), (1, 0, 0, "", "x", "uncertain", "low", f"population {thin}"),
+        (0, 0, 0, "", "x", "uncertain", "low", thin), (1, 0, 0, "", long, "deprioritize", "high", f"population {off}"), (1, 1, 1, "o", "x", "deprioritize", "high", f"population exposure {off}"), (1, 1, 1, "pio", "x", "deprioritize", "high", off),
+        (1, 1, 0, "", "", "retain", "low", f"population exposure {thin}"), (0, 1, 0, "", "", "uncertain", "low", f"exposure {thin}"), (0, 0, 0, "", "", "deprioritize", "low", f"{off} {thin}"),
+        (1, 1, 1, "i", "", "deprioritize", "low", f"population outcome {off} {thin}"), (1, 1, 0, "", None, "retain", "low", f"population exposure {thin}"), (None, 1, 1, "", long, "retain", "medium", "exposure outcome"),
     ]
-    rows = spark.createDataFrame(cases, "p int, i int, o int, neg int, abstract string, d string, c string")
-    out = decide(rows, *(F.col(c) == 1 for c in ("p", "i", "o", "neg")), F.col("abstract"))
-    assert out.filter("decision != d or confidence != c").count() == 0
-    assert out.filter("evidence_basis = 'title_only' and not array_contains(reason_codes, 'insufficient_abstract')").count() == 0
+    rows = spark.createDataFrame(cases, "p int, i int, o int, neg string, abstract string, d string, c string, codes string")
+    out = decide(rows, *(F.col(c) == 1 for c in "pio"), *(F.contains("neg", F.lit(c)) for c in "pio"), F.col("abstract")).withColumn("got", F.array_join("reason_codes", " "))
+    assert out.filter("decision != d or confidence != c or got != codes").collect() == []
 
 
 def test_diversify_pushes_repeats_back(spark):
