@@ -106,31 +106,6 @@ def overlapping(few: DataFrame, many: DataFrame, few_key: str, many_key: str, le
     return out.select(F.col("__a").alias(few_key), F.col("__b").alias(many_key), "shared", "overlap")
 
 
-def greedy_bins(rows: DataFrame, group: str, order: str, size: str, most_items: int = 30, most_size: int = 60_000) -> DataFrame:
-    """Bins filled in order; a new one begins where the next row would be too many or too much: group, order, bin (from 1).
-
-    Where a bin begins depends on the one before, so a group is read in order by one task, a row at a time; only the bin's counts are kept.
-    """
-    kinds = dict(rows.dtypes)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, number, items, total = object(), 0, 0, 0
-        for batch in batches:
-            bins = []
-            for g, s in zip(batch.column(group).to_pylist(), batch.column(size).to_pylist(), strict=True):
-                s = s or 0
-                if g != now:
-                    now, number, items, total = g, 1, 0, 0
-                elif items >= most_items or items and total + s > most_size:
-                    number, items, total = number + 1, 0, 0
-                items, total = items + 1, total + s
-                bins.append(number)
-            yield pa.RecordBatch.from_arrays([batch.column(group), batch.column(order), pa.array(bins, pa.int32())], names=[group, order, "bin"])
-
-    dealt = rows.select(group, order, size).repartition(group).sortWithinPartitions(group, order)
-    return dealt.mapInArrow(fill, f"{group} {kinds[group]}, {order} {kinds[order]}, bin int")
-
-
 def duplicate_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
 

@@ -23,6 +23,21 @@ def postings(bridge: DataFrame, group: str, key: str, block: int = 4096) -> Data
     return bridge.groupBy(group, "axis", F.floor(F.col(key) / block).alias("block")).agg(F.sort_array(F.collect_list(key)).alias("ids"), F.count("*").alias("n"))
 
 
+def intersect_postings(index: DataFrame, group: str, axes: list[str]) -> DataFrame:
+    """Keys that all axes (distinct, at least one) have, from the blocks of an index (see postings): group and key, as `id`; no text is read.
+
+    Blocks that lack an axis are skipped before their keys are read: names and numbers of blocks alone are counted first. The others meet by block, a row for each axis, and are
+    intersected from the shortest list on; a list that is empty ends it.
+    """
+    wanted = index.filter(F.col("axis").isin(*axes))
+    full = wanted.groupBy(F.col(group).alias("__g"), F.col("block").alias("__b")).agg(F.count("*").alias("__n")).filter(F.col("__n") == len(set(axes)))
+    met = wanted.join(full, F.col(group).eqNullSafe(F.col("__g")) & (F.col("block") == F.col("__b")), "left_semi")
+    lists = met.groupBy(group, "block").agg(F.array_sort(F.collect_list(F.struct("n", "ids"))).alias("lists"))
+    rest = F.slice("lists", 2, F.greatest(F.size("lists") - 1, F.lit(0)))
+    both = F.aggregate(rest, F.col("lists")[0]["ids"], lambda held, x: F.when(F.size(held) > 0, F.array_intersect(held, x["ids"])).otherwise(held))
+    return lists.select(group, F.explode(both).alias("id"))
+
+
 def coverage(bridge: DataFrame, group: str, grid: DataFrame) -> DataFrame:
     """Rows of each (group, axis) of a grid; null, not 0, where there are none."""
     return grid.join(bridge.groupBy(group, "axis").agg(F.count("*").alias("n")), [group, "axis"], "left")

@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstone.functions.intervals import any_window, intervals
 from loomstone.functions.text import canonical_term, numbers_in
 
 
@@ -172,13 +173,8 @@ def terms_in_documents(rows: DataFrame, key: str, json: str, forbidden: str, exe
 
 
 def near_context(text: Column, concept: str, context: str, reach: int) -> Column:
-    """Some match of concept has a match of context within reach characters before or after it.
-
-    Text is cut at each match of concept; whatever lies within reach of some match lies within reach of the nearest one, so the parts beside it suffice.
-    """
-    parts = F.split(text, concept)
-    windows = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda after, i: F.concat(F.right(F.element_at(parts, i + 1), F.lit(reach)), F.lit(" ⁣ "), F.left(after, F.lit(reach))))
-    return F.exists(windows, lambda w: w.rlike(context))
+    """Some match of concept has a match of context in its window: the match itself and reach characters before and after it, whatever else stands there."""
+    return any_window(text, intervals(text, concept), context, reach)
 
 
 def any_of(terms: Column) -> Column:

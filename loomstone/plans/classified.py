@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.functions.intervals import concepts_near
 from loomstone.functions.text import first_line
 from loomstone.operators import clinical as C
+from loomstone.operators import lookup
 from loomstone.operators import screening_patterns as P
-from loomstone.operators.classify import SIGNALS, classify, with_adjudications
+from loomstone.operators.classify import SIGNALS, classify, exposure_linked, nutrient_in_use, with_adjudications
 from loomstone.operators.screening import decision_errors
-from loomstone.session import table
+from loomstone.session import materialized, table
 
 PHRASES = (
     "dietary vitamin D supplementation", "bleeding after hip surgery", "patients with chronic kidney disease", "serum magnesium status", "pregnant women in the third trimester", "cirrhosis of the liver", "users of warfarin and ginkgo",
@@ -74,6 +76,26 @@ def classified_errors(spark: SparkSession, d: str) -> DataFrame:
     return decision_errors(classify(records(spark, d)), ["question_id", "record_id"], P.REASON_CODES).select("question_id", "record_id", F.array_join("errors", ",").alias("errors"))
 
 
+def match_windows(spark: SparkSession, d: str) -> DataFrame:
+    """What lies near what: a nutrient in use, a linked exposure, and two pairs of concepts within a distance."""
+    text = F.concat_ws(" ", "title", "abstract")
+    return records(spark, d).select(
+        "record_id", nutrient_in_use(text).alias("in_use"), exposure_linked(text).alias("linked"), concepts_near(text, P.PREGNANCY_TIME, P.STRONG_EXPOSURE).alias("pregnancy_near"), concepts_near(text, P.PROCEDURE, P.PROCEDURE_SUPPLEMENT, P.PROCEDURE_REACH).alias("procedure_near")
+    )
+
+
+def postings_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Records that show three axes, by intersecting the blocks of a written index."""
+    rows = records(spark, d)
+    shown = rows.select("question_id", "record_id", F.explode(C.observed_axes(F.col("title"), F.col("abstract"))).alias("axis"))
+    index = materialized(lookup.postings(shown, "question_id", "record_id", 512), "postings")
+    return lookup.intersect_postings(index, "question_id", list(ASKED)).select("question_id", F.col("id").alias("record_id"))
+
+
+#: Axes that the lookup asks for.
+ASKED = ("sex", "concomitant_medication", "underlying_condition")
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -93,6 +115,9 @@ def _cut(text: str, *patterns: str) -> str:
 
 
 def _parts(text: str, pattern: str) -> str:
+    """gestational age is no time of pregnancy: the engine can't look ahead, so that word is spoilt without moving anything."""
+    if r"(?!\s+age\b)" in pattern:
+        text, pattern = f"regexp_replace({text}, '(?i)\\bgestational(\\s+age\\b)', 'xxxxxxxxxxx\\1', 'g')", pattern.replace(r"(?!\s+age\b)", "")
     return f"string_split(regexp_replace({text}, {_quoted('(?i)' + pattern)}, chr(1) || '\\0' || chr(2), 'g'), chr(1))"
 
 
@@ -100,6 +125,10 @@ def _starts(text: str, pattern: str) -> str:
     return f"(select [length(x[1]) + coalesce(list_sum([length(x[j]) - 1 for j in range(2, k)]), 0) for k in range(2, len(x) + 1)] from (select {_parts(text, pattern)} x))"
 
 
+def _near(text: str, first: str, second: str, most: int) -> str:
+    return f"(select len([1 for a in xa if len([1 for b in xb if abs(a - b) <= {most}]) > 0]) > 0 from (select {_starts(text, first)} xa, {_starts(text, second)} xb))"
+
+
 def _windows(text: str, pattern: str, context: str, reach: int) -> str:
     spans = f"[{{'a': length(x[1]) + coalesce(list_sum([length(x[j]) - 1 for j in range(2, k)]), 0), 'n': instr(x[k], chr(2)) - 1}} for k in range(2, len(x) + 1)]"
     windows = f"[substring(t, greatest(s.a - {reach}, 0)::bigint + 1, (s.a + s.n + {reach} - greatest(s.a - {reach}, 0))::bigint) for s in {spans}]"
@@ -129,7 +158,7 @@ _ANIMAL = (
     f"({' or '.join(_has(_BODY, p) for p in (C.PRECLINICAL_METHOD, C.LAB_BODY, C.TREATED_SPECIES, C.SPECIES_BODY))}) and not {_has(_BODY, C.HUMAN_ENROLLMENT)}))"
 )
 _ACRONYM = f"(len([a for a in list_concat(regexp_extract_all(abstract, {_quoted('(?i)' + C.DEFINED)}, 1), regexp_extract_all(abstract, {_quoted(C.NAMED_FORMULA)}, 1)) if regexp_matches(bare_front, '\\b' || a || '\\b')]) > 0)"
-_NEAR = f"(select len([1 for a in xa if len([1 for b in xb if abs(a - b) <= {P.PROCEDURE_REACH}]) > 0]) > 0 from (select {_starts('op_front', P.POPULATION[P.PERIOPERATIVE])} xa, {_starts('op_front', P.PROCEDURE_SUPPLEMENT)} xb))"
+_NEAR = _near("op_front", P.POPULATION[P.PERIOPERATIVE], P.PROCEDURE_SUPPLEMENT, P.PROCEDURE_REACH)
 _FLAGS = {name: _has(where, pattern) for group in SIGNALS.values() for name, (where, pattern) in group.items()} | {
     "nutrient_title": _windows("bare_title", P.NUTRIENT, P.ADMINISTRATION, 90), "nutrient_front": _windows("bare_front", P.NUTRIENT, P.ADMINISTRATION, 90), "acronym": _ACRONYM, "op_near": _NEAR, "editorial": _GATE, "animal": _ANIMAL,
     "linked": f"({_windows('bare_front', P.STRONG_EXPOSURE, P.RELATION, 130)} or {_windows('bare_front', P.TRADITIONAL_EXPOSURE, P.RELATION, 130)})",
@@ -188,6 +217,9 @@ SQL = {
     "classified_records": f"select record_id, question_id, decision, confidence, evidence_basis, array_to_string(codes, '|') reason_codes from {_ALL}",
     "classified_distribution": f"select question_id, side, value, count(*) n from (select question_id, unnest(['decision', 'evidence_basis', 'confidence']) side, unnest([decision, evidence_basis, confidence]) as value from {_ALL}) group by all",
     "adjudicated_records": f"select question_id, case when l.doc_id is null then decision else 'uncertain' end decision, case when l.doc_id is null then confidence else 'high' end confidence, case when l.doc_id is null then array_to_string(codes, '|') else 'population|outcome' end reason_codes, count(*) n from {_ALL} r left join (select distinct doc_id from labels where toxic = 1) l on l.doc_id = r.record_id group by 1, 2, 3, 4",
+    "match_windows": f"""select record_id, {_windows('whole', P.NUTRIENT, P.ADMINISTRATION, 90)} in_use, {_windows('whole', P.STRONG_EXPOSURE, P.RELATION, 130)} or {_windows('whole', P.TRADITIONAL_EXPOSURE, P.RELATION, 130)} linked,
+        {_near('whole', P.PREGNANCY_TIME, P.STRONG_EXPOSURE, 900)} pregnancy_near, {_near('whole', P.PROCEDURE, P.PROCEDURE_SUPPLEMENT, 220)} procedure_near from (select *, title || ' ' || abstract whole from {RECORDS_SQL})""",
+    "postings_lookup": f"select question_id, record_id from {RECORDS_SQL} where {' and '.join(_has("title || ' ' || abstract", C.AXES[a]) for a in ASKED)}",
     "classified_errors": "select '' question_id, 0::bigint record_id, '' errors where false",
 }
 QUERIES = {name: globals()[name] for name in SQL}

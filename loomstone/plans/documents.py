@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as T
-from loomstone.operators import evidence, lookup, metrics
+from loomstone.operators import bins, evidence, lookup, metrics
 from loomstone.session import importable, table
 
 #: What each axis of a document is recognised by.
@@ -213,7 +213,7 @@ def even_batches(spark: SparkSession, d: str) -> DataFrame:
 
 def greedy_bins(spark: SparkSession, d: str) -> DataFrame:
     importable(spark)
-    return evidence.greedy_bins(table(spark, d, "documents").withColumn("part", F.concat_ws("-", "lang", "source")), "part", "doc_id", "n_chars")
+    return bins.greedy_bins(table(spark, d, "documents").withColumn("part", F.concat_ws("-", "lang", "source")), "part", "doc_id", "n_chars")
 
 
 def bootstrap_metrics(spark: SparkSession, d: str) -> DataFrame:

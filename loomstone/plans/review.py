@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import text as T
 from loomstone.operators import evidence, lookup, review
 from loomstone.plans.documents import _SQL_BRIDGE, AXES, axes
+from loomstone.plans.classified import _windows
 from loomstone.session import importable, table
 
 CONCEPT, VERB = "with|von|para|des", T.word_pattern("the|der|el|le")
@@ -182,7 +183,7 @@ SQL = {
     "regression_problems": "select doc_id, array_to_string(p, ',') problems from (select l.doc_id, [x for x in [case when o.doc_id is null then 'missing_record' end, case when o.q is distinct from l.quality and o.doc_id is not null then 'quality' end, case when o.t is distinct from l.toxic and o.doc_id is not null then 'toxic' end] if x is not null] p from labels l left join (select doc_id, case when contains(text, '!!') then 0 else 1 end q, case when regexp_matches(text, 'idiot|moron') then 1 else 0 end t from documents where n_chars > 400) o using (doc_id)) where len(p) > 0",
     "referee_check": f"select doc_id, array_to_string(a, ',') against from (select doc_id, [x for x in [case when length(text) > 5000 then 'too_long' end, case when contains(text, '?') then 'question' end, case when regexp_matches(text, 'idiot|moron') then 'banned_wording' end, case when len([y for y in {_NUMBERS.format('text')} if not list_contains({_NUMBERS.format('split_part(text, chr(10), 1)')}, y)]) > 0 then 'unsupported_number' end] if x is not null] a from documents) where len(a) > 0",
     "terminology_gate": "select event_id, field, value from (select event_id, unnest(map_keys(m)) field, unnest(map_values(m)) value from (select event_id, cast(cast(props as json) as map(varchar, varchar)) m from events)) where field <> 'exempt' and regexp_matches(value, '[13579]$')",
-    "context_window": f"""select doc_id, len(list_filter(range(1, len(p)), lambda i: regexp_matches(right(p[i], 90) || ' ' || chr(8291) || ' ' || left(p[i + 1], 90), '{VERB}'))) > 0 in_context from (select doc_id, string_split_regex(text, '{CONCEPT}') p from documents)""",
+    "context_window": f"select doc_id, {_windows('text', CONCEPT, VERB, 90)} in_context from documents",
     "query_terms": "select p_brand, len(t)::bigint n_terms, len(t) >= 25 enough, '(' || array_to_string(t[1:5], ' OR ') || ')' as query from (select p_brand, list_sort(list_distinct(list(trim(regexp_replace(replace(lower(p_type || '-' || p_size), '-', ' '), '\\s+', ' ', 'g'))))) t from part group by p_brand)",
     "search_comparison": "select event_type, o \"old\", n \"new\", n - o difference, round(case when o <> 0 then n / o::double end, 6) ratio from (select event_type, count(*) filter (value > 50) o, count(*) n from events group by 1)",
     "batch_sequence": "with b as (select lang, (row_number() over (partition by lang order by doc_id) - 1) // 25 c, doc_id from documents), g as (select lang, c, count(*) n, min(doc_id) f from b group by 1, 2) select 'batch-' || lpad((row_number() over (order by lang, c))::varchar, 4, '0') batch_id, lang, n as rows, f first_id from g",

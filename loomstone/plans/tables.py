@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import text as T
 from loomstone.operators import evidence, rules
-from loomstone.session import table
+from loomstone.session import scratch_path, table
+from loomstone.streaming.checkpoint import Checkpoint
 
 #: Kinds of a part's type, the first that fits (a stand-in for publication types).
 KINDS = [("PROMO", "promotion"), ("BRUSHED|POLISHED", "finished"), ("PLATED|ANODIZED|BURNISHED", "coated"), ("STANDARD", "standard")]
@@ -48,12 +49,13 @@ def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def checkpoint_append(spark: SparkSession, d: str) -> DataFrame:
-    """Two batches of events appended to a checkpoint by key; what is there stays."""
-    events = table(spark, d, "events").select("event_id", "user_id", "event_type")
-    key = ["user_id", "event_type"]
-    middle = 500
-    first = evidence.append_new(None, events.filter(F.col("event_id") % 1000 < middle), key)
-    return first.unionByName(evidence.append_new(first, events.filter(F.col("event_id") % 1000 >= middle), key))
+    """Batches of events put into a checkpoint in two appends, the second with all batches: those of the first are complete and passed over."""
+    events = table(spark, d, "events").select(F.floor(F.col("event_id") / 100).alias("batch_id"), "event_id", "user_id", "event_type")
+    checkpoint = Checkpoint(spark, scratch_path(spark, "checkpoint"))
+    checkpoint.append(events.filter("batch_id % 3 != 1"), ["event_id"])
+    checkpoint.append(events, ["event_id"])
+    rows = checkpoint.read().groupBy("batch_id").agg(F.count_distinct("user_id").alias("users"), F.sum("event_id").alias("ids"))
+    return checkpoint.runs().select("batch_id", "row_count", F.col("commit").cast("int").alias("commit")).join(rows, "batch_id")
 
 
 def batch_receipts(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +83,7 @@ SQL = {
     "key_reconciliation": "with a as (select distinct o_orderkey k from orders where o_totalprice > 100000), b as (select distinct l_orderkey k from lineitem where l_quantity > 45) select case when a.k is null then 'right' when b.k is null then 'left' else 'both' end side, count(*) keys from a full outer join b on a.k = b.k group by 1",
     "row_reconciliation": "with a as (select l_orderkey k, l_linenumber::bigint v from lineitem where l_linenumber <= 2), b as (select l_orderkey k, l_linenumber::bigint v from lineitem where l_quantity > 20), x as (select 'expected' only_in, * from (select * from a except all select * from b) union all select 'observed', * from (select * from b except all select * from a)) select only_in, count(*) n, sum(k)::bigint keys from x group by 1",
     "duplicate_keys": "select l_orderkey, l_suppkey, count(*) n from lineitem group by 1, 2 having count(*) > 1",
-    "checkpoint_append": "select event_id, user_id, event_type from (select *, row_number() over (partition by user_id, event_type order by (event_id % 1000 >= 500)::int, event_id) r from events) where r = 1",
+    "checkpoint_append": "select floor(event_id / 100)::bigint batch_id, count(*) row_count, case when floor(event_id / 100) % 3 <> 1 then 1 else 2 end as commit, count(distinct user_id) users, sum(event_id)::bigint ids from events group by 1, 3",
     "batch_receipts": "select 'batch-' || lpad((event_id // 250)::varchar, 4, '0') batch_id, count(*) row_count, count(distinct user_id) users, round(sum(value), 4) total from events group by 1",
     "threshold_rules": "with l(rule, least_size, most_price, jurisdiction) as (values " + ", ".join(f"('{a}', {b}, {c}::double, '{j}')" for a, b, c, j in LIMITS) + ") select p_partkey, rule, jurisdiction, case when p_partkey % 7 = 0 then 'needs_more_info' when p_size >= least_size and p_retailprice <= most_price then 'definitely_matched' else 'excluded' end outcome from part, l",
     "strictest_limit": "select l_partkey, l_suppkey, s_nationkey, l_discount from (select l_partkey, l_suppkey, s_nationkey, l_discount, row_number() over (partition by l_partkey order by l_discount, l_suppkey, s_nationkey) r from lineitem join supplier on s_suppkey = l_suppkey) where r = 1",

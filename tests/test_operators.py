@@ -5,7 +5,6 @@ from loomstone.functions.text import fnv1a, is_blank, near, normalize_doi, overl
 from loomstone.operators import evidence, lookup, metrics
 from loomstone.operators.screening import decide
 from loomstone.sources import readers, writers
-from loomstone.streaming.checkpoint import append_batch, follow
 
 
 def one(spark, column, **values):
@@ -101,24 +100,6 @@ def test_readers_and_writers(spark, tmp_path):
     assert [(str(s.first), str(s.last)) for s in slices] == [("2020-01-15", "2020-01-31"), ("2020-02-01", "2020-02-29"), ("2020-03-01", "2020-03-10")]
 
 
-def test_checkpoint_is_idempotent(spark, tmp_path):
-    path = f"{tmp_path}/state"
-    rows = lambda *x: spark.createDataFrame(list(x), "id int, v string")
-    append_batch(rows((1, "a"), (2, "b")), path, ["id"])
-    append_batch(rows((2, "b"), (3, "c")), path, ["id"])
-    assert sorted(spark.read.parquet(path).collect()) == [(1, "a"), (2, "b"), (3, "c")]
-    try:
-        append_batch(rows((3, "other")), path, ["id"])
-        raise AssertionError("conflict not found")
-    except ValueError:
-        pass
-    rows((8, "x"), (9, "y")).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("id int, v string").parquet(f"{tmp_path}/in")
-    for _ in range(2):
-        follow(stream, f"{tmp_path}/out", ["id"], f"{tmp_path}/cp").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
-
-
 def test_batches_and_violations(spark):
     rows = spark.range(10).select(F.lit("a").alias("g"), "id")
     sizes = [r["count"] for r in evidence.even_batches(rows, ["g"], ["id"], 4).groupBy("batch").count().orderBy("batch").collect()]
