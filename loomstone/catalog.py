@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.plans import classified, clinical, documents, review, screening, tables, verified
+from loomstone.plans import answers, classified, clinical, documents, review, screening, tables, verified
 
-MODULES = (documents, tables, screening, review, clinical, classified, verified)
+MODULES = (documents, tables, screening, review, clinical, classified, verified, answers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

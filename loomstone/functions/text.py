@@ -69,9 +69,10 @@ def fnv1a(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(2166136261).cast("long"), step)
 
 
-def rotation_key(seed: str, key: Column) -> Column:
+def rotation_key(seed: str | Column, key: Column) -> Column:
     """A position in [0, 1) that seed and key fix."""
-    return fnv1a(F.concat(F.lit(seed + "|"), key.cast("string"))) / F.lit(4294967296.0)
+    own = F.concat(seed if isinstance(seed, Column) else F.lit(seed), F.lit("|"), key.cast("string"))
+    return fnv1a(own) / F.lit(4294967296.0)
 
 
 def split_multi_value(text: Column) -> Column:

@@ -78,7 +78,7 @@ def core_then_top_up(core: DataFrame, extended: DataFrame, key: str, group: str,
     return top_k(tiers, [group], [F.col("tier"), *order], most)
 
 
-def band_pages(rows: DataFrame, group: str, score: list[Column], seed: str, key: str, page: int = 30) -> DataFrame:
+def band_pages(rows: DataFrame, group: str, score: list[Column], seed: str | Column, key: str, page: int = 30) -> DataFrame:
     """An order for paging in which each page spans all scores: adds band, place (in the band) and page.
 
     Rows in score order are cut into `page` bands at floor((b + 1) * n / page); inside a band they stand by rotation
@@ -101,7 +101,7 @@ def page_bounds(total: Column, offset: Column, page: int = 30) -> Column:
     return F.least(F.greatest(F.floor(offset), F.lit(0)), last)
 
 
-def diverse_pages(rows: DataFrame, group: str, score: list[Column], seed: str, key: str, text: str, page: int = 30) -> DataFrame:
+def diverse_pages(rows: DataFrame, group: str, score: list[Column], seed: str | Column, key: str, text: str, page: int = 30) -> DataFrame:
     """The whole order of each group: pages as in band_pages, each diversified in itself. Returns group, key, page, place (from 1).
 
     A page is taken band by band, so best rows first; a group of no more than a page is one page in order of score.

@@ -129,19 +129,24 @@ def id_differences(asked: DataFrame, found: DataFrame) -> DataFrame:
     return sets.select("provider_id", F.when(F.col("a") == 1, "missing").otherwise("extra").alias("state"))
 
 
-def read_terms(spark: SparkSession, path: str) -> DataFrame:
-    """Indexing terms of each article of bibliographic XML files: provider_id, terms (joined by ;). Of several records of one id, the first by file and place counts."""
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                articles = [(item, (item.findtext("./MedlineCitation/PMID") or "").strip()) for item in ElementTree.fromstring(content).iter("PubmedArticle")]
-                terms = [";".join(t for d in item.iterfind("./MedlineCitation/MeshHeadingList/MeshHeading/DescriptorName") if (t := (d.text or "").strip())) for item, _ in articles]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(articles), pa.string()), pa.array(range(len(articles)), pa.int64()), pa.array([i for _, i in articles], pa.string()), pa.array(terms, pa.string())], names=["path", "place", "provider_id", "terms"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = files.mapInArrow(parse, "path string, place long, provider_id string, terms string").filter("provider_id != ''")
-    return rows.groupBy("provider_id").agg(F.min_by("terms", F.struct("path", "place")).alias("terms"))
+TERMS = "MedlineCitation struct<PMID:struct<_VALUE:string>,MeshHeadingList:struct<MeshHeading:array<struct<DescriptorName:struct<_VALUE:string>>>>>"
+
+
+def read_terms(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """Indexing terms of each article of bibliographic XML files: provider_id, terms (joined by ;). Of several records of one id, the first by file and place counts.
+
+    Files are cut at articles and parsed one article at a time in the JVM, and of an article only id and terms are kept, so a file of any size takes little memory and many
+    tasks. With wanted (provider_id), other articles go before anything is shuffled, by a semi join that Spark broadcasts if it knows wanted to be small.
+    """
+    scan = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(TERMS).load(path)
+    strip = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    headings = F.coalesce("MedlineCitation.MeshHeadingList.MeshHeading", F.array().cast("array<struct<DescriptorName:struct<_VALUE:string>>>"))
+    terms = F.filter(F.transform(headings, lambda h: strip(h["DescriptorName"]["_VALUE"])), lambda t: t != "")
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = scan.select(strip(F.col("MedlineCitation.PMID._VALUE")).alias("provider_id"), F.array_join(terms, ";").alias("terms"), place.alias("place")).filter("provider_id != ''")
+    if wanted is not None:
+        rows = rows.join(wanted.select("provider_id").distinct(), "provider_id", "left_semi")
+    return rows.groupBy("provider_id").agg(F.min_by("terms", "place").alias("terms"))
 
 
 def read_ris(spark: SparkSession, path: str) -> DataFrame:
