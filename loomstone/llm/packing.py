@@ -239,17 +239,27 @@ class TokenIds:
         self.used[at] = self.now
         entry = at[of]
         size = end - begin
-        differs = self.bytes_n[entry] != size
-        fine = np.flatnonzero(~differs)
-        here, there = low[_ragged(begin[fine], size[fine])], self.bytes[_ragged(self.bytes_at[entry[fine]], size[fine])]
-        if differs.any() or not np.array_equal(here, there):
-            raise AssertionError("two pieces of one hash")
+        wrong = self.bytes_n[entry] != size
+        fine = np.flatnonzero(~wrong)
+        unequal = low[_ragged(begin[fine], size[fine])] != self.bytes[_ragged(self.bytes_at[entry[fine]], size[fine])]
+        if unequal.any():
+            wrong[fine[np.repeat(np.arange(len(fine)), size[fine])[unequal]]] = True
         count = self.ids_n[entry]
         source = self.ids[_ragged(self.ids_at[entry], count)]
         first = np.append(0, np.cumsum(count))[np.searchsorted(begin, offsets)]
         out = np.full(len(source) + texts, end_id, "<u4")
         out[np.arange(len(source)) + np.repeat(np.arange(texts), np.diff(first))] = source
-        return out, first + np.arange(texts + 1)
+        starts = first + np.arange(texts + 1)
+        # Two pieces of one hash: whatever text has the one that isn't kept goes to the library.
+        return self._by_library(data, offsets, np.unique(np.searchsorted(offsets, begin[wrong], side="right") - 1), out, starts, end_id) if wrong.any() else (out, starts)
+
+    def _by_library(self, data: np.ndarray, offsets: np.ndarray, texts: np.ndarray, ids: np.ndarray, starts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids and starts with those of some texts taken from the library instead."""
+        parts = [ids[b:e] for b, e in zip(starts[:-1], starts[1:], strict=True)]
+        for t in texts.tolist():
+            text = data[offsets[t] : offsets[t + 1]].tobytes().decode("utf-8", "replace")
+            parts[t] = np.array([*self.library.encode(text, add_special_tokens=False).ids, end_id], "<u4")
+        return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
 
 
 @lru_cache(maxsize=2)

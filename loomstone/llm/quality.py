@@ -165,10 +165,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_labels: int = 12_000) -> Trees:
-    """Fit on labels (doc_id, label), at most most_labels of them."""
+    """Fit on labels (doc_id, label), at most most_labels of them, and as many of the documents that have them."""
     chosen = labels.select(labels["doc_id"], labels[label].cast("double").alias("label")).filter("doc_id is not null and label is not null")
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most_labels)
     texts = docs.select(docs["doc_id"], docs["text"]).join(F.broadcast(chosen), "doc_id")  # bounded by most_labels
+    texts = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.xxhash64("text")).limit(most_labels)  # documents may share an id
     rows = texts.select("text", "label").mapInArrow(_features, "label double, x array<double>").toPandas()
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, len(FEATURES)))
     y = rows["label"].to_numpy(float)

@@ -247,3 +247,16 @@ def test_short_items_are_found_alone(spark):
     items = spark.createDataFrame([(1, "yes"), (2, "is it so"), (3, "Compute forty and two")], "item_id long, text string")
     rows = [(1, "yes"), (2, "oh yes it is"), (3, "Is it so?"), (4, "and is it so then"), (5, "now compute forty and two")]
     assert {(r.doc_id, r.item_id) for r in contaminated(documents(spark, rows), items).collect()} == {(1, 1), (3, 2), (5, 3)}
+
+
+def test_pieces_of_one_hash_go_to_the_library(monkeypatch):
+    from loomstone.llm import packing
+
+    monkeypatch.setattr(packing, "mix", lambda x: x & np.uint64(31))
+    ids, library = packing.TokenIds(PATH), Tokenizer.from_file(PATH)
+    texts = ["", "one two three", "some more words, and 12 numbers", "é à la carte", "x" * 50, "one two"]
+    data = "".join(texts).encode()
+    offsets = np.append(0, np.cumsum([len(t.encode()) for t in texts]))
+    for _ in range(2):
+        got, starts = ids.encode(np.frombuffer(data, np.uint8), offsets, 0)
+        assert [got[b:e].tolist() for b, e in zip(starts[:-1], starts[1:], strict=True)] == [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
