@@ -28,6 +28,36 @@ def rates(confusion: DataFrame) -> DataFrame:
     return out.withColumn("agreement", rate(tp + tn, tp + fp + fn + tn)).withColumn("prevalence", rate(tp + fn, tp + fp + fn + tn))
 
 
+def reverse_rates(confusion: DataFrame) -> DataFrame:
+    """Adds reverse_recall and reverse_specificity: the reference judged by the scorer, the same cells read the other way round; null where nothing is judged so."""
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return confusion.withColumn("reverse_recall", rate(tp, tp + fp)).withColumn("reverse_specificity", rate(tn, fn + tn))
+
+
+def paired_labels(labels: DataFrame, truth: DataFrame, key: list[str]) -> DataFrame:
+    """labels joined with truth by key. Raises ValueError unless both have the same keys, each once: metrics of a part would be metrics of something else."""
+    sides = labels.select(*key, F.lit(1).alias("l"), F.lit(0).alias("t")).unionByName(truth.select(*key, F.lit(0).alias("l"), F.lit(1).alias("t")))
+    sums = sides.groupBy(*key).agg(F.sum("l").alias("l"), F.sum("t").alias("t"))
+    only_l, only_t, again = sums.agg(F.count_if(F.col("t") == 0), F.count_if(F.col("l") == 0), F.count_if((F.col("l") > 1) | (F.col("t") > 1))).first()
+    if only_l or only_t or again:
+        raise ValueError(f"{only_l} labelled keys aren't in the truth, {only_t} of the truth aren't labelled, {again} come more than once")
+    return labels.join(truth, key)
+
+
+def metric_blocks(rows: DataFrame, layers: Column, scorer: str, reference: str, positive: str, weight: Column) -> DataFrame:
+    """One row for each layer (layers: the names of those that a row belongs to) with weighted confusion and rates in both directions, weighted share of positives, kappa, and unweighted agreement with its interval.
+
+    Rows are copied to their few layers and added up in the tasks before they are shuffled, so that a layer of all rows is no large group.
+    """
+    rows = rows.select(F.explode(F.array_distinct(layers)).alias("layer"), F.col(scorer).alias("s"), F.col(reference).alias("r"), weight.cast("double").alias("w"))
+    yes = lambda c: F.col(c) == positive
+    block = reverse_rates(rates(weighted_confusion(rows, ["layer"], yes("s"), yes("r"), F.col("w"))))
+    plain = rows.groupBy("layer").agg(F.count("*").alias("n"), F.sum("w").alias("represented"), F.count_if(F.col("s") == F.col("r")).alias("same"), F.sum(F.when(yes("s"), F.col("w")).otherwise(0.0)).alias("__p"))
+    low, high = wilson(F.col("same"), F.col("n"))
+    plain = plain.withColumns({"scorer_prevalence": rate(F.col("__p"), F.col("represented")), "unweighted_agreement": F.col("same") / F.col("n"), "low": low, "high": high}).drop("__p")
+    return block.join(plain, "layer").join(cohen_kappa(rows, ["layer"], "s", "r").select("layer", "kappa"), "layer")
+
+
 def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
     """The 95 % interval of a share, inside [0, 1]; null for n = 0."""
     some = F.when(n > 0, n)

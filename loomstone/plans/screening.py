@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.functions.intervals import found
+from loomstone.operators import metrics
 from loomstone.operators import screening_patterns as P
 from loomstone.operators.screening import decide, decision_errors
 from loomstone.plans.classified import RECORDS_SQL, _has, records
@@ -41,6 +42,19 @@ def screening_errors(spark: SparkSession, d: str) -> DataFrame:
     return found_errors.select("record_id", F.array_join("errors", ",").alias("errors"))
 
 
+def metric_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions of records whose documents are labelled against what the labels say, by layer and question."""
+    says = F.when(F.max("quality") == 1, "retain").when(F.max("toxic") == 1, "uncertain").otherwise("deprioritize")
+    truth = table(spark, d, "labels").filter("doc_id is not null").groupBy(F.col("doc_id").alias("record_id")).agg(says.alias("reference"))
+    n = F.col("record_id")
+    labels = _decided(spark, d).select("question_id", "record_id", "decision").join(truth.select("record_id"), "record_id", "left_semi")
+    layers = F.array(F.lit("all"), F.when(n % 4 == 0, "adjudication").otherwise("worker"), F.col("question_id"))
+    blocks = metrics.metric_blocks(metrics.paired_labels(labels, truth, ["record_id"]), layers, "decision", "reference", "retain", 1 + n % 3)
+    return blocks.select("layer", "n", "same", *(F.round(c, 6).alias(c) for c in BLOCK))
+
+
+#: Numbers of a block.
+BLOCK = ("tp", "fp", "fn", "tn", "recall", "specificity", "precision", "f1", "agreement", "prevalence", "reverse_recall", "reverse_specificity", "represented", "scorer_prevalence", "unweighted_agreement", "low", "high", "kappa")
 _TEXT = "title || ' ' || abstract"
 _OF = lambda patterns: "case question_id " + " ".join(f"when '{q}' then {_has(_TEXT, p)}" for q, p in patterns.items()) + " else false end"
 _FLAGS = f"""select *, {_OF(P.POPULATION)} p0, {_has(_TEXT, P.STRONG_EXPOSURE)} i0, {_OF(P.OUTCOME)} o0, {_has('title', P.PEDIATRIC)} and not {_has('title', P.ADULT)} np,
@@ -53,6 +67,16 @@ _DECIDED = f"""select *, case when neg then 'deprioritize' when k >= 2 then 'ret
 SQL = {
     "screening_decisions": f"select record_id, decision, confidence, evidence_basis, case when len(codes) = 0 then 'off_topic' else array_to_string(codes, '|') end reason_codes from ({_DECIDED})",
     "screening_distribution": f"select question_id, decision, count(*) n, count(*) filter (confidence = 'high') high from ({_DECIDED}) group by 1, 2",
+    "metric_blocks": f"""with t as (select doc_id, case when max(quality) = 1 then 'retain' when max(toxic) = 1 then 'uncertain' else 'deprioritize' end reference from labels where doc_id is not null group by 1),
+        x as (select *, unnest(['all', case when record_id % 4 = 0 then 'adjudication' else 'worker' end, question_id]) layer, (1 + record_id % 3)::double w from ({_DECIDED}) join t on doc_id = record_id),
+        c as (select layer, count(*) n, count(*) filter (decision = reference) same, coalesce(sum(w) filter (decision = 'retain' and reference = 'retain'), 0) tp, coalesce(sum(w) filter (decision = 'retain' and reference <> 'retain'), 0) fp, coalesce(sum(w) filter (decision <> 'retain' and reference = 'retain'), 0) fn,
+            coalesce(sum(w) filter (decision <> 'retain' and reference <> 'retain'), 0) tn, sum(w) represented from x group by 1),
+        m as (select layer, v, count(*) filter (decision = v)::double * count(*) filter (reference = v) / count(*) / count(*) e from x, (select unnest(['retain', 'deprioritize', 'uncertain']) v) group by 1, 2),
+        k as (select layer, sum(e) e from m group by 1), r as (select c.*, e, tp / nullif(tp + fn, 0) recall, tp / nullif(tp + fp, 0) prec, same / n::double u, 1 + 1.959963985::double ^ 2 / n z from c join k using (layer))
+        select layer, n, same, round(tp, 6) tp, round(fp, 6) fp, round(fn, 6) fn, round(tn, 6) tn, round(recall, 6) recall, round(tn / nullif(tn + fp, 0), 6) specificity, round(prec, 6) as "precision", round(case when recall = 0 or prec = 0 then 0 else 2 * recall * prec / (recall + prec) end, 6) f1,
+            round((tp + tn) / (tp + fp + fn + tn), 6) agreement, round((tp + fn) / (tp + fp + fn + tn), 6) prevalence, round(prec, 6) reverse_recall, round(tn / nullif(fn + tn, 0), 6) reverse_specificity, round(represented, 6) represented, round((tp + fp) / represented, 6) scorer_prevalence, round(u, 6) unweighted_agreement,
+            round(greatest(0, (u + 1.959963985::double ^ 2 / (2 * n)) / z - 1.959963985 * sqrt(u * (1 - u) / n + 1.959963985::double ^ 2 / (4.0 * n * n)) / z), 6) low, round(least(1, (u + 1.959963985::double ^ 2 / (2 * n)) / z + 1.959963985 * sqrt(u * (1 - u) / n + 1.959963985::double ^ 2 / (4.0 * n * n)) / z), 6) high,
+            round(case when 1 - e >= 1e-12 then (u - e) / (1 - e) end, 6) kappa from r""",
     "screening_errors": f"select record_id, array_to_string(e, ',') errors from (select record_id, [x for x in [case when record_id in (select doc_id from labels where toxic = 1) then 'decision' end, case when length(abstract) > 4000 then 'unique_codes' end] if x is not null] e from {RECORDS_SQL}) where len(e) > 0",
 }
-QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name.startswith("screening_") and getattr(f, "__module__", "") == __name__}
+QUERIES = {name: globals()[name] for name in SQL}
