@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as T
+from loomstone.functions.nested import GENERATED_TERM, VERBATIM, claimed_terms
 from loomstone.operators import evidence, lookup, review
 from loomstone.plans.documents import _SQL_BRIDGE, AXES, axes
 from loomstone.plans.classified import _windows
-from loomstone.session import importable, table
+from loomstone.session import table
 
 CONCEPT, VERB = "with|von|para|des", T.word_pattern("the|der|el|le")
 
@@ -86,11 +87,8 @@ NESTED = f"""concat('{{"translations": [{{"source_text": "', {_NOTE}, '", "note"
 
 
 def nested_terms(spark: SparkSession, d: str) -> DataFrame:
-    from loomstone.functions.nested import GENERATED_TERM, VERBATIM, nested_term_paths
-
-    importable(spark)
     rows = table(spark, d, "events").select("event_id", F.expr(NESTED).alias("body"))
-    return rows.select("event_id", F.array_join(nested_term_paths(F.col("body"), GENERATED_TERM, VERBATIM["translations"]), " ").alias("paths"))
+    return claimed_terms(rows, "event_id", "body", GENERATED_TERM, VERBATIM["translations"])
 
 
 P_TERM = "concat(p_type, '-', cast(p_size as varchar(4)), case when p_size = 5 then '' when p_size % 3 = 0 then '[Mesh]' when p_size % 3 = 1 then '[tiab]' else '[tw]' end)"
@@ -174,7 +172,7 @@ SQL = {
     "query_lint": f"""with t as (select p_brand, list_sort(list_distinct(list({P_TERM}))) p_terms, list_sort(list_distinct(list({I_TERM}))) i_terms from part group by 1),
         b as (select *, '(' || array_to_string(p_terms, ' OR ') || ') AND (' || array_to_string(i_terms, ' OR ') || ')' base from t), q as (select *, {SEARCH} query from b)
         select p_brand, unnest(range(1, 10))::integer as rule, unnest([{_LINT}]) kept from q""",
-    "nested_terms": "select event_id, concat_ws(' ', case when event_id % 3 <> 1 then '$.translations[0].note' end, '$.<generated_field>:name', case when event_id % 3 <> 1 then '$.<generated_field>.notes[0]' end) paths from events",
+    "nested_terms": "select event_id, unnest([p for p in [case when event_id % 3 <> 1 then '$.translations[0].note' end, '$.<generated_field>:name', case when event_id % 3 <> 1 then '$.<generated_field>.notes[0]' end] if p is not null]) path from events",
     "rule_rebuild": f"select lang, axis, n, array_to_string(ids[1:3], '|') preview, array_to_string(ids, '|') \"all\" from ({_RULES})",
     "applied_axes": f"select a.lang, a.axis, r.n, case when r.n is null then 'unavailable' else 'applied' end state from (select lang, unnest([{', '.join(repr(a) for a in (*AXES, 'genetics'))}]) axis from (select distinct lang from documents)) a left join ({_RULES}) r using (lang, axis)",
     "in_core_marker": f"select d.lang, c.doc_id is not null in_core, count(*) n, sum(n_chars)::bigint chars from documents d left join {_CORE} c using (doc_id) group by 1, 2",

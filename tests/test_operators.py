@@ -218,17 +218,20 @@ def test_pages_diverse_in_themselves(spark):
 
 
 def test_nested_texts(spark):
-    import re
-
     from loomstone.functions import nested
 
-    assert nested.strings_in({"a": "x", "b": ["y", 3], "c": {"d": None, "e": 5}}) == ["a", "x", "b", "y", "3", "c", "d", "e", "5"] and nested.strings_in(None) == []
-    body = '[{"title": "validated", "note": ["invalidated", "EXCLUDE it"], "accuracy": {"title": "include"}}]'
-    find = lambda mode: one(spark, nested.nested_term_paths(F.lit(body), nested.GENERATED_TERM, nested.VERBATIM[mode]))
-    rest = ["$[0].note[1]", "$[0].<generated_field>:name", "$[0].<generated_field>.title"]
-    assert find("bundle") == rest and find("none") == find("rules") == ["$[0].title", *rest]
-    assert one(spark, nested.nested_strings(F.lit('{"a": [1]}'))) == ["a", "1"] and one(spark, nested.nested_strings(F.lit(None).cast("string"))) is None
-    assert nested.term_paths(7, re.compile("7"), lambda path, name: False) == []
+    bodies = {1: '[{"title": "validated", "note": ["invalidated", "EXCLUDE it"], "accuracy": {"title": "include"}}]', 2: None, 3: '"include"', 4: "7", 5: '{"a": {}, "b": [], "c": null}', 6: '{"source_text": {"include": ["include"]}, "x": [[["Accuracy"]]]}'}
+    rows = spark.createDataFrame(list(bodies.items()), "id int, body string")
+    find = lambda k, where: sorted(r["path"] for r in nested.claimed_terms(rows.filter(F.col("id") == k), "id", "body", nested.GENERATED_TERM, where).collect())
+    rest = ["$[0].<generated_field>.title", "$[0].<generated_field>:name", "$[0].note[1]"]
+    assert find(1, nested.VERBATIM["bundle"]) == rest and find(1, None) == find(1, nested.VERBATIM["rules"]) == [*rest, "$[0].title"]
+    assert find(2, None) == find(4, None) == find(5, None) == [] and find(3, None) == ["$"]
+    assert find(6, {"source_text": r"^\$$"}) == ["$.x[0][0][0]"]
+    assert find(6, {"source_text": r"^nowhere$"}) == ["$.source_text.<generated_field>:name", "$.source_text.<generated_field>[0]", "$.x[0][0][0]"]
+    texts = spark.createDataFrame([(1, '{"a": "x", "b": ["y", 3], "c": {"d": null, "e": 5}}'), (2, None), (3, "[]")], "id int, body string")
+    assert sorted(r["text"] for r in nested.said(texts, "id", "body").collect()) == ["3", "5", "a", "b", "c", "d", "e", "x", "y"]
+    flat = {tuple(s["name"] or s["place"] for s in r["steps"]): (r["kind"], r["text"]) for r in nested.flattened(texts.filter("id = 1"), "id", "body").collect()}
+    assert flat[()] == ("object", None) and flat[("b", 1)][1] == "3" and flat[("c", "d")] == ("void", None) and len(flat) == 8
 
 
 def test_indexing_terms(spark, tmp_path):
