@@ -1,6 +1,9 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
-from loomstone.functions.sentences import split_sentences
+from loomstone.functions.sentences import sentences
 from loomstone.functions.text import fnv1a, is_blank, near, normalize_doi, overlap_ratio, read_field, rotation_key, split_multi_value, toggle_value
 from loomstone.operators import evidence, lookup, metrics
 from loomstone.operators.screening import decide
@@ -12,7 +15,8 @@ def one(spark, column, **values):
     return row.select(column.alias("v")).first().v
 
 
-def test_sentences():
+def test_sentences(spark):
+    split_sentences = lambda t: one(spark, sentences(F.lit(t).cast("string")))
     assert split_sentences("Dose was 2.5 mg. It helped. e.g. this one! Done") == ["Dose was 2.5 mg.", "It helped.", "e.g. this one!", "Done"]
     assert split_sentences("See Fig. 2 for it. He said \"yes.\" Then left.") == ["See Fig. 2 for it.", "He said \"yes.\"", "Then left."]
     assert split_sentences(None) == [] and split_sentences("  ") == []
@@ -109,12 +113,35 @@ def test_batches_and_violations(spark):
     assert evidence.reconcile(rows, rows.filter("id > 0")).count() == 1
 
 
-def test_sentences_as_the_rules_have_them():
+def test_sentences_as_the_rules_have_them(spark):
+    split_sentences = lambda t: one(spark, sentences(F.lit(t).cast("string")))
     assert split_sentences("They took vitamin C. The risk fell.") == ["They took vitamin C.", "The risk fell."]
     assert split_sentences("Dr. Kim reported 0.7 mg, e.g., in the first group. The result\n remained stable.") == ["Dr. Kim reported 0.7 mg, e.g., in the first group.", "The result remained stable."]
     assert split_sentences("Prof. Lee et al. agreed. In the U.S. too! (Really?) Yes") == ["Prof. Lee et al. agreed.", "In the U.S. too!", "(Really?)", "Yes"]
 
 
+def sentences_one_by_one(text):
+    """The same rules, walking from stop to stop."""
+    text = re.sub("[\t\n\x0b\f\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+", " ", text).strip(" ")
+    out, begin = [], 0
+    for stop in re.finditer("[.?!][\"'’”)\\]}]*(?= |$)", text):
+        upto = text[: stop.start() + 1]
+        if upto.endswith(".") and (upto.lower().endswith(("dr.", "mr.", "mrs.", "ms.", "prof.", "fig.", "no.", "vs.", "et al.", "e.g.", "i.e.")) or re.search("(?:^| )(?:[A-Za-z][.]){2,}$", upto)):
+            continue
+        out.append(text[begin : stop.end()].strip(" "))
+        begin = stop.end()
+    return [p for p in (*out, text[begin:].strip(" ")) if p]
+
+
+def test_sentences_equal_walking_from_stop_to_stop(spark):
+    rng = random.Random(12)
+    bits = ["Dr.", "terms.", "U.S.", "A.b.C.", "x.y.", "no.", "It fell.", "Why?!", "(so.)", "2.5 mg.", "’ok.’", "\u2003", "\n", "\xa0", "et al.", "Et AL.", "...", ". .", "end", "No. 5", "é.", "B.", "e.g.", "\u0001"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", sentences(F.col("t")).alias("s")).collect()
+    for r in rows:
+        assert r["s"] == sentences_one_by_one(texts[r["k"]].replace("\u0001", " ")), texts[r["k"]]
+
+
 def test_keys_and_numbers(spark):
     from loomstone.functions.text import content_tokens, numbers_in
 
