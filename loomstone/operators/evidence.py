@@ -30,8 +30,10 @@ def cross_group_repeats(rows: DataFrame, group: str, identity: Column) -> DataFr
     return each.agg(F.count("*").alias("identities"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeats"))
 
 
-def overlay(base: DataFrame, over: DataFrame, key: list[str], column: str, source: str = "label_source") -> DataFrame:
-    """base with column taken from over where it has the key; source says which."""
+def overlay(base: DataFrame, over: DataFrame, key: list[str], column: str, source: str = "label_source", inside: bool = False) -> DataFrame:
+    """base with column taken from over where it has the key; source says which. With inside, over may have no key that base hasn't: else ValueError."""
+    if inside and (strange := over.join(base.select(*key), key, "left_anti").select(*key).limit(5).collect()):
+        raise ValueError(f"keys that aren't in the base: {[tuple(r) for r in strange]}")
     marked = over.select(*key, F.col(column).alias("__over"), F.lit(True).alias("__has"))
     joined = base.join(marked, key, "left")
     value = F.when(F.col("__has"), F.col("__over")).otherwise(F.col(column))

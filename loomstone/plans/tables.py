@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import text as T
 from loomstone.operators import evidence, rules
-from loomstone.session import scratch_path, table
+from loomstone.session import importable, scratch_path, table
+from loomstone.sources.readers import date_slices
+from loomstone.streaming import rounds
 from loomstone.streaming.checkpoint import Checkpoint
 
 #: Kinds of a part's type, the first that fits (a stand-in for publication types).
@@ -28,8 +30,8 @@ def study_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 def date_shards(spark: SparkSession, d: str) -> DataFrame:
     span = table(spark, d, "orders").agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b"))
-    months = span.select("a", "b", F.explode(F.sequence(F.trunc("a", "month"), "b", F.expr("interval 1 month"))).alias("m"))
-    return months.select(F.date_format(F.greatest("m", "a"), "yyyy/MM/dd").alias("first"), F.date_format(F.least(F.last_day("m"), "b"), "yyyy/MM/dd").alias("last"))
+    months = span.select(F.inline(date_slices(F.col("a"), F.col("b"))))
+    return months.select(F.date_format("first", "yyyy/MM/dd").alias("first"), F.date_format("last", "yyyy/MM/dd").alias("last"))
 
 
 def key_reconciliation(spark: SparkSession, d: str) -> DataFrame:
@@ -58,6 +60,18 @@ def checkpoint_append(spark: SparkSession, d: str) -> DataFrame:
     return checkpoint.runs().select("batch_id", "row_count", F.col("commit").cast("int").alias("commit")).join(rows, "batch_id")
 
 
+def judged_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Rounds of judgements, dropped as files and read by a stream that lets a key be judged once: by round, how many count, how many come again and how many of those say something else."""
+    importable(spark)
+    n = F.col("event_id")
+    rows = table(spark, d, "events").select(F.col("event_type").alias("question_id"), F.col("user_id").cast("string").alias("record_id"), (n % 5 + 1).alias("round"), n.alias("place"), F.when(n % 3 == 0, "retain").otherwise("deprioritize").alias("decision"))
+    dropped, out, state = (scratch_path(spark, name) for name in ("rounds", "judged", "state"))
+    rows.write.json(dropped)
+    rounds.follow_rounds(spark.readStream.schema(rounds.JUDGEMENT).json(dropped), out, state).awaitTermination()
+    judged = spark.read.parquet(out)
+    return judged.groupBy("round").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("again"), F.count_if(F.col("decision") != F.col("first_decision")).alias("differing"))
+
+
 def batch_receipts(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").withColumn("batch_id", F.concat(F.lit("batch-"), F.lpad(F.floor(F.col("event_id") / 250).cast("string"), 4, "0")))
     rows = events.groupBy("batch_id").agg(F.count("*").alias("row_count"), F.count_distinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"))
@@ -84,6 +98,9 @@ SQL = {
     "row_reconciliation": "with a as (select l_orderkey k, l_linenumber::bigint v from lineitem where l_linenumber <= 2), b as (select l_orderkey k, l_linenumber::bigint v from lineitem where l_quantity > 20), x as (select 'expected' only_in, * from (select * from a except all select * from b) union all select 'observed', * from (select * from b except all select * from a)) select only_in, count(*) n, sum(k)::bigint keys from x group by 1",
     "duplicate_keys": "select l_orderkey, l_suppkey, count(*) n from lineitem group by 1, 2 having count(*) > 1",
     "checkpoint_append": "select floor(event_id / 100)::bigint batch_id, count(*) row_count, case when floor(event_id / 100) % 3 <> 1 then 1 else 2 end as commit, count(distinct user_id) users, sum(event_id)::bigint ids from events group by 1, 3",
+    "judged_rounds": """with j as (select event_type, user_id, event_id % 5 + 1 r, event_id, case when event_id % 3 = 0 then 'retain' else 'deprioritize' end decision from events),
+        f as (select *, row_number() over w k, first_value(decision) over w first_ from j window w as (partition by event_type, user_id order by r, event_id))
+        select r as "round", count(*) filter (k = 1) accepted, count(*) filter (k > 1) again, count(*) filter (decision <> first_) differing from f group by 1""",
     "batch_receipts": "select 'batch-' || lpad((event_id // 250)::varchar, 4, '0') batch_id, count(*) row_count, count(distinct user_id) users, round(sum(value), 4) total from events group by 1",
     "threshold_rules": "with l(rule, least_size, most_price, jurisdiction) as (values " + ", ".join(f"('{a}', {b}, {c}::double, '{j}')" for a, b, c, j in LIMITS) + ") select p_partkey, rule, jurisdiction, case when p_partkey % 7 = 0 then 'needs_more_info' when p_size >= least_size and p_retailprice <= most_price then 'definitely_matched' else 'excluded' end outcome from part, l",
     "strictest_limit": "select l_partkey, l_suppkey, s_nationkey, l_discount from (select l_partkey, l_suppkey, s_nationkey, l_discount, row_number() over (partition by l_partkey order by l_discount, l_suppkey, s_nationkey) r from lineitem join supplier on s_suppkey = l_suppkey) where r = 1",

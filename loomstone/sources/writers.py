@@ -17,8 +17,9 @@ def guarded(path: str, root: str) -> str:
     return path
 
 
-def write_csv(rows: DataFrame, path: str, schema: str | None = None, mode: str = "overwrite") -> None:
-    """CSV with header; with a schema, its columns in its order and no others."""
+def write_csv(rows: DataFrame, path: str, schema: str | None = None, mode: str = "overwrite", root: str | None = None) -> None:
+    """CSV with header; with a schema, its columns in its order and no others; with a root, below it and nowhere else."""
+    path = path if root is None else guarded(path, root)
     if schema is not None:
         schema = StructType.fromDDL(schema)
         if unknown := set(rows.columns) ^ set(schema.fieldNames()):
@@ -27,8 +28,9 @@ def write_csv(rows: DataFrame, path: str, schema: str | None = None, mode: str =
     rows.write.mode(mode).options(header=True, escape='"', emptyValue="").csv(path)
 
 
-def write_jsonl(rows: DataFrame, path: str, by: tuple[str, ...] = (), mode: str = "overwrite") -> None:
-    """One object a line with keys in order, in a folder for each value of by."""
+def write_jsonl(rows: DataFrame, path: str, by: tuple[str, ...] = (), mode: str = "overwrite", root: str | None = None) -> None:
+    """One object a line with keys in order, in a folder for each value of by; with a root, below it and nowhere else."""
+    path = path if root is None else guarded(path, root)
     rows.select(*by, *sorted(set(rows.columns) - set(by))).write.mode(mode).partitionBy(*by).option("ignoreNullFields", False).json(path)
 
 

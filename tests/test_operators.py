@@ -320,3 +320,25 @@ def test_publication_gate_and_foreground(spark):
     assert not gate("x", "Comment", "METHODS: we enrolled 5") and not gate("A trial", "Letter", "x") and not gate(None, None, None)
     assert one(spark, clinical.foreground(F.lit("BACKGROUND: a\nMETHODS: b\nConclusion: c"))) == "b\nc"
     assert one(spark, clinical.foreground(F.lit("BACKGROUND: a"))) == "BACKGROUND: a" and one(spark, clinical.foreground(F.lit("plain"))) == "plain"
+
+
+def test_what_is_refused(spark, tmp_path):
+    base, over = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
+    assert {(r.k, r.v, r.label_source) for r in evidence.overlay(base, over, ["k"], "v").collect()} == {(1, "a", "base"), (2, "c", "overlay")}
+    for refused in (lambda: evidence.overlay(base, over, ["k"], "v", inside=True), lambda: writers.write_csv(base, f"{tmp_path}/../x", root=str(tmp_path)), lambda: writers.write_jsonl(base, "/elsewhere", root=str(tmp_path)), lambda: metrics.paired_labels(base, over, ["k"])):
+        try:
+            refused()
+            raise AssertionError("not refused")
+        except ValueError:
+            pass
+    evidence.overlay(base, over.filter("k = 2"), ["k"], "v", inside=True)
+    writers.write_jsonl(base, f"{tmp_path}/in", root=str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/in").count() == 2
+
+
+def test_blocks_of_a_layer_read_in_both_directions(spark):
+    rows = spark.createDataFrame([("x", "retain", "retain", 2.0), ("x", "retain", "other", 1.0), ("x", "other", "retain", 1.0), ("y", "other", "other", 4.0)], "l string, s string, r string, w double")
+    got = {r.layer: r for r in metrics.metric_blocks(rows, F.array(F.lit("all"), F.col("l"), F.col("l")), "s", "r", "retain", F.col("w")).collect()}
+    assert (got["all"].tp, got["all"].fp, got["all"].fn, got["all"].tn, got["all"].n, got["all"].represented) == (2, 1, 1, 4, 4, 8)
+    assert abs(got["all"].reverse_recall - 2 / 3) < 1e-12 and abs(got["all"].reverse_specificity - 0.8) < 1e-12 and got["all"].scorer_prevalence == 0.375 and got["all"].unweighted_agreement == 0.5
+    assert got["y"].reverse_recall is None and got["y"].kappa is None and got["y"].n == 1 and got["x"].n == 3
