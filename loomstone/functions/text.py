@@ -152,11 +152,15 @@ def canonical_hash(*columns: Column) -> Column:
     return F.sha2(F.concat_ws("|", *(c.cast("string") for c in columns)), 256)
 
 
-def once(rows: DataFrame, name: str, flags: dict[str, Column]) -> tuple[DataFrame, SimpleNamespace]:
-    """rows with the flags (null is false) in one array column, and the flags as its elements.
+def once(rows: DataFrame, name: str, flags: dict[str, Column], together: int = 24) -> tuple[DataFrame, SimpleNamespace]:
+    """rows with the flags (null is false) in array columns of at most `together`, and the flags as their elements.
 
-    The array comes out of a generator of one row each, so neither projections nor filters above it are merged with the patterns below: each flag is computed once
-    whatever uses it, and the width of the row stays below what code generation takes.
+    Each array comes out of a generator of one row, so neither projections nor filters above it are merged with the patterns below: a flag is computed once whatever uses
+    it. Arrays are short enough for a generator's code to be compiled, and few enough for the row to be.
     """
-    array = F.array(*(F.coalesce(c, F.lit(False)) for c in flags.values()))
-    return rows.select("*", F.explode(F.array(array)).alias(name)), SimpleNamespace(**{flag: F.col(name)[k] for k, flag in enumerate(flags)})
+    found, names = {}, list(flags)
+    for k in range(0, len(names), together):
+        column, some = f"{name}{k // together}", names[k : k + together]
+        rows = rows.select("*", F.explode(F.array(F.array(*(F.coalesce(flags[n], F.lit(False)) for n in some)))).alias(column))
+        found |= {n: F.col(column)[i] for i, n in enumerate(some)}
+    return rows, SimpleNamespace(**found)

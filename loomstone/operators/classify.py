@@ -75,6 +75,14 @@ SIGNALS: dict[str, dict[str, tuple[str, str]]] = {
 }
 
 
+#: Signals that matter only where another text says something, which is cheaper to look for: (text, pattern).
+GATES = {"tcm": ("title", P.SUMMARY_TITLE), "product": ("title", P.SUMMARY_TITLE), "traditional_abstract": ("abstract", r"\([A-Za-z][A-Za-z0-9-]{1,8}\)")}
+#: Signals of all questions that only these use.
+ONLY = {"endpoint_front": (P.KIDNEY, P.PREGNANCY, P.LIVER)}
+#: Parts of words without which a phrase that is cut out can't stand in a text.
+STEMS = {P.NOT_A_SUPPLEMENT: ("supplement",), P.NOT_THERAPEUTIC: ("supplement",), P.INSTITUTION: ("tcm", "chinese medicine"), P.VITAMIN_K_MECHANISM: ("vitamin", "vkor", "warfarin"), P.VITAMIN_K_NOISE: ("vitamin", "vkor"), P.VITAMIN_K_THERAPY: ("vitamin", "phytonadione")}
+
+
 @dataclass(frozen=True)
 class Claim:
     """Whether something is present, and whether it is explicitly absent."""
@@ -101,8 +109,11 @@ def _texts(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("__front", clinical.foreground(F.col("__abstract"))).withColumn("__text", F.concat_ws(" ", "__title", "__front"))
     noise = (P.NOT_A_SUPPLEMENT, P.NOT_THERAPEUTIC, P.INSTITUTION)
     vitamin = (P.VITAMIN_K_MECHANISM, P.VITAMIN_K_NOISE, P.VITAMIN_K_THERAPY)
-    bare = lambda c: F.when(asks(P.ANTICOAGULATION), without(without(F.col(c), *noise), *vitamin)).otherwise(without(F.col(c), *noise))
-    rows = rows.withColumns({"__bare_title": bare("__title"), "__bare_front": bare("__front")})
+    rows = rows.withColumns({"__bare_title": F.col("__title"), "__bare_front": F.col("__front")})
+    for pattern in noise + vitamin:  # one projection each: a text is read more than once in it
+        for c in ("__bare_title", "__bare_front"):
+            some = reduce(or_, (F.contains(F.lower(c), F.lit(stem)) for stem in STEMS[pattern]))
+            rows = rows.withColumn(c, F.when(some & asks(P.ANTICOAGULATION) if pattern in vitamin else some, without(F.col(c), pattern)).otherwise(F.col(c)))
     only = lambda q, text: F.when(asks(q), text)
     return rows.withColumns(
         {
@@ -201,9 +212,14 @@ def classify(rows: DataFrame) -> DataFrame:
     own = rows.columns
     rows = _texts(rows)
     text = lambda name: F.col(f"__{name}")
-    flags = {n: found(text(where), pattern) if not q else F.when(asks(q), found(text(where), pattern)) for q, group in SIGNALS.items() for n, (where, pattern) in group.items()}
+    flags: dict[str, Column] = {}
+    for question, group in SIGNALS.items():
+        for name, (where, pattern) in group.items():
+            flag, of = found(text(where), pattern), (question,) if question else ONLY.get(name)
+            gates = ([asks(*of)] if of else []) + ([found(text(GATES[name][0]), GATES[name][1])] if name in GATES else [])
+            flags[name] = F.when(reduce(and_, gates), flag) if gates else flag
     flags |= {"nutrient_title": nutrient_in_use(text("bare_title")), "nutrient_front": nutrient_in_use(text("bare_front")), "linked": exposure_linked(text("bare_front"))}
-    flags |= {"acronym": clinical.acronym_carried(text("abstract"), text("bare_front")), "op_near": F.when(asks(P.PERIOPERATIVE), concepts_near(text("op_front"), P.POPULATION[P.PERIOPERATIVE], P.PROCEDURE_SUPPLEMENT, P.PROCEDURE_REACH))}
+    flags |= {"acronym": F.when(flags["traditional_abstract"], clinical.acronym_carried(text("abstract"), text("bare_front"))), "op_near": F.when(asks(P.PERIOPERATIVE), concepts_near(text("op_front"), P.POPULATION[P.PERIOPERATIVE], P.PROCEDURE_SUPPLEMENT, P.PROCEDURE_REACH))}
     flags |= {"editorial": clinical.publication_gate(text("title"), text("types"), text("abstract")), "animal": clinical.nonclinical_gate(text("title"), text("front"))}
     rows, s = once(rows, "__signals", flags)
     has_abstract = text("abstract") != ""

@@ -39,7 +39,7 @@ def decide(rows: DataFrame, p: Column, i: Column, o: Column, no_p: Column, no_i:
     text = F.trim(F.coalesce(abstract, F.lit("")))
     out = decision_table(p, i, o, f.no_p | f.no_i | f.no_o, text != "", F.length(text) >= DETAILED)
     codes = flagged({"population": p, "exposure": i, "outcome": o, "off_topic": out["off_topic"], "insufficient_abstract": out["insufficient"]}, "off_topic")
-    return rows.select("*", *(out[c].alias(c) for c in ("decision", "confidence", "evidence_basis")), codes.alias("reason_codes")).drop("__flags")
+    return rows.select("*", *(out[c].alias(c) for c in ("decision", "confidence", "evidence_basis")), codes.alias("reason_codes")).drop("__flags0")
 
 
 def decision_errors(decisions: DataFrame, key: list[str], codes: tuple[str, ...]) -> DataFrame:
