@@ -50,20 +50,25 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    """Matching costs far more than moving a text, and a file may be one split however large it is, so records are dealt out first."""
+    return classify(records(spark, d).repartition("record_id"))
+
+
 def classified_records(spark: SparkSession, d: str) -> DataFrame:
-    return classify(records(spark, d)).select("record_id", "question_id", "decision", "confidence", "evidence_basis", F.array_join("reason_codes", "|").alias("reason_codes"))
+    return _classified(spark, d).select("record_id", "question_id", "decision", "confidence", "evidence_basis", F.array_join("reason_codes", "|").alias("reason_codes"))
 
 
 def classified_distribution(spark: SparkSession, d: str) -> DataFrame:
     """Decisions, bases and confidences of each question's batch, as its audit has them."""
-    rows = classify(records(spark, d))
+    rows = _classified(spark, d)
     sides = F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("value")) for c in ("decision", "evidence_basis", "confidence"))))
     return rows.select("question_id", sides.alias("s")).groupBy("question_id", "s.side", "s.value").agg(F.count("*").alias("n"))
 
 
 def adjudicated_records(spark: SparkSession, d: str) -> DataFrame:
     """Records of documents labelled toxic have been reviewed: they are left open."""
-    rows = classify(records(spark, d))
+    rows = _classified(spark, d)
     labels = table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("record_id")).distinct()
     says = {"decision": F.lit("uncertain"), "confidence": F.lit("high"), "evidence_basis": F.lit("abstract"), "reason_codes": F.array(F.lit("population"), F.lit("outcome")), "status": F.lit("ok")}
     reviewed = labels.select(F.element_at(F.array(*map(F.lit, P.QUESTIONS)), (F.col("record_id") % 5 + 1).cast("int")).alias("question_id"), "record_id", *(c.alias(n) for n, c in says.items()))
@@ -73,7 +78,7 @@ def adjudicated_records(spark: SparkSession, d: str) -> DataFrame:
 
 def classified_errors(spark: SparkSession, d: str) -> DataFrame:
     """Decisions that break the contract: none."""
-    return decision_errors(classify(records(spark, d)), ["question_id", "record_id"], P.REASON_CODES).select("question_id", "record_id", F.array_join("errors", ",").alias("errors"))
+    return decision_errors(_classified(spark, d), ["question_id", "record_id"], P.REASON_CODES).select("question_id", "record_id", F.array_join("errors", ",").alias("errors"))
 
 
 def match_windows(spark: SparkSession, d: str) -> DataFrame:
