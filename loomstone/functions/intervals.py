@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomstone.functions.text import let
+
 #: Flags put before each pattern.
 FLAGS = "(?iUd)"
 _OPEN, _CLOSE = "\u0001", "\u0002"
@@ -36,17 +38,18 @@ def intervals(text: Column, pattern: str) -> Column:
     Matches are marked in one pass and the text is cut at the marks; lengths of the parts add up to the starts.
     """
     marked = F.regexp_replace(F.translate(text, _OPEN + _CLOSE, "  "), f"{FLAGS}(?:{pattern})", f"{_OPEN}$0{_CLOSE}")
-    parts = F.split(marked, _OPEN)
     none = F.array().cast("array<struct<start:int,end:int>>")
-    first = F.struct(F.length(parts[0]).alias("at"), none.alias("found"))
 
     def add(so_far: Column, part: Column) -> Column:
         at = so_far["at"]
         span = F.struct(at.alias("start"), (at + F.instr(part, _CLOSE) - 1).alias("end"))
         return F.struct((at + F.length(part) - 1).alias("at"), F.concat(so_far["found"], F.array(span)).alias("found"))
 
-    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.aggregate(rest, first, add, lambda done: done["found"])
+    def added(parts: Column) -> Column:
+        first = F.struct(F.length(parts[0]).alias("at"), none.alias("found"))
+        return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), first, add, lambda done: done["found"])
+
+    return let(F.split(marked, _OPEN), added)
 
 
 def any_window(text: Column, spans: Column, context: str, reach: int) -> Column:
@@ -68,10 +71,12 @@ def starts_near(first: Column, second: Column, most: int) -> Column:
     Both are merged in order; the nearest pair of different kinds are neighbours there, so each neighbour pair is looked at once.
     """
     kind = lambda spans, k: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind")))
-    both = F.sort_array(F.concat(kind(first, 0), kind(second, 1)))
-    many = F.greatest(F.size(both) - 1, F.lit(0))
-    close = F.zip_with(F.slice(both, 1, many), F.slice(both, 2, many), lambda a, b: (a["kind"] != b["kind"]) & (b["start"] - a["start"] <= most))
-    return F.coalesce(F.exists(close, lambda c: c), F.lit(False))
+
+    def close(both: Column) -> Column:
+        many = F.greatest(F.size(both) - 1, F.lit(0))
+        return F.exists(F.zip_with(F.slice(both, 1, many), F.slice(both, 2, many), lambda a, b: (a["kind"] != b["kind"]) & (b["start"] - a["start"] <= most)), lambda c: c)
+
+    return F.coalesce(let(F.sort_array(F.concat(kind(first, 0), kind(second, 1))), close), F.lit(False))
 
 
 def concepts_near(text: Column, first: str, second: str, most: int = 900) -> Column:

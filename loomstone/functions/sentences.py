@@ -11,8 +11,8 @@ ABBREVIATIONS = ("dr", "mr", "mrs", "ms", "prof", "fig", "no", "vs", "et al", r"
 SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 #: Up to so many initials in a row are looked back on.
 _INITIALS = 19
-#: . ? or ! with closing quotes before a space or the end; not a period behind an abbreviation or behind two initials or more.
-STOP = rf"""(?:(?<!(?i:{"|".join(ABBREVIATIONS)}))(?<!(?:^| )(?:[A-Za-z]\.){{1,{_INITIALS}}}[A-Za-z])\.|[?!])["'’”)\]}}]*(?= |$)"""
+#: Only where one stands is anything looked back on: . ? or ! with closing quotes before a space or the end; not a period behind an abbreviation or behind two initials or more.
+STOP = rf"""(?=[.?!])(?:(?<!(?i:{"|".join(ABBREVIATIONS)}))(?<!(?:^| )(?:[A-Za-z]\.){{1,{_INITIALS}}}[A-Za-z])\.|[?!])["'’”)\]}}]*(?= |$)"""
 _MARK = "\u0001"
 
 

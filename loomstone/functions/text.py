@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from types import SimpleNamespace
 
@@ -152,6 +153,11 @@ def canonical_hash(*columns: Column) -> Column:
     return F.sha2(F.concat_ws("|", *(c.cast("string") for c in columns)), 256)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it: functions over arrays aren't compiled, so what is alike in them is computed again each time."""
+    return F.transform(F.array(value), use)[0]
+
+
 def once(rows: DataFrame, name: str, flags: dict[str, Column], together: int = 24) -> tuple[DataFrame, SimpleNamespace]:
     """rows with the flags (null is false) in array columns of at most `together`, and the flags as their elements.
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions.intervals import any_window, concepts_near, found, intervals, stripped, without
-from loomstone.functions.text import flagged, once
+from loomstone.functions.text import flagged, let, once
 from loomstone.operators import clinical
 from loomstone.operators import screening_patterns as P
 from loomstone.operators.screening import decision_table
@@ -77,6 +77,8 @@ SIGNALS: dict[str, dict[str, tuple[str, str]]] = {
 
 #: Signals that matter only where another text says something, which is cheaper to look for: (text, pattern).
 GATES = {"tcm": ("title", P.SUMMARY_TITLE), "product": ("title", P.SUMMARY_TITLE), "traditional_abstract": ("abstract", r"\([A-Za-z][A-Za-z0-9-]{1,8}\)")}
+#: What stands in every traditional exposure, which takes any run of words for the beginning of a formula's name.
+TRADITIONAL = r"Chinese|TCM|Kampo|inositol|glycyrrhizin|herbal|botanical|traditional|decoction|\s(?:Tang|Wan|San)\b"
 #: Signals of all questions that only these use.
 ONLY = {"endpoint_front": (P.KIDNEY, P.PREGNANCY, P.LIVER)}
 #: Parts of words without which a phrase that is cut out can't stand in a text.
@@ -133,13 +135,13 @@ def _texts(rows: DataFrame) -> DataFrame:
 
 def nutrient_in_use(text: Column) -> Column:
     """A nutrient is named with a word of administration or use near it."""
-    return any_window(text, intervals(text, P.NUTRIENT), P.ADMINISTRATION, P.NUTRIENT_REACH)
+    return let(text, lambda t: any_window(t, intervals(t, P.NUTRIENT), P.ADMINISTRATION, P.NUTRIENT_REACH))
 
 
 def exposure_linked(text: Column) -> Column:
     """A supplement or traditional product is named with a word that relates people or events to it nearby."""
-    linked = lambda pattern: any_window(text, intervals(text, pattern), P.RELATION, P.EXPOSURE_REACH)
-    return linked(P.STRONG_EXPOSURE) | linked(P.TRADITIONAL_EXPOSURE)
+    linked = lambda t, pattern: any_window(t, intervals(t, pattern), P.RELATION, P.EXPOSURE_REACH)
+    return let(text, lambda t: linked(t, P.STRONG_EXPOSURE) | found(t, TRADITIONAL) & linked(t, P.TRADITIONAL_EXPOSURE))
 
 
 def _exposure(s: SimpleNamespace) -> Claim:

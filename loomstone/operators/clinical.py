@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.functions.text import flagged
+from loomstone.functions.text import flagged, let
 
 # Patterns, word lists and names that results depend on.
 DOSE = r"\b\d+(?:[.,]\d+)?(?:\s*(?:-|–|to)\s*\d+(?:[.,]\d+)?)?\s*(?:mg|g|µg|μg|mcg|iu|units?|ml|mmol|%)\b(?:\s*/\s*(?:d|day|week))?"
@@ -123,10 +123,10 @@ def sentence_role(sentence: Column) -> Column:
 
 def foreground(abstract: Column) -> Column:
     """The sections of a labelled abstract but those of background, one a line; the abstract itself if it has none."""
-    cut = F.split(F.regexp_replace(abstract, rf"(?im)^[ \t]*({SECTION})\s*:\s*", "\u0001$1\u0002"), "\u0001")
-    sections = F.filter(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0))), lambda s: ~F.upper(s).rlike(f"^(?:{BACKGROUND_SECTIONS})"))
+    marked = F.regexp_replace(abstract, rf"(?im)^[ \t]*({SECTION})\s*:\s*", "\u0001$1\u0002")
+    sections = let(F.split(marked, "\u0001"), lambda cut: F.filter(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0))), lambda s: ~F.upper(F.left(s, F.lit(16))).rlike(f"^(?:{BACKGROUND_SECTIONS})")))
     bodies = F.filter(F.transform(sections, lambda s: F.regexp_replace(F.substring_index(s, "\u0002", -1), r"^\s+|\s+$", "")), lambda s: s != "")
-    return F.when(F.size(bodies) > 0, F.array_join(bodies, "\n")).otherwise(abstract)
+    return let(bodies, lambda found: F.when(F.size(found) > 0, F.array_join(found, "\n")).otherwise(abstract))
 
 
 def type_set(publication_types: Column) -> Column:
@@ -153,11 +153,15 @@ def nonclinical_gate(title: Column, foreground_text: Column) -> Column:
 
     A title that names patients with something speaks for people unless it names a laboratory subject, too. A null is an empty text.
     """
-    head, body = (F.regexp_replace(F.coalesce(c, F.lit("")), NO_ANIMAL, "") for c in (title, foreground_text))
-    lab_title = matches(head, LAB_TITLE)
-    by_title = matches(head, SPECIES_TITLE) | matches(head, BENCH_TITLE) | lab_title & ~matches(head, HUMAN_ENROLLMENT) & ~matches(head, TRIAL_TITLE)
-    by_text = matches(body, PRECLINICAL_METHOD) | matches(body, LAB_BODY) | matches(body, TREATED_SPECIES) | matches(body, SPECIES_BODY)
-    return by_title | ~(matches(head, PATIENTS_TITLE) & ~lab_title) & by_text & ~matches(body, HUMAN_ENROLLMENT)
+
+    def gate(head: Column, body: Column) -> Column:
+        lab_title = matches(head, LAB_TITLE)
+        by_title = matches(head, SPECIES_TITLE) | matches(head, BENCH_TITLE) | lab_title & ~matches(head, HUMAN_ENROLLMENT) & ~matches(head, TRIAL_TITLE)
+        by_text = matches(body, PRECLINICAL_METHOD) | matches(body, LAB_BODY) | matches(body, TREATED_SPECIES) | matches(body, SPECIES_BODY)
+        return by_title | ~(matches(head, PATIENTS_TITLE) & ~lab_title) & by_text & ~matches(body, HUMAN_ENROLLMENT)
+
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), NO_ANIMAL, "")
+    return let(bare(title), lambda head: let(bare(foreground_text), lambda body: gate(head, body)))
 
 
 def alias_matches(text: Column) -> Column:
@@ -168,8 +172,9 @@ def alias_matches(text: Column) -> Column:
 
 def acronym_carried(abstract: Column, foreground_text: Column) -> Column:
     """An acronym that the abstract defines for a herbal formula is used in the foreground."""
-    defined = F.concat(F.regexp_extract_all(abstract, F.lit("(?i)" + DEFINED), 1), F.regexp_extract_all(abstract, F.lit(NAMED_FORMULA), 1))
-    return F.exists(defined, lambda a: F.regexp_like(foreground_text, F.concat(F.lit(r"\b"), a, F.lit(r"\b"))))
+    whole_runs = DEFINED.replace("[A-Za-z -]+ decoction", r"(?:\G|(?<![A-Za-z -]))[A-Za-z -]+ decoction")  # what fits inside a run fits from its start, too, so a run is read once
+    defined = F.concat(F.regexp_extract_all(abstract, F.lit("(?i)" + whole_runs), 1), F.regexp_extract_all(abstract, F.lit(NAMED_FORMULA), 1))
+    return F.exists(F.array_distinct(defined), lambda a: F.regexp_like(foreground_text, F.concat(F.lit(r"\b"), a, F.lit(r"\b"))))
 
 
 def alias_rules(records: DataFrame, group: str, key: str, order: list[Column], preview: int = 3) -> DataFrame:

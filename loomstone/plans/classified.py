@@ -15,7 +15,7 @@ from loomstone.operators import lookup
 from loomstone.operators import screening_patterns as P
 from loomstone.operators.classify import SIGNALS, classify, exposure_linked, nutrient_in_use, with_adjudications
 from loomstone.operators.screening import decision_errors
-from loomstone.session import materialized, table
+from loomstone.session import dealt, materialized, table
 
 PHRASES = (
     "dietary vitamin D supplementation", "bleeding after hip surgery", "patients with chronic kidney disease", "serum magnesium status", "pregnant women in the third trimester", "cirrhosis of the liver", "users of warfarin and ginkgo",
@@ -36,13 +36,13 @@ def _pick(a: int, b: int):
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    """question_id, record_id, title, abstract and publication_types of a record for each document."""
+    """question_id, record_id, title, abstract and publication_types of a record for each document; dealt out, as all that reads them matches patterns."""
     text = F.coalesce("text", F.lit(""))
     kind = F.col("doc_id") % 6
     plain = F.concat(_pick(19, 4), F.lit(". "), text, F.lit(". "), _pick(23, 9))
     short = F.concat(_pick(19, 4), F.lit(" and "), _pick(23, 9), F.lit("."))
     labelled = F.concat(F.lit("BACKGROUND: "), _pick(29, 5), F.lit(" (Gan Mai Da Zao Decoction (GMD) is old).\nMETHODS: "), _pick(19, 4), F.lit(". "), text, F.lit("\nRESULTS: "), _pick(23, 9), F.when(F.col("doc_id") % 5 == 0, " with GMD").otherwise(""), F.lit("; "), _pick(31, 2))
-    return table(spark, d, "documents").select(
+    return dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select(
         F.element_at(F.array(*map(F.lit, P.QUESTIONS)), (F.col("doc_id") % 5 + 1).cast("int")).alias("question_id"), F.col("doc_id").alias("record_id"),
         F.concat(_pick(7, 1), F.lit(" and "), _pick(11, 3), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(": "), first_line(text))).otherwise("")).alias("title"),
         F.when(kind == 0, "").when(kind == 1, plain).when(kind == 2, short).otherwise(labelled).alias("abstract"),
@@ -51,8 +51,7 @@ def records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
-    """Matching costs far more than moving a text, and a file may be one split however large it is, so records are dealt out first."""
-    return classify(records(spark, d).repartition("record_id"))
+    return classify(records(spark, d))
 
 
 def classified_records(spark: SparkSession, d: str) -> DataFrame:
@@ -83,8 +82,9 @@ def classified_errors(spark: SparkSession, d: str) -> DataFrame:
 
 def match_windows(spark: SparkSession, d: str) -> DataFrame:
     """What lies near what: a nutrient in use, a linked exposure, and two pairs of concepts within a distance."""
-    text = F.concat_ws(" ", "title", "abstract")
-    return records(spark, d).select(
+    text = F.col("text")
+    rows = records(spark, d).select("record_id", F.concat_ws(" ", "title", "abstract").alias("text"))
+    return rows.select(
         "record_id", nutrient_in_use(text).alias("in_use"), exposure_linked(text).alias("linked"), concepts_near(text, P.PREGNANCY_TIME, P.STRONG_EXPOSURE).alias("pregnancy_near"), concepts_near(text, P.PROCEDURE, P.PROCEDURE_SUPPLEMENT, P.PROCEDURE_REACH).alias("procedure_near")
     )
 

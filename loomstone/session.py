@@ -40,6 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt out by key, for work that costs far more than moving a row: a file may be one split however large it is, and a stated number of partitions isn't put together again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 @lru_cache(maxsize=1)
 def _local_scratch() -> str:
     return "file://" + tempfile.mkdtemp(prefix="spark-loomstone-")
