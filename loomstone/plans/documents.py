@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import text as T
 from loomstone.operators import bins, evidence, lookup, metrics
-from loomstone.session import importable, table
+from loomstone.session import dealt, importable, table
 
 #: What each axis of a document is recognised by.
 AXES = {
@@ -237,7 +237,7 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     from loomstone.functions.sentences import with_sentences
 
     importable(spark)
-    return with_sentences(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode("sentences").alias("place", "sentence"))
+    return with_sentences(dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id")).select("doc_id", F.posexplode("sentences").alias("place", "sentence"))
 
 
 def scored_lookup(spark: SparkSession, d: str) -> DataFrame:
