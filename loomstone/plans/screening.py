@@ -12,7 +12,7 @@ from loomstone.operators import metrics
 from loomstone.operators import screening_patterns as P
 from loomstone.operators.screening import decide, decision_errors
 from loomstone.plans.classified import RECORDS_SQL, _has, records
-from loomstone.session import table
+from loomstone.session import materialized, table
 
 CODES = ("population", "exposure", "outcome", "off_topic", "insufficient_abstract")
 
@@ -48,6 +48,7 @@ def metric_blocks(spark: SparkSession, d: str) -> DataFrame:
     truth = table(spark, d, "labels").filter("doc_id is not null").groupBy(F.col("doc_id").alias("record_id")).agg(says.alias("reference"))
     n = F.col("record_id")
     labels = _decided(spark, d).select("question_id", "record_id", "decision").join(truth.select("record_id"), "record_id", "left_semi")
+    labels = materialized(labels, "decisions")  # patterns are matched once, for the check of the keys and all sums
     layers = F.array(F.lit("all"), F.when(n % 4 == 0, "adjudication").otherwise("worker"), F.col("question_id"))
     blocks = metrics.metric_blocks(metrics.paired_labels(labels, truth, ["record_id"]), layers, "decision", "reference", "retain", 1 + n % 3)
     return blocks.select("layer", "n", "same", *(F.round(c, 6).alias(c) for c in BLOCK))
