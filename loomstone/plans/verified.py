@@ -9,7 +9,7 @@ from loomstone.operators import clinical as C
 from loomstone.operators import rules, verify
 from loomstone.operators.aliases import within_edits
 from loomstone.plans.classified import RECORDS_SQL, records
-from loomstone.session import table
+from loomstone.session import materialized, table
 
 KEY = ["question_id", "record_id"]
 RULE_NAMES = [f"{t}: {w}" for t in ("gate", "bundle") for w in ("missing", "unexpected", "repeated", "differs")] + ["corpus: hash", "corpus: title", "core: rank", "core: missing", "core: unexpected", "core: repeated", "core: differs"]
@@ -20,6 +20,9 @@ def build_violations(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat("title", F.lit("|"), "abstract")
     corpus = records(spark, d).withColumn("hash", F.sha2(text, 256)).withColumn("axes", F.array_join(C.observed_axes(F.col("title"), F.col("abstract")), "|"))
     n = F.col("record_id")
+    stored = corpus.withColumn("hash", F.when(n % 79 == 6, "0").otherwise(F.col("hash")))
+    # Ten scans read the corpus, but none its abstracts: patterns are matched, and stored hashes held against texts, once.
+    corpus = materialized(stored.select(*KEY, "title", "axes", (F.col("hash") == F.sha2(text, 256)).alias("intact")), "corpus")
     gate = corpus.select(*KEY, (F.col("axes") != "").alias("passed"))
     bundle = corpus.filter((F.col("axes") != "") & (n % 3 != 0)).select(*KEY, "title", "axes")
     stored_gate = gate.filter(n % 97 != 5).withColumn("passed", F.when(n % 89 == 3, ~F.col("passed")).otherwise(F.col("passed")))
@@ -27,9 +30,8 @@ def build_violations(spark: SparkSession, d: str) -> DataFrame:
     stored_bundle = stored_bundle.select(*KEY, "title", "axes", F.explode(F.sequence(F.lit(1), "copies"))).drop("col").unionByName(bundle.filter(n % 71 == 4).withColumn("record_id", n + 10_000_000))
     core = bundle.select(*KEY, F.row_number().over(_first(["question_id"])).alias("rank")).filter("rank <= 15")
     stored_core = core.withColumn("rank", F.when(F.col("rank") == 15, 16).otherwise(F.col("rank")))
-    stored = corpus.withColumn("hash", F.when(n % 79 == 6, "0").otherwise(F.col("hash")))
     found = [
-        verify.row_violations("corpus", stored, KEY, {"hash": F.col("hash") == F.sha2(text, 256), "title": F.length("title") < 400}),
+        verify.row_violations("corpus", corpus, KEY, {"hash": F.col("intact"), "title": F.length("title") < 400}),
         verify.rebuild_violations("gate", stored_gate, gate, KEY),
         verify.rebuild_violations("bundle", stored_bundle, bundle, KEY),
         verify.row_violations("core", stored_core, KEY, {"rank": F.col("rank") <= 15}),
