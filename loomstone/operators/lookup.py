@@ -106,11 +106,15 @@ def diverse_pages(rows: DataFrame, group: str, score: list[Column], seed: str |
 
     A page is taken band by band, so best rows first; a group of no more than a page is one page in order of score.
     """
-    paged = band_pages(rows, group, score, seed, key, page)
+    return in_pages(band_pages(rows, group, score, seed, key, page), group, score, key, text)
+
+
+def in_pages(paged: DataFrame, group: str, score: list[Column], key: str, text: str) -> DataFrame:
+    """Rows of whole pages (see band_pages), each page diversified in itself: group, key, page, place (from 1)."""
     own = F.to_json(F.struct(F.col(group).alias("g"), F.col("page").alias("p")))
     inside = Window.partitionBy("__page").orderBy("band", *score, F.col(key))
     paged = paged.withColumn("__page", own).withColumn("__order", F.row_number().over(inside))
-    kind = dict(rows.dtypes)[group]
+    kind = dict(paged.dtypes)[group]
     found = diversify(paged, "__page", "__order", key, text).withColumn("__page", F.from_json("__page", f"g {kind}, p int"))
     return found.select(F.col("__page.g").alias(group), key, F.col("__page.p").alias("page"), "place")
 

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.text import is_blank
-from loomstone.operators.lookup import diverse_pages
+from loomstone.operators.lookup import band_pages, in_pages
+from loomstone.session import materialized
 
 #: Records of the first view, and of a page of the wider one (fixed values).
 SELECTED, PAGE = 15, 30
@@ -82,8 +83,8 @@ def respond(requests: DataFrame, evidence: DataFrame, core: DataFrame, situation
 def shown_evidence(answers: DataFrame, evidence: DataFrame, core: DataFrame, key: str, score: str, text: str) -> DataFrame:
     """The records shown to each answered request (see respond): request_id, place (from 1), key, tier (0 core, 1 other).
 
-    evidence and core: situation, key, bits, score and text. Core records stand in an order that pushes repeats back, others in pages that span all scores. Each different query is put
-    in order once; a record is copied to the queries asked of its situation whose axes it shows.
+    evidence and core: situation, key (of one record each), bits, score and text. Core records stand in an order that pushes repeats back, others in pages that span all scores. Each different query is put
+    in order once; a record's key and score are copied to the queries asked of its situation whose axes it shows. Texts follow for the pages that some request is shown, and these alone are put in order inside.
     """
     told = answers.filter("error is null").withColumn("wide", F.coalesce("expanded", F.lit(False)))
     queries = told.select("situation", "applied", "wide").distinct().withColumn("query", F.to_json(F.struct("situation", "applied", "wide")))
@@ -91,22 +92,27 @@ def shown_evidence(answers: DataFrame, evidence: DataFrame, core: DataFrame, key
 
     def asked(rows: DataFrame, which: Column) -> DataFrame:
         met = rows.join(queries.filter(which), "situation").filter(F.col("bits").bitwiseAND(F.col("applied")) == F.col("applied"))
-        return met.select("query", F.col(key), F.col(score), F.col(text), seed.alias("seed"))
+        return met.select("query", F.col(key), F.col(score), seed.alias("seed"))
 
-    def ordered(rows: DataFrame, tier: int) -> DataFrame:
-        pages = diverse_pages(rows, "query", [F.col(score).desc(), F.col(key)], F.col("seed"), key, text, PAGE)
-        at = F.row_number().over(Window.partitionBy("query", "page").orderBy("place"))
-        return pages.select("query", key, "page", at.alias("place"), F.lit(tier).alias("tier"))
+    def paged(rows: DataFrame, tier: int) -> DataFrame:
+        return band_pages(rows, "query", [F.col(score).desc(), F.col(key)], F.col("seed"), key, PAGE).select("query", key, F.col(score), "band", "page", F.lit(tier).alias("tier"))
 
     own = core.select("situation", F.col(key).alias("__k")).distinct()
     rest = evidence.join(own, (evidence["situation"] == own["situation"]) & (F.col(key) == F.col("__k")), "left_anti")
-    tiers = ordered(asked(core, ~F.col("wide")), 0).unionByName(ordered(asked(rest, ~F.col("wide") & (F.col("applied") != 0)), 1)).unionByName(ordered(asked(evidence, F.col("wide")), 1))
+    tiers = paged(asked(core, ~F.col("wide")), 0).unionByName(paged(asked(rest, ~F.col("wide") & (F.col("applied") != 0)), 1)).unionByName(paged(asked(evidence, F.col("wide")), 1))
     told = told.withColumn("query", F.to_json(F.struct("situation", "applied", "wide")))
-    met = told.select("request_id", "query", "wide", "page_offset", "core_shown", "extended_shown").join(tiers, "query")
     # A full page spans all bands; only the last pages are shorter, so a record's place in the list needs the sizes of the pages before.
+    tiers = materialized(tiers, "pages")  # counted first, then read where pages are shown
     sizes = tiers.groupBy("query", "tier", "page").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("query", "tier").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    met = met.join(before, ["query", "tier", "page"]).withColumn("at", F.col("before") + F.col("place"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("query", "tier").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    asks = told.select("query", F.when(F.col("wide"), F.col("page_offset")).otherwise(0).alias("first"), "core_shown", "extended_shown").distinct()
+    until = F.col("first") + F.when(F.col("tier") == 0, F.col("core_shown")).otherwise(F.col("extended_shown"))
+    some = before.join(asks, "query").filter((F.col("before") < until) & (F.col("before") + F.col("n") > F.col("first"))).select("query", "tier", "page", "before").distinct()
+    told_texts = evidence.select(key, text).unionByName(core.select(key, text)).groupBy(key).agg(F.first(text).alias(text))
+    shown_pages = tiers.join(some, ["query", "tier", "page"]).join(told_texts, key).withColumn("list", F.to_json(F.struct("query", "tier")))
+    placed = in_pages(shown_pages, "list", [F.col(score).desc(), F.col(key)], key, text)
+    where = some.withColumn("list", F.to_json(F.struct("query", "tier")))
+    met = told.select("request_id", "query", "wide", "page_offset", "core_shown", "extended_shown").join(placed.join(where, ["list", "page"]), "query").withColumn("at", F.col("before") + F.col("place"))
     first = F.when(F.col("wide"), F.col("page_offset")).otherwise(0)
     many = F.when(F.col("tier") == 0, F.col("core_shown")).otherwise(F.col("extended_shown"))
     shown = met.filter((F.col("at") > first) & (F.col("at") <= first + many))

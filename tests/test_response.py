@@ -75,3 +75,14 @@ def test_terms_of_wanted_articles(spark, tmp_path):
     terms = lambda wanted=None: {r["provider_id"]: r["terms"] for r in readers.read_terms(spark, f"{tmp_path}/in", wanted).collect()}
     assert terms() == {"1": "One;Two & a half", "2": "", "3": "Three", "4": "Four"}
     assert terms(spark.createDataFrame([("3",), ("4",), ("4",), ("77",)], "provider_id string")) == {"3": "Three", "4": "Four"}
+
+
+def test_texts_are_read_for_shown_pages_only(spark, monkeypatch):
+    """Of 600 records that a wide request meets, the pages that it is shown are put in order, not all twenty."""
+    seen, whole = [], response.in_pages
+    monkeypatch.setattr(response, "in_pages", lambda paged, *more: seen.append(paged) or whole(paged, *more))
+    evidence = spark.range(600).selectExpr("'s' situation", "id", "1 bits", "id % 50 score", "concat('text number ', id) text")
+    answers = spark.createDataFrame([(1, "s", True, None, 1, 45, 0, 30)], "request_id int, situation string, expanded boolean, error string, applied int, page_offset long, core_shown long, extended_shown long")
+    shown = response.shown_evidence(answers, evidence, evidence.filter("id < 15"), "id", "score", "text").collect()
+    assert sorted(r["place"] for r in shown) == list(range(1, 31))
+    assert seen[0].count() == 60
