@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,17 +21,21 @@ JUDGEMENT = "question_id string, record_id string, round long, place long, decis
 JUDGED = JUDGEMENT + ", accepted boolean, first_round long, first_decision string"
 
 
+_COLUMNS = [c.split()[0] for c in JUDGEMENT.split(", ")]
+
+
 def _first_counts(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One frame for each key, made once: most keys have a few rows, so what is done to a frame costs more than the rows."""
     held = state.get if state.exists else None
-    rows = pd.concat(list(parts)).sort_values(["round", "place"], kind="stable")
-    accepted, rounds, decisions = [], [], []
-    for number, decision in zip(rows["round"], rows["decision"], strict=True):
-        accepted.append(held is None)
-        held = held or (int(number), decision)
-        rounds.append(held[0])
-        decisions.append(held[1])
-    state.update(held)
-    yield rows.assign(accepted=accepted, first_round=rounds, first_decision=decisions)
+    rows = list(parts)
+    columns = {c: np.concatenate([p[c].to_numpy() for p in rows]) for c in _COLUMNS}
+    order = np.lexsort((columns["place"], columns["round"]))  # stable
+    accepted = np.zeros(len(order), bool)
+    if held is None:
+        accepted[:1] = True
+        held = (int(columns["round"][order[0]]), columns["decision"][order[0]])
+        state.update(held)
+    yield pd.DataFrame({c: v[order] for c, v in columns.items()} | {"accepted": accepted, "first_round": held[0], "first_decision": held[1]})
 
 
 def judged(stream: DataFrame) -> DataFrame:

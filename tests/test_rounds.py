@@ -32,3 +32,19 @@ def test_a_card_is_judged_once_across_rounds_and_restarts(spark, tmp_path):
     ask = lambda **most: [r["record_id"] for r in rounds.open_cards(cards, spark.read.parquet(out), ["rank"], ["title"], **most).orderBy("rank").collect()]
     assert ask() == ["d", "e", "f", "g"]
     assert ask(most_cards=2) == ["d", "e"] and ask(most_characters=10) == ["d"] and ask(most_characters=90) == ["d", "e", "f"]
+
+
+def test_state_is_written_when_a_key_is_first_judged_only():
+    import pandas as pd
+
+    class State:
+        exists, written = False, 0
+
+        def update(self, held):
+            self.get, self.exists, self.written = held, True, self.written + 1
+
+    state, frame = State(), lambda *rows: pd.DataFrame([("q", "a", *r) for r in rows], columns=rounds._COLUMNS)
+    (first,) = rounds._first_counts(("q", "a"), iter([frame((2, 0, "x")), frame((1, 5, "y"), (1, 4, "z"))]), state)
+    assert first["decision"].tolist() == ["z", "y", "x"] and first["accepted"].tolist() == [True, False, False] and set(first["first_decision"]) == {"z"}
+    (second,) = rounds._first_counts(("q", "a"), iter([frame((0, 0, "w"))]), state)
+    assert not second["accepted"][0] and second["first_round"][0] == 1 and state.written == 1
