@@ -27,8 +27,8 @@ from pyspark.sql.types import StructType
 from loomstone.llm.textual import anchors, merged_spans, slices, text_buffers
 from loomstone.session import materialized
 
-#: Bytes of surroundings that a task refines together, unless one gram has more.
-TOGETHER = 2_000_000
+#: Bytes of surroundings that a task refines together, unless one gram has more; refining takes about fifty times that memory.
+TOGETHER = 500_000
 #: Blocks of buckets that are refined one after the other.
 BLOCKS = 4
 
@@ -44,40 +44,53 @@ def refine(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     size, q = len(data), 8
     if size < length:
         return np.zeros(0, np.int64)
+    # Memory is what bounds a task here: places are as small as size allows, and what is done with goes.
+    place = np.int32 if size + length < 1 << 31 else np.int64
     padded = np.append(data, np.zeros(length + q, np.uint8))
     head = np.zeros(size + length, np.uint64)
     for k in range(q):
-        head = (head << np.uint64(8)) | padded[k : size + length + k]
-    order = np.argsort(head[:size])
-    new = np.append(True, head[order[1:]] != head[order[:-1]])
-    first = np.flatnonzero(new)
-    many = np.diff(np.append(first, size))
+        head <<= np.uint64(8)
+        head |= padded[k : size + length + k]
+    del padded
+    order = np.argsort(head[:size]).astype(place)
+    new = np.ones(size, bool)
+    ordered = head[order]
+    new[1:] = ordered[1:] != ordered[:-1]
+    del ordered
+    first = np.flatnonzero(new).astype(place)
+    many = np.diff(np.append(first, place(size)))
     start = np.repeat(first, many)
-    rank = np.full(size + length, -1, np.int64)  # beyond the end: before all others
+    rank = np.full(size + length, -1, place)  # beyond the end: before all others
     rank[order] = start
-    deep = np.full(size, q, np.int64)
+    deep = np.full(size, q, place)
     several = np.repeat(many > 1, many)
     waiting = order[several]
     # Blocks of whole buckets.
     cut = np.flatnonzero(np.diff(start[several] // max(1, size // BLOCKS))) + 1
+    del order, new, first, many, start, several
     for members in np.split(waiting, cut):
         while len(members):
             own = rank[members]
             later = rank[members + np.minimum(deep[own], length)]
-            by = np.argsort(own * (size + 1) + later + 1)
+            by = own.astype(np.int64)
+            by *= size + 1
+            by += later
+            by = np.argsort(by)
             members, own, later = members[by], own[by], later[by]
+            del by
             bucket = np.append(True, own[1:] != own[:-1])
             part = bucket | np.append(True, later[1:] != later[:-1])
-            at = np.arange(len(members))
-            begin = np.flatnonzero(part)
-            count = np.diff(np.append(begin, len(members)))
-            now = own[begin] + begin - np.maximum.accumulate(np.where(bucket, at, 0))[begin]
-            until = deep[own[begin]] + np.where(later[begin] >= 0, deep[later[begin]], size)
+            at = np.arange(len(members), dtype=place)
+            begin = np.flatnonzero(part).astype(place)
+            count = np.diff(np.append(begin, place(len(members))))
+            now = own[begin] + begin - np.maximum.accumulate(np.where(bucket, at, place(0)))[begin]
+            until = np.minimum(deep[own[begin]] + np.where(later[begin] >= 0, deep[later[begin]], place(length)), length)
             deep[now] = until
             rank[members] = np.repeat(now, count)
             members = members[np.repeat((count > 1) & (until < length), count)]
+    del waiting, members, deep
     # In suffix order, strings that are equal are neighbours; pointers may tell them apart by bytes beyond them, so the bytes decide.
-    starts = np.flatnonzero(np.arange(size) + length <= ends)
+    starts = np.flatnonzero(np.arange(length, size + length, dtype=place) <= ends).astype(place)
     starts = starts[np.argsort(rank[starts])]
     same = rank[starts[1:]] == rank[starts[:-1]]
     open_ = np.flatnonzero(~same)
@@ -144,7 +157,7 @@ def _refine_groups(length: int):
         around = table.column("around").combine_chunks().cast(pa.large_binary())
         offsets = np.frombuffer(around.buffers()[1], np.int64)[around.offset : around.offset + len(around) + 1]
         data, offsets = np.frombuffer(around.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
-        starts = refine(data, np.repeat(offsets[1:], np.diff(offsets)), length)
+        starts = refine(data, np.repeat(offsets[1:].astype(np.int32) if len(data) < 1 << 31 else offsets[1:], np.diff(offsets)), length)
         if not len(starts):
             return None
         row = np.searchsorted(offsets, starts, side="right") - 1
@@ -165,19 +178,17 @@ def _refine_groups(length: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
-        for big in batches:
-            for batch in slices([big], "around"):
-                keys = batch.column("key").to_numpy()
-                if size >= TOGETHER:
-                    split = int(np.searchsorted(keys, held[-1].column("key")[-1].as_py(), side="right"))
-                    if split < batch.num_rows:
-                        if split:
-                            held.append(batch.slice(0, split))
-                        if (found := repeated(held)) is not None:
-                            yield found
-                        held, size, batch = [], 0, batch.slice(split)
-                held.append(batch)
-                size += batch.column("around").nbytes
+        for batch in slices(batches, "around", TOGETHER):
+            if held and size + batch.column("around").nbytes > TOGETHER:
+                split = int(np.searchsorted(batch.column("key").to_numpy(), held[-1].column("key")[-1].as_py(), side="right"))
+                if split < batch.num_rows:
+                    if split:
+                        held.append(batch.slice(0, split))
+                    if (found := repeated(held)) is not None:
+                        yield found
+                    held, size, batch = [], 0, batch.slice(split)
+            held.append(batch)
+            size += batch.column("around").nbytes
         if held and (found := repeated(held)) is not None:
             yield found
 

@@ -58,8 +58,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[first : offsets[-1] if len(offsets) else 0], offsets - first
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about SLICE bytes of text."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of text."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -67,7 +67,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         ends, at = np.cumsum(lengths, dtype=np.int64), 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + SLICE, side="right")))
+            to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
 

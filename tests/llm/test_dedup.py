@@ -78,6 +78,31 @@ def test_refine_matches_counts():
         assert refine(data, ends, n).tolist() == [i for i in range(len(raw) - n + 1) if counts[raw[i : i + n]] > 1]
 
 
+def test_refining_many_groups_takes_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from loomstone.llm.suffix_dedup import _refine_groups
+
+    rng = np.random.default_rng(4)
+    rows = []  # 60 grams of 180 surroundings: the second half of each repeats the first but for its last byte
+    for key in range(60):
+        texts = rng.integers(97, 123, (90, 360), np.uint8)
+        rows += [(key, k * 10 + key, t.tobytes()) for k, t in enumerate(texts)] + [(key, (90 + k) * 10 + key, t[:-1].tobytes() + b"#") for k, t in enumerate(texts)]
+    n = len(rows)
+    columns = [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, 161, np.int32)), pa.array(np.ones(n, np.int64)), pa.array([r[2] for r in rows], pa.binary())]
+    whole = pa.RecordBatch.from_arrays(columns, names=["key", "rid", "tag", "lo", "count", "copies", "around"])
+    tracemalloc.start()
+    found = list(_refine_groups(200)(iter([whole.slice(0, 5000), whole.slice(5000)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in found) == n
+    assert all(b.column("s").to_pylist() == [0] * b.num_rows and b.column("e").to_pylist() == [359] * b.num_rows for b in found)
+    assert peak < 60e6  # it was over 200 MB while two million bytes were refined together
+
+
 @pytest.mark.parametrize("batches", [1, 4])
 def test_seen_words(spark, batches):
     rows, n = corpus(5), 8
