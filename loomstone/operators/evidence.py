@@ -83,29 +83,39 @@ def chunk_numbers(rows: DataFrame, group: list[str], order: list[str], size: int
     return numbered(rows, group, order, "__i").select(*rows.columns, F.floor(F.col("__i") / size).alias("chunk"))
 
 
+#: Tokens of the smaller side that are sent to all tasks at most.
+SENT = 1_000_000
+
+
 def overlapping(few: DataFrame, many: DataFrame, few_key: str, many_key: str, least: float) -> DataFrame:
     """Pairs whose arrays `tokens` (distinct) share at least that part of the smaller one: few_key, many_key, shared, overlap.
 
-    Of a smaller side with n tokens all but least * n - 1, the ones that are rarest in `few`, are enough to meet the other side by; so frequent
-    words bring nothing together, and common tokens are counted for candidates only.
+    Tokens that `few` lacks are only counted; the others are written once, a row each. Of a smaller side with n tokens all but least * n - 1, the ones that are rarest
+    on the other side, are enough to meet it by; so frequent words bring nothing together, and common tokens are counted for candidates only. Rows that share a key, or have none, are rows of their own.
     """
-    few, many = (x.filter(F.size("tokens") > 0).select(F.col(k).alias(f"__{s}"), "tokens", F.size("tokens").alias(f"n_{s}")) for x, k, s in ((few, few_key, "a"), (many, many_key, "b")))
-    few, many = materialized(few, "tokens"), materialized(many, "tokens")  # three joins read them
-    most = few.agg(F.max("n_a")).first()[0] or 0
-    held = few.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("held"))
-
-    def rare(side: DataFrame, s: str) -> DataFrame:
-        each = side.select(f"__{s}", f"n_{s}", F.explode("tokens").alias("token")).join(held, "token", "left")
-        place = F.row_number().over(Window.partitionBy(f"__{s}").orderBy(F.coalesce("held", F.lit(0)), "token"))
-        enough = F.col(f"n_{s}") - F.greatest(F.ceil(F.col(f"n_{s}") * least - 1e-9), F.lit(1)) + 1
-        return each.withColumn("place", place).filter((F.col("place") <= enough) & F.col("held").isNotNull()).select(f"__{s}", f"n_{s}", "token")
-
-    full = lambda side, s: side.select(f"__{s}", f"n_{s}", F.explode("tokens").alias("token"))
-    met = rare(few, "a").join(full(many, "b"), "token").filter("n_a <= n_b").select("__a", "__b")
-    met = met.unionByName(rare(many.filter(F.col("n_b") < most), "b").join(full(few, "a"), "token").filter("n_b < n_a").select("__a", "__b")).distinct()
-    both = met.join(few, "__a").join(many.withColumnRenamed("tokens", "tokens_b"), "__b").withColumn("shared", F.size(F.array_intersect("tokens", "tokens_b")).cast("long"))
+    few = few.filter(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("__a"), F.col(few_key).alias("__key_a"), "tokens", F.size("tokens").alias("n_a"))
+    few = materialized(few, "tokens")
+    most, total = few.agg(F.coalesce(F.max("n_a"), F.lit(0)), F.coalesce(F.sum("n_a"), F.lit(0))).first()
+    sent = F.broadcast if total <= SENT else lambda rows: rows
+    of_few = few.select("__a", "n_a", F.explode("tokens").alias("token"))
+    held = of_few.groupBy("token").agg(F.count("*").cast("int").alias("held"))
+    many = many.filter(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("__b"), F.col(many_key).alias("__key_b"), "tokens", F.size("tokens").alias("n_b"))
+    of_many = many.select("__b", "__key_b", "n_b", F.explode("tokens").alias("token"))  # numbered before: what stands beside explode() is computed after it
+    hits = materialized(of_many.join(sent(held), "token"), "hits")
+    seen = hits.groupBy("token").agg(F.count("*").alias("seen"))
+    enough = lambda n: F.col(n) - F.greatest(F.ceil(F.col(n) * least - 1e-9), F.lit(1)) + 1
+    # Tokens that the other side lacks come first and bring nothing together.
+    place = F.row_number().over(Window.partitionBy("__a").orderBy(F.coalesce("seen", F.lit(0)), "token"))
+    rare = of_few.join(seen, "token", "left").withColumn("place", place).filter((F.col("place") <= enough("n_a")) & F.col("seen").isNotNull()).select("__a", "n_a", "token")
+    met = hits.join(sent(rare), "token").filter("n_a <= n_b").select("__a", "__b")
+    own = Window.partitionBy("__b")
+    short = hits.filter(F.col("n_b") < most).withColumn("lacking", F.col("n_b") - F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("held", "token")))
+    short = short.filter(F.col("place") + F.col("lacking") <= enough("n_b"))
+    met = materialized(met.unionByName(short.join(sent(of_few), "token").filter("n_b < n_a").select("__a", "__b")).distinct(), "met")
+    whole = hits.join(met.select("__b").distinct(), "__b", "left_semi").groupBy("__b").agg(F.first("__key_b").alias("__key_b"), F.first("n_b").alias("n_b"), F.collect_list("token").alias("tokens_b"))
+    both = met.join(sent(few), "__a").join(whole, "__b").withColumn("shared", F.size(F.array_intersect("tokens", "tokens_b")).cast("long"))
     out = both.withColumn("overlap", F.round(F.col("shared") / F.least("n_a", "n_b"), 9)).filter(F.col("overlap") >= least)
-    return out.select(F.col("__a").alias(few_key), F.col("__b").alias(many_key), "shared", "overlap")
+    return out.select(F.col("__key_a").alias(few_key), F.col("__key_b").alias(many_key), "shared", "overlap")
 
 
 def duplicate_keys(rows: DataFrame, key: list[str]) -> DataFrame:

@@ -153,7 +153,9 @@ def conditional_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
-    items, docs = (table(spark, d, t).select(k, T.content_tokens(F.col("text")).alias("tokens")) for t, k in (("benchmark", "item_id"), ("documents", "doc_id")))
+    tokens = T.content_tokens(F.col("text")).alias("tokens")
+    items = table(spark, d, "benchmark").select("item_id", tokens)
+    docs = dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", tokens)
     return evidence.overlapping(items, docs, "item_id", "doc_id", 0.5)
 
 

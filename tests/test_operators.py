@@ -169,6 +169,22 @@ def test_overlaps_against_brute_force(spark):
     assert got == {(a, b): len(set(x) & set(y)) for a, x in few for b, y in many if x and y and len(set(x) & set(y)) >= 0.5 * min(len(x), len(y))}
 
 
+def test_overlaps_write_shared_tokens_only_and_keep_rows_without_or_with_one_key(spark, monkeypatch):
+    from collections import Counter
+
+    written, write = [], evidence.materialized
+    monkeypatch.setattr(evidence, "materialized", lambda df, name: written.append(write(df, name)) or written[-1])
+    few = [(1, ["a", "b", "c", "d"]), (1, ["x"]), (None, ["b", "c"]), (2, [])]
+    many = [(7, ["a", "b", "p", "q", "r"]), (7, ["x", "p"]), (None, ["c", "p", "q"]), (8, ["p", "q"]), (9, ["d"]), (10, ["a", "p", "q"]), (11, [])]
+    frames = spark.createDataFrame(few, "a long, tokens array<string>"), spark.createDataFrame(many, "b long, tokens array<string>")
+    for sent in (evidence.SENT, 0):
+        monkeypatch.setattr(evidence, "SENT", sent, raising=False)
+        got = Counter((r.a, r.b, r.shared) for r in evidence.overlapping(*frames, "a", "b", 0.5).collect())
+        assert got == Counter((a, b, n) for a, x in few for b, y in many for n in [len(set(x) & set(y))] if x and y and n >= 0.5 * min(len(x), len(y)))
+    tokens = {t for df in written for r in df.collect() for t in [*r.asDict().get("tokens", []), r.asDict().get("token")]}
+    assert tokens - {None} == set("abcdx")  # those that only many has aren't written
+
+
 def test_nonclinical_gate(spark):
     from loomstone.operators import clinical
 
