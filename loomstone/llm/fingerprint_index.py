@@ -1,9 +1,9 @@
 """Incremental removal of repeated word windows with a log-structured fingerprint index.
 
 Words under a window of `window` words that starts earlier, in a smaller doc_id or further up in the same text, are removed. The index
-is a list of immutable runs: tables bucketed and sorted by fingerprint. A batch of documents is fingerprinted, merge-joined with
-each run on the fingerprint, matches are verified (see below), and what is new becomes another
-run; when there are more than `most_runs`, all are merged into one by a merge join that moves no data.
+is a list of immutable runs: tables bucketed and sorted by fingerprint, one file a bucket. A batch of documents is fingerprinted, rows that
+repeat as a whole become one, these are merge-joined with each run on the fingerprint (the run isn't moved), matches are verified (see below), and they become another
+run; when there are more than `most_runs`, all are merged into one by a merge join, for which they are shuffled.
 
 A fingerprint is the hash of the smallest gram of a window (textual.anchors); a row stands for the neighbouring
 windows that one gram represents and holds a hash of all words under them (64 bits), and another, independent one (64 bits) by which a match is verified. Rows that
@@ -116,11 +116,12 @@ class FingerprintIndex:
 
     def _write(self, rows: DataFrame) -> None:
         name = f"loomstone_run_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, "key").sortBy(*_SAME).option("path", scratch_path(self.spark, "run")).saveAsTable(name)
+        # One file for each bucket: dealt otherwise, every task would write a file for nearly every bucket.
+        rows.repartition(self.buckets, "key").write.bucketBy(self.buckets, "key").sortBy(*_SAME).option("path", scratch_path(self.spark, "run")).saveAsTable(name)
         self.runs.append((name, self.spark.table(name)))
 
     def compact(self) -> None:
-        """Merge all runs into one: each is sorted by fingerprint, so they are merge-joined bucket by bucket."""
+        """Merge all runs into one by a merge join of what they hold; its rows are dealt out by fingerprint again, one file a bucket."""
         if len(self.runs) < 2:
             return
         old = self.runs
@@ -142,17 +143,15 @@ class FingerprintIndex:
             self.compact()
         texts = _texts(batch)
         rows = materialized(texts.select("rid", "tag", "text").mapInArrow(_fingerprints(self.window, self.gram), _KIND), "fingerprints")
-        own = rows.groupBy("key").agg(F.count("*").alias("n"))
-        hit = own.filter("n > 1").select("key")
-        for _, past in self.runs:
-            hit = hit.unionByName(past.select("key").join(rows.select("key"), "key", "left_semi"))
-        hit = materialized(hit.distinct(), "hits")
-        matched = materialized(rows.join(hit, "key"), "matched")
-        seen = matched.withColumn("fresh", F.lit(True))
-        for _, past in self.runs:
-            seen = seen.unionByName(past.join(hit, "key").withColumn("fresh", F.lit(False)), allowMissingColumns=True)
-        firsts = materialized(seen.groupBy(*_SAME).agg(F.min(F.struct("rid", "tag", "lo", "count", "fresh")).alias("first")), "firsts")
-        later = matched.join(firsts, _SAME).filter(F.struct("rid", "tag", "lo") > F.struct("first.rid", "first.tag", "first.lo"))
+        first = F.min(F.struct("rid", "tag", "lo", "count", F.lit(True).alias("fresh"))).alias("first")
+        fresh = firsts = materialized(rows.groupBy(*_SAME).agg(first, F.count("*").alias("n")), "fresh")
+        if self.runs:
+            keys = fresh.select("key").distinct()
+            for _, past in self.runs:
+                before = F.struct("rid", "tag", "lo", "count", F.lit(False).alias("fresh")).alias("first")
+                firsts = firsts.unionByName(past.join(keys, "key", "left_semi").select(*_SAME, before, F.lit(1).cast("long").alias("n")))
+            firsts = materialized(firsts.groupBy(*_SAME).agg(F.min("first").alias("first"), F.sum("n").alias("n")), "firsts")
+        later = rows.join(firsts.filter("n > 1").select(*_SAME, "first"), _SAME).filter(F.struct("rid", "tag", "lo") > F.struct("first.rid", "first.tag", "first.lo"))
         until = (F.col("lo") + F.col("repeats") * F.col("count") - 1 + self.window).alias("e")
         whole = later.select("rid", "tag", F.col("lo").alias("s"), until)
         # Of rows that repeat themselves all but the first occurs earlier in any case.
@@ -166,9 +165,8 @@ class FingerprintIndex:
         single = single.select("rid", "tag", F.col("start").alias("s"), (F.col("start") + self.window).alias("e"))
         spans = materialized(whole.unionByName(single).groupBy("rid", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
         if remember:
-            new = rows.groupBy(*_SAME).agg(F.min(F.struct("rid", "tag", "lo", "count")).alias("first")).select(*_SAME, "first.*")
-            self._write(new.repartition(self.buckets, "key"))
-        for table in (rows, matched, firsts, windows):
+            self._write(fresh.select(*_SAME, "first.*").drop("fresh"))
+        for table in (rows, fresh, firsts, windows):
             drop_scratch(table)
         return spans
 

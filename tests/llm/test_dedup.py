@@ -139,6 +139,20 @@ def test_compaction_keeps_the_index(spark):
     assert len(index.runs) == 1 and {(r.key, r.context, r.check) for r in index.runs[0][1].collect()} == before
 
 
+def test_a_run_has_one_file_for_each_bucket(spark):
+    rows = sorted(corpus(7))
+    docs = frame(spark, rows)
+    index = FingerprintIndex(spark, window=8, gram=3, most_runs=10, buckets=8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for low in range(0, 120, 60):
+            index.take_in(docs.filter(f"doc_id >= {low} and doc_id < {low + 60}"), docs)
+        index.compact()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert 4 <= len(index.runs[0][1].inputFiles()) <= 8  # every task of the merge wrote a file for each bucket
+
+
 @pytest.mark.parametrize(("percent", "seed"), [(85, 3), (80, 11)])
 def test_near_duplicates(spark, percent, seed):
     rows = corpus(seed, 160)
