@@ -177,6 +177,12 @@ def near_context(text: Column, concept: str, context: str, reach: int) -> Column
     return any_window(text, intervals(text, concept), context, reach)
 
 
+def located(text: Column) -> tuple[Column, Column]:
+    """Locator and sentence of `NAME_n: sentence`, both empty where there is no locator; all after the colon and its space is the sentence, line ends too, and it may be empty."""
+    parts = r"(?s)^([A-Z_]+_-?[0-9]+): ?(.*)\z"
+    return F.regexp_extract(text, parts, 1), F.regexp_extract(text, parts, 2)
+
+
 def any_of(terms: Column) -> Column:
     return F.concat(F.lit("("), F.array_join(terms, " OR "), F.lit(")"))
 

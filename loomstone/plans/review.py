@@ -143,11 +143,16 @@ def overview_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def located_findings(spark: SparkSession, d: str) -> DataFrame:
-    """A locator `NAME_n: sentence` taken apart; the sentence's role by its beginning."""
-    raw = F.concat(F.lit("DOC_"), F.col("doc_id").cast("string"), F.lit(": "), F.trim(F.substring_index(F.regexp_replace("text", "\\s+", " "), ".", 1)))
-    sentence = F.regexp_extract(raw, r"^([A-Z_]+_\d+):\s*(.+)$", 2)
-    role = T.first_match(sentence, [("^(The|Der|Le|El)( |$)", "result"), ("^(And|Und|Et|Y)( |$)", "method")], "other")
-    return table(spark, d, "documents").select("doc_id", F.regexp_extract(raw, r"^([A-Z_]+_\d+):\s*(.+)$", 1).alias("locator"), F.length(sentence).cast("long").alias("characters"), role.alias("role"))
+    """A locator `NAME_n: sentence` taken apart; the sentence's role by its beginning.
+
+    White space is what the SQL's engine takes for it, and an end is the very end: Java's `\\s` has a vertical tab too, its `.` stops at line ends of any kind and its `$` before a last one.
+    """
+    first = F.trim(F.regexp_replace(F.substring_index("text", ".", 1), "[ \\t\\n\\f\\r]+", " "))
+    raw = F.concat(F.lit("DOC_"), F.coalesce(F.col("doc_id").cast("string"), F.lit("0")), F.lit(": "), F.coalesce(first, F.lit("")))
+    locator, sentence = review.located(raw)
+    role = T.first_match(sentence, [(r"^(The|Der|Le|El)( |\z)", "result"), (r"^(And|Und|Et|Y)( |\z)", "method")], "other")
+    given = lambda column, value: F.when(F.col(column).isNotNull(), value)
+    return table(spark, d, "documents").select("doc_id", given("doc_id", locator).alias("locator"), given("text", F.length(sentence)).cast("long").alias("characters"), role.alias("role"))
 
 
 _CORE = "(select lang, doc_id from (select lang, doc_id, row_number() over (partition by lang order by n_chars desc, doc_id) r from documents) where r <= 15)"
