@@ -28,8 +28,9 @@ def without(text: Column, *patterns: str) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    """text without white space at its ends; null is empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    """text without white space at its ends; null is empty. Only a text that has some there is searched as a whole."""
+    cut = lambda t: F.when(F.concat(F.left(t, F.lit(1)), F.right(t, F.lit(1))).rlike(r"(?U)\s"), F.regexp_replace(t, r"(?U)^\s+|\s+$", "")).otherwise(t)
+    return let(F.coalesce(text, F.lit("")), cut)
 
 
 def intervals(text: Column, pattern: str) -> Column:

@@ -158,15 +158,19 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def once(rows: DataFrame, name: str, flags: dict[str, Column], together: int = 24) -> tuple[DataFrame, SimpleNamespace]:
+def once(rows: DataFrame, name: str, flags: dict[str, Column], together: int = 24, known: Column | None = None) -> tuple[DataFrame, SimpleNamespace]:
     """rows with the flags (null is false) in array columns of at most `together`, and the flags as their elements.
 
+    known is an array: where its first element is false, the others are the flags, which aren't computed then.
+
     Each array comes out of a generator of one row, so neither projections nor filters above it are merged with the patterns below: a flag is computed once whatever uses
     it. Arrays are short enough for a generator's code to be compiled, and few enough for the row to be.
     """
     found, names = {}, list(flags)
     for k in range(0, len(names), together):
         column, some = f"{name}{k // together}", names[k : k + together]
-        rows = rows.select("*", F.explode(F.array(F.array(*(F.coalesce(flags[n], F.lit(False)) for n in some)))).alias(column))
+        values = F.array(*(F.coalesce(flags[n], F.lit(False)) for n in some))
+        values = values if known is None else F.when(known[0], values).otherwise(F.slice(known, k + 2, len(some)))
+        rows = rows.select("*", F.explode(F.array(values)).alias(column))
         found |= {n: F.col(column)[i] for i, n in enumerate(some)}
     return rows, SimpleNamespace(**found)

@@ -1,7 +1,7 @@
 """The screening classifier: population, exposure and outcome of a record for its question, and the decision that follows.
 
-Everything is columns. A record's texts (title, foreground, and both with noise phrases cut out) are projected first, then every pattern is matched once
-into an array of flags, those of one question only for its records. What a rule says is a claim: when it holds, what grants it and what vetoes
+A record's texts (title, foreground, and both with noise phrases cut out) come first, then every pattern is matched once into an array of flags, those of one question only for
+its records: in tasks, on Arrow batches (`functions.plain`); records with characters that this can't read alike are matched as columns. The rest is columns. What a rule says is a claim: when it holds, what grants it and what vetoes
 it; a veto also says that the claim is explicitly absent. Exposure, population and outcome are projected one after the other, as each
 reads the one before, so no expression is written out where it is used.
 
@@ -10,19 +10,27 @@ Defined results: null texts and types are empty; a null or unknown question has
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
+from loomstone.functions import plain
 from loomstone.functions.intervals import any_window, concepts_near, found, intervals, stripped, without
 from loomstone.functions.text import flagged, let, once
 from loomstone.operators import clinical
 from loomstone.operators import screening_patterns as P
 from loomstone.operators.screening import decision_table
+from loomstone.session import importable
 
 #: Texts and what is searched in them, by question ("": all). Each pair is matched once.
 SIGNALS: dict[str, dict[str, tuple[str, str]]] = {
@@ -104,22 +112,111 @@ class Claim:
         return Claim(self.present, self.absent | condition)
 
 
+#: Phrases that are cut out of texts, for all questions and for the last.
+NOISE, VITAMIN = (P.NOT_A_SUPPLEMENT, P.NOT_THERAPEUTIC, P.INSTITUTION), (P.VITAMIN_K_MECHANISM, P.VITAMIN_K_NOISE, P.VITAMIN_K_THERAPY)
+#: Flags in the order in which tasks give them, after the one that says that a record stands apart.
+FLAGS = (*(name for group in SIGNALS.values() for name in group), "nutrient_title", "nutrient_front", "linked", "acronym", "op_near", "animal")
+#: Bytes of text whose flags are found together, unless one record has more.
+_SLICE = 4 << 20
+
+
+def _gate(head: pa.Array, body: pa.Array) -> np.ndarray:
+    """As clinical.nonclinical_gate."""
+    head, body = (plain.without(t, clinical.NO_ANIMAL, flags="") for t in (head, body))
+    lab_title = plain.found(head, clinical.LAB_TITLE)
+    by_title = plain.found(head, clinical.SPECIES_TITLE) | plain.found(head, clinical.BENCH_TITLE) | lab_title & ~plain.found(head, clinical.HUMAN_ENROLLMENT) & ~plain.found(head, clinical.TRIAL_TITLE)
+    by_text = reduce(or_, (plain.found(body, p) for p in (clinical.PRECLINICAL_METHOD, clinical.LAB_BODY, clinical.TREATED_SPECIES, clinical.SPECIES_BODY)))
+    return by_title | ~(plain.found(head, clinical.PATIENTS_TITLE) & ~lab_title) & by_text & ~plain.found(body, clinical.HUMAN_ENROLLMENT)
+
+
+def _carried(abstract: pa.Array, front: pa.Array) -> np.ndarray:
+    """As clinical.acronym_carried."""
+    named = [set() for _ in range(len(abstract))]
+    for pattern, flags in ((clinical.DEFINED, "(?i)"), (clinical.NAMED_FORMULA, "")):
+        for place, _, parts in plain.marked(abstract, pattern, "\\1", flags):
+            named[place].update(plain.groups(parts))
+    return np.array([any(re.search(rf"\b{a}\b", front[k].as_py(), re.ASCII) for a in some) for k, some in enumerate(named)], bool)
+
+
+def _flags(question: np.ndarray, title: pa.Array, front: pa.Array, abstract: pa.Array) -> np.ndarray:
+    """A row for each record: whether it stands apart, then FLAGS (false for such a record)."""
+    (title, t), (front, f), (abstract, a) = map(plain.plain, (title, front, abstract))
+    apart = t | f | a
+    head, body, whole = title, front, abstract
+    title, front, abstract = map(plain.spaced, (title, front, abstract))
+    join = lambda a, b: pc.binary_join_element_wise(a, b, " ")
+    last = pa.array(question == P.ANTICOAGULATION)
+
+    def bare(text: pa.Array) -> pa.Array:
+        text = plain.without(text, *NOISE)
+        return pc.replace_with_mask(text, last, plain.without(text.filter(last), *VITAMIN))
+
+    texts = {"title": title, "front": front, "abstract": abstract, "text": join(title, front), "bare_title": bare(title), "bare_front": bare(front)}
+    texts["title_bare_front"] = join(title, texts["bare_front"])
+    own = {
+        P.PERIOPERATIVE: lambda x: {"op_title": plain.without(x["title"], P.NOT_SURGICAL), "op_front": plain.without(x["front"], P.NOT_SURGICAL), "aim": pc.utf8_slice_codeunits(x["front"], 0, P.AIM_WITHIN), "beginning": pc.utf8_slice_codeunits(x["front"], 0, P.EFFICACY_WITHIN)},
+        P.KIDNEY: lambda x: {"kid_title": plain.without(x["title"], P.NO_KIDNEY_DISEASE)},
+        P.PREGNANCY: lambda x: {"preg_title": plain.without(x["title"], P.GENETIC_TESTING)},
+        P.LIVER: lambda x: {f"liv_{c}": plain.without(x[c], P.NO_LIVER_DISEASE) for c in ("title", "front", "text")},
+        P.ANTICOAGULATION: lambda x: {},
+    }
+    out = {name: np.zeros(len(apart), bool) for name in FLAGS}
+    for q, group in SIGNALS.items():
+        if not q:
+            rows, some = slice(None), texts
+        elif len(rows := np.flatnonzero(question == q)):
+            some = {name: text.take(pa.array(rows)) for name, text in texts.items()}
+            some |= own[q](some)
+        else:
+            continue
+        for name, (where, pattern) in group.items():
+            if name in GATES or name in ONLY:
+                shown = plain.found(texts[GATES[name][0]], GATES[name][1]) if name in GATES else np.isin(question, ONLY[name])
+                out[name][shown] = plain.found(texts[where].filter(pa.array(shown)), pattern)
+            else:
+                out[name][rows] = plain.found(some[where], pattern)
+        if q == P.PERIOPERATIVE:
+            out["op_near"][rows] = plain.concepts_near(some["op_front"], P.POPULATION[q], P.PROCEDURE_SUPPLEMENT, P.PROCEDURE_REACH)
+    for name in ("title", "front"):
+        out[f"nutrient_{name}"] = plain.any_window(texts[f"bare_{name}"], P.NUTRIENT, P.ADMINISTRATION, P.NUTRIENT_REACH)
+    out["linked"] = reduce(or_, (plain.any_window(texts["bare_front"], p, P.RELATION, P.EXPOSURE_REACH) for p in (P.STRONG_EXPOSURE, P.TRADITIONAL_EXPOSURE)))
+    defining = pa.array(out["traditional_abstract"])
+    out["acronym"][out["traditional_abstract"]] = _carried(whole.filter(defining), texts["bare_front"].filter(defining))
+    out["animal"] = _gate(head, body)
+    found_flags = np.stack([out[name] for name in FLAGS], 1) & ~apart[:, None]
+    return np.concatenate((apart[:, None], found_flags), 1)
+
+
+def _in_tasks(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """_flags of Arrow batches, some MB of text at a time."""
+    for question, *texts in batches:
+        question = np.array(question.to_pylist(), object)
+        ends = np.cumsum(sum(pc.fill_null(pc.binary_length(t), 0).to_numpy(zero_copy_only=False).astype(np.int64) for t in texts))
+        rows, at, n = [np.zeros((0, 1 + len(FLAGS)), bool)], 0, len(question)
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SLICE, "right")))
+            rows.append(_flags(question[at:to], *(t.slice(at, to - at) for t in texts)))
+            at = to
+        yield pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (1 + len(FLAGS)), pa.int32()), pa.array(np.concatenate(rows).ravel()))
+
+
 def _texts(rows: DataFrame) -> DataFrame:
-    """rows (question_id, title, abstract, publication_types) with the texts that signals are searched in, as columns of one name each with __ before it."""
+    """rows (question_id, title, abstract, publication_types) with what tasks found in their texts (`__found`) and, for records that stand apart, the texts that signals are searched in, as columns of one name each with __ before it."""
     asks = lambda q: F.col("question_id") == q
+    importable(rows.sparkSession)
     rows = rows.withColumns({"__title": stripped(F.col("title")), "__abstract": stripped(F.col("abstract")), "__types": F.coalesce("publication_types", F.lit(""))})
-    rows = rows.withColumn("__front", clinical.foreground(F.col("__abstract"))).withColumn("__text", F.concat_ws(" ", "__title", "__front"))
-    noise = (P.NOT_A_SUPPLEMENT, P.NOT_THERAPEUTIC, P.INSTITUTION)
-    vitamin = (P.VITAMIN_K_MECHANISM, P.VITAMIN_K_NOISE, P.VITAMIN_K_THERAPY)
-    rows = rows.withColumns({"__bare_title": F.col("__title"), "__bare_front": F.col("__front")})
-    for pattern in noise + vitamin:  # one projection each: a text is read more than once in it
+    rows = rows.withColumn("__front", clinical.foreground(F.col("__abstract")))
+    rows = rows.withColumn("__found", F.arrow_udf(_in_tasks, ArrayType(BooleanType()))("question_id", "__title", "__front", "__abstract"))
+    apart = F.col("__found")[0]
+    rows = rows.withColumns({"__text": F.when(apart, F.concat_ws(" ", "__title", "__front")), "__bare_title": F.when(apart, F.col("__title")), "__bare_front": F.when(apart, F.col("__front"))})
+    for pattern in NOISE + VITAMIN:  # one projection each: a text is read more than once in it
         for c in ("__bare_title", "__bare_front"):
             some = reduce(or_, (F.contains(F.lower(c), F.lit(stem)) for stem in STEMS[pattern]))
-            rows = rows.withColumn(c, F.when(some & asks(P.ANTICOAGULATION) if pattern in vitamin else some, without(F.col(c), pattern)).otherwise(F.col(c)))
-    only = lambda q, text: F.when(asks(q), text)
+            rows = rows.withColumn(c, F.when(some & asks(P.ANTICOAGULATION) if pattern in VITAMIN else some, without(F.col(c), pattern)).otherwise(F.col(c)))
+    only = lambda q, text: F.when(apart & asks(q), text)
     return rows.withColumns(
         {
-            "__title_bare_front": F.concat_ws(" ", "__title", "__bare_front"),
+            "__title_bare_front": F.when(apart, F.concat_ws(" ", "__title", "__bare_front")),
             "__op_title": only(P.PERIOPERATIVE, without(F.col("__title"), P.NOT_SURGICAL)),
             "__op_front": only(P.PERIOPERATIVE, without(F.col("__front"), P.NOT_SURGICAL)),
             "__aim": only(P.PERIOPERATIVE, F.left("__front", F.lit(P.AIM_WITHIN))),
@@ -194,7 +291,7 @@ def _outcome(s: SimpleNamespace, present: Column, exposed: Column, types: Column
     outcome = outcome & (~s.liv_any_injury | injury)
     aside = asks(P.PERIOPERATIVE) & review & ~s.op_in_title
     outcome = F.when(aside, s.safety_text | s.op_outcome_title).otherwise(outcome)
-    unreported = (stripped(front) != "") & s.systematic & s.says_safety & ~s.safety_front & ~s.evaluated_front
+    unreported = s.systematic & s.says_safety & ~s.safety_front & ~s.evaluated_front & front.rlike(r"(?U)\S")
     outcome = F.when(unreported, either("_front") | s.safety_front).otherwise(outcome)
     confirmed = (s.evaluated_text | s.safety_front | s.safety_title | either("_title") | s.generic_title | s.ac_outcome_front | after_operation) & ~unreported
     monograph = asks(P.LIVER) & (stripped(types) == "") & (s.liv_existing | s.liv_monograph)
@@ -208,10 +305,9 @@ def _outcome(s: SimpleNamespace, present: Column, exposed: Column, types: Column
     return Claim(outcome, F.lit(False)).unless(present & exposed & focused & ~(confirmed & ~doubted))
 
 
-def classify(rows: DataFrame) -> DataFrame:
-    """rows (question_id, title, abstract, publication_types and any others) with decision, confidence, evidence_basis, reason_codes and status."""
+def _signals(rows: DataFrame) -> tuple[DataFrame, SimpleNamespace]:
+    """rows with their texts, and FLAGS as columns over them."""
     asks = lambda *qs: F.coalesce(F.col("question_id").isin(*qs), F.lit(False))
-    own = rows.columns
     rows = _texts(rows)
     text = lambda name: F.col(f"__{name}")
     flags: dict[str, Column] = {}
@@ -222,8 +318,17 @@ def classify(rows: DataFrame) -> DataFrame:
             flags[name] = F.when(reduce(and_, gates), flag) if gates else flag
     flags |= {"nutrient_title": nutrient_in_use(text("bare_title")), "nutrient_front": nutrient_in_use(text("bare_front")), "linked": exposure_linked(text("bare_front"))}
     flags |= {"acronym": F.when(flags["traditional_abstract"], clinical.acronym_carried(text("abstract"), text("bare_front"))), "op_near": F.when(asks(P.PERIOPERATIVE), concepts_near(text("op_front"), P.POPULATION[P.PERIOPERATIVE], P.PROCEDURE_SUPPLEMENT, P.PROCEDURE_REACH))}
-    flags |= {"editorial": clinical.publication_gate(text("title"), text("types"), text("abstract")), "animal": clinical.nonclinical_gate(text("title"), text("front"))}
-    rows, s = once(rows, "__signals", flags)
+    flags["animal"] = clinical.nonclinical_gate(text("title"), text("front"))
+    return once(rows, "__signals", {name: flags[name] for name in FLAGS}, known=F.col("__found"))
+
+
+def classify(rows: DataFrame) -> DataFrame:
+    """rows (question_id, title, abstract, publication_types and any others) with decision, confidence, evidence_basis, reason_codes and status."""
+    asks = lambda *qs: F.coalesce(F.col("question_id").isin(*qs), F.lit(False))
+    own = rows.columns
+    rows, s = _signals(rows)
+    text = lambda name: F.col(f"__{name}")
+    rows, e = once(rows, "__editorial", {"editorial": clinical.publication_gate(text("title"), text("types"), text("abstract"))})
     has_abstract = text("abstract") != ""
     exposure = _exposure(s)
     rows, i = once(rows, "__exposure", {"present": exposure.present, "absent": exposure.absent})
@@ -240,7 +345,7 @@ def classify(rows: DataFrame) -> DataFrame:
     types = clinical.type_set(text("types"))
     verdict = {
         "population": p.present & ~p.absent & ~s.animal, "exposure": i.present & ~not_exposed, "outcome": o.present & ~o.absent, "mismatch": p.absent | not_exposed | o.absent,
-        "human": (s.human_text | s.human_title) & ~s.animal, "design": (s.design | F.arrays_overlap(types, F.array(*map(F.lit, P.DESIGN_TYPES)))) & ~s.editorial, "animal": s.animal, "editorial": s.editorial,
+        "human": (s.human_text | s.human_title) & ~s.animal, "design": (s.design | F.arrays_overlap(types, F.array(*map(F.lit, P.DESIGN_TYPES)))) & ~e.editorial, "animal": s.animal, "editorial": e.editorial,
     }
     rows, v = once(rows, "__verdict", verdict)
     out = decision_table(v.population, v.exposure, v.outcome, v.mismatch | v.animal | v.editorial, has_abstract, detailed)

@@ -5,8 +5,8 @@ import duckdb
 from loomstone import catalog
 
 TEXTS = (
-    "", " ", ".", " . The end.", ".The", None, "The", "The ", "The. x", "Theory.", "And so on. The", "Le chat\n dort. x", "Y\r\na. b", "x y z.", "The ", "And ", "The\u0085", "\u0085The cat.", "a\x0bb. c", "a \x0b\x0b b.", "\x0bThe cat.", " \x0b The", "The\x0b",
-    "a\x1cb", "a  b. c", "　El", "é\U0001f600. x", "DOC_7: The cat. x", ": x", "\r", "The\r", "The\n\n", "x" * 70000, "   ",
+    "", " ", ".", " . The end.", ".The", None, "The", "The ", "The. x", "Theory.", "And so on. The", "Le chat\n dort. x", "Y\r\na. b", "x\u2028y z.", "The\u2028", "And\u2029", "The\u0085", "\u0085The cat.", "a\x0bb. c", "a \x0b\x0b b.", "\x0bThe cat.", " \x0b The", "The\x0b",
+    "a\x1cb", "a\u00a0 b. c", "\u3000El", "é\U0001f600. x", "DOC_7: The cat. x", ": x", "\r", "The\r", "The\n\n", "x" * 70000, "   ",
 )
 
 
